@@ -208,13 +208,16 @@ def gate(df: DataFrame, cuts: PatchCuts | None = None) -> DataFrame:
         raise ValueError(f"refusing to gate on {refused}: these mark real sources")
     wanted = sorted({*cuts.zero_tolerance_planes, *cuts.max_plane_fraction, *cuts.max_inner_plane_fraction})
 
-    df = (
-        df.withColumn("_d", _depth_measures(cuts.inner_fraction)("image", "variance"))
-        .withColumn("_p", _plane_measures(cuts.inner_fraction)("mask"))
-        .withColumn("_floors", variance_floors("variance", "image"))
-        .withColumn("_centre", centre_median("image"))
-        .withColumn("_peaks", count_peaks("image", F.col("_d.sky_noise")))
-    )
+    # Marked nondeterministic so that a filter on the outcome is not pushed below the pixel work,
+    # which would then run twice.
+    df = df.withColumns(
+        {
+            "_d": _depth_measures(cuts.inner_fraction).asNondeterministic()("image", "variance"),
+            "_p": _plane_measures(cuts.inner_fraction).asNondeterministic()("mask"),
+            "_floors": variance_floors.asNondeterministic()("variance", "image"),
+            "_centre": centre_median.asNondeterministic()("image"),
+        }
+    ).withColumn("_peaks", count_peaks.asNondeterministic()("image", F.col("_d.sky_noise")))
     planes = F.col("planes")
     diag: dict[str, Column] = {
         "frac_no_data": F.col("_d.frac_no_data"),
@@ -232,8 +235,7 @@ def gate(df: DataFrame, cuts: PatchCuts | None = None) -> DataFrame:
         diag[f"inner_frac_{plane}"] = plane_fraction(F.col("_p.inner"), planes, plane)
     for plane in RECORDED_PLANES:
         diag[f"frac_{plane}"] = plane_fraction(F.col("_p.whole"), planes, plane)
-    for name, column in diag.items():
-        df = df.withColumn(f"diag_{name}", column)
+    df = df.withColumns({f"diag_{name}": column for name, column in diag.items()})
     d = {name: F.col(f"diag_{name}") for name in diag}
 
     reasons = [

@@ -1,0 +1,210 @@
+"""Host selection from the object catalogue: cuts, flags, geometry and positional dedupe."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from stampmill.cuts import HostCuts
+from stampmill.functions.flux import finite, flux_to_mag
+from stampmill.operators.lineage import settle
+
+CENTRE_TOLERANCE_ARCSEC = 1.0
+
+
+def unmask(df: DataFrame) -> DataFrame:
+    """Null numbers to their sentinel: NaN for floats, -1 for integers; other types untouched."""
+    fills = {}
+    for field in df.schema:
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            fills[field.name] = F.coalesce(F.col(field.name), F.lit(float("nan")).cast(field.dataType))
+        elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            fills[field.name] = F.coalesce(F.col(field.name), F.lit(-1).cast(field.dataType))
+    return df.withColumns(fills) if fills else df
+
+
+def host_cuts(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:
+    """The numeric cuts, as plain comparisons against constants so they reach the scan.
+
+    Null and NaN pass nothing: a floor is paired with a ceiling, or guarded by `isnan`.
+    """
+    cuts = cuts or HostCuts()
+    flux, size = F.col(f"{cuts.band}_cModelFlux"), F.col("sersic_reff_major")
+    faint, bright = cuts.flux_range
+    kept = df.where((flux > faint) & (flux <= bright)).where(
+        (size >= float(cuts.min_reff_arcsec)) & (size <= float(cuts.max_reff_arcsec))
+    )
+    if cuts.min_extendedness is not None:
+        extended = F.col("refExtendedness")
+        kept = kept.where((extended > float(cuts.min_extendedness)) & ~F.isnan(extended))
+    if cuts.flux_per_area is not None:
+        area = size * F.col("sersic_reff_minor")
+        kept = kept.where((flux >= F.lit(cuts.flux_per_area) * area) & ~F.isnan(area))
+    if cuts.max_sersic_index is not None:
+        kept = kept.where(F.col("sersic_index") <= float(cuts.max_sersic_index))
+    if cuts.max_blendedness is not None:
+        kept = kept.where(F.col(f"{cuts.band}_blendedness") <= float(cuts.max_blendedness))
+    return kept
+
+
+def cone(df: DataFrame, ra: float, dec: float, radius_deg: float) -> DataFrame:
+    """Rows within a radius on the sphere; a declination range goes to the scan first."""
+    lat, lat0 = F.radians("coord_dec"), F.lit(math.radians(dec))
+    half_dec = F.sin((lat - lat0) / 2)
+    half_ra = F.sin((F.radians("coord_ra") - F.lit(math.radians(ra))) / 2)
+    hav = half_dec * half_dec + F.cos(lat) * F.lit(math.cos(math.radians(dec))) * half_ra * half_ra
+    near = F.degrees(2 * F.asin(F.sqrt(F.least(hav, F.lit(1.0))))) <= radius_deg
+    slack = radius_deg * (1 + 1e-9) + 1e-9
+    return df.where(F.col("coord_dec").between(dec - slack, dec + slack)).where(near)
+
+
+def host_flags(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:
+    """Finite position, no failed fit, and no saturated or interpolated core in the cut band."""
+    cuts = cuts or HostCuts()
+    kept = df.where(finite(F.col("coord_ra")) & finite(F.col("coord_dec")))
+    kept = kept.where(~F.col("sersic_unknown_flag") & ~F.col("sersic_no_data_flag"))
+    if cuts.reject_saturated_centre:
+        kept = kept.where(~F.col(f"{cuts.band}_pixelFlags_saturatedCenter"))
+    if cuts.reject_interpolated_centre:
+        kept = kept.where(~F.col(f"{cuts.band}_pixelFlags_interpolatedCenter"))
+    return kept
+
+
+def mean_surface_brightness(band: str) -> Column:
+    """mag/arcsec^2 inside the half-light ellipse; NaN where it is not defined."""
+    area = F.col("sersic_reff_major") * F.col("sersic_reff_minor")
+    good = area > 0
+    return F.when(
+        good & ~F.isnan(area), flux_to_mag(F.col(f"{band}_cModelFlux")) + 2.5 * F.log10(F.when(good, F.lit(2 * math.pi) * area))
+    ).otherwise(F.lit(float("nan")))
+
+
+def axis_ratio() -> Column:
+    major = F.col("sersic_reff_major")
+    usable = (major > 0) & ~F.isnan(major)
+    return F.when(usable, F.col("sersic_reff_minor") / F.when(usable, major)).otherwise(F.lit(float("nan")))
+
+
+def distortion() -> Column:
+    q2 = axis_ratio() * axis_ratio()
+    return (1 - q2) / (1 + q2)
+
+
+def binding_cut(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:
+    """Add the magnitude of the surface-brightness limit at each host's size, and which cut binds."""
+    cuts = cuts or HostCuts()
+    if cuts.max_mu_e is None:
+        return df.withColumn("mag_from_sb", F.lit(None).cast("double")).withColumn("binding", F.lit("magnitude"))
+    area = F.col("sersic_reff_major") * F.col("sersic_reff_minor")
+    limit = F.lit(cuts.max_mu_e) - 2.5 * F.log10(F.when(area > 0, F.lit(2 * math.pi) * area))
+    return df.withColumn("mag_from_sb", limit).withColumn(
+        "binding", F.when(F.lit(cuts.max_mag) < F.col("mag_from_sb"), "magnitude").otherwise("surface brightness")
+    )
+
+
+def separation_arcsec(ra: Column, dec: Column, ra0: Column, dec0: Column) -> Column:
+    """Small-angle distance of a position from (ra0, dec0)."""
+    return F.hypot((ra - ra0) * F.cos(F.radians(dec0)), dec - dec0) * 3600.0
+
+
+def verify_centre(df: DataFrame, tolerance: float = CENTRE_TOLERANCE_ARCSEC) -> DataFrame:
+    """Add `centre_sep_arcsec`; the job fails on a stamp that is not where it was asked for."""
+    sep = separation_arcsec(F.col("got_ra"), F.col("got_dec"), F.col("coord_ra"), F.col("coord_dec"))
+    astray = F.raise_error(F.lit("a stamp is not where it was asked for: two pixel origins are mixed")).cast("double")
+    return df.withColumn("centre_sep_arcsec", F.when(finite(sep) & (sep <= tolerance), sep).otherwise(astray))
+
+
+def stamp_box(df: DataFrame, size: int) -> DataFrame:
+    """Half-open pixel box of a `size` stamp at (x, y), rounding halves to even."""
+    half = size // 2
+    x0, y0 = F.bround("x").cast("bigint") - half, F.bround("y").cast("bigint") - half
+    return df.withColumns({"x0": x0, "x1": x0 + size, "y0": y0, "y1": y0 + size})
+
+
+def data_id_json(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    return df.withColumn("data_id", F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])))
+
+
+# -- positional dedupe ------------------------------------------------------
+
+
+def _ra_width(band: Column, r: float) -> Column:
+    """Width of a declination band's right-ascension buckets: one radius at its widest."""
+    edge = F.greatest(F.abs(band * r), F.abs((band + 1) * r))
+    return F.lit(r * (1 + 1e-9)) / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-6))
+
+
+def _bucket(df: DataFrame, r: float) -> DataFrame:
+    band = F.floor(F.col("dec") / r)
+    return df.withColumn("band", band).withColumn("bucket", F.floor(F.col("ra") / _ra_width(F.col("band"), r)))
+
+
+def _probe(df: DataFrame, r: float, steps: tuple[int, int], reach: Column, wrap: bool) -> DataFrame:
+    """Copies of each row in every bucket it can meet: two bands, a few buckets each."""
+    turns = F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)) if wrap else F.array(F.lit(0.0))
+    out = df.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("turn", F.explode(turns))
+    out = out.withColumn("band", F.col("band") + F.col("step")).withColumn("ra", F.col("ra") + F.col("turn"))
+    width = _ra_width(F.col("band"), r)
+    low, high = F.floor((F.col("ra") - reach) / width), F.floor((F.col("ra") + reach) / width)
+    if wrap:
+        out = out.where((F.col("turn") == 0) | ((F.col("ra") + reach >= 0) & (F.col("ra") - reach <= 360)))
+    return out.withColumn("bucket", F.explode(F.sequence(low, high))).drop("step", "turn")
+
+
+def dedupe(df: DataFrame, radius_arcsec: float = 0.5, wrap: bool = False, key: str = "objectId") -> DataFrame:
+    """Walk the rows by (declination, id); drop a row nearer than the radius to a kept one.
+
+    Done in rounds over open rows. The first open row of each sky bucket is kept when no earlier
+    open row is near it; then every open row near a newly kept one is dropped. Each bucket puts
+    forward one row a round and a bucket one radius wide keeps only a few rows ever, so the pairs
+    formed are a small multiple of the open rows, however many share a bucket. Rows at exactly
+    one position are settled before the first round: only the first of them can be kept.
+    Buckets are joined by key, so a crowded one can be split by the skew-join rule.
+    """
+    r = radius_arcsec / 3600.0
+    if not r > 0:
+        return df
+    places = df.select(F.col("coord_ra").alias("ra"), F.col("coord_dec").alias("dec"), F.col(key).alias("id"))
+    open_rows = settle(_bucket(places.groupBy("ra", "dec").agg(F.min("id").alias("id")), r))
+    kept = None
+
+    def cos(dec):
+        return F.greatest(F.cos(F.radians(dec)), F.lit(1e-6))
+
+    def near(early, late):
+        """`late` is a duplicate of `early`: the cosine is taken at the later row."""
+        dra = (F.col(f"{early}.ra") - F.col(f"{late}.ra")) * cos(F.col(f"{late}.dec"))
+        ddec = F.col(f"{early}.dec") - F.col(f"{late}.dec")
+        before = F.struct(f"{early}.dec", f"{early}.id") < F.struct(f"{late}.dec", f"{late}.id")
+        return before & (F.col(f"{early}.dec") >= F.col(f"{late}.dec") - r) & (F.hypot(dra, ddec) < r)
+
+    while not open_rows.isEmpty():
+        first = open_rows.groupBy("band", "bucket").agg(F.min(F.struct("dec", "id", "ra")).alias("m"))
+        first = first.select("m.*", "band", "bucket")
+        back = F.lit(r * (1 + 1e-9)) / cos(F.col("dec"))
+        asked = _probe(first, r, (0, -1), back, wrap)
+        same = (F.col("a.band") == F.col("o.band")) & (F.col("a.bucket") == F.col("o.bucket"))
+        blocked = asked.alias("a").join(open_rows.alias("o"), same & near("o", "a")).select("a.id").distinct()
+        new = settle(first.join(blocked, "id", "left_anti"))
+        kept = new.select("id") if kept is None else kept.union(new.select("id"))
+        # A kept row reaches rows of its own band and the next, at the widest either can be.
+        widest = F.greatest(F.abs(F.col("dec")), F.abs((F.col("band") + 1) * r))
+        ahead = F.lit(r * (1 + 1e-9)) / cos(F.least(widest, F.lit(90.0)))
+        reach = _probe(new, r, (0, 1), ahead, wrap)
+        hit = (F.col("k.band") == F.col("o.band")) & (F.col("k.bucket") == F.col("o.bucket"))
+        open_rows = settle(
+            open_rows.alias("o")
+            .join(reach.alias("k"), hit & near("k", "o"), "left_anti")
+            .join(new.alias("n"), F.col("o.id") == F.col("n.id"), "left_anti")
+        )
+    if kept is None:
+        return df
+    return df.join(kept.withColumnRenamed("id", key), key, "left_semi")
+
+
+def select_hosts(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:
+    """Numeric cuts, flags, dedupe."""
+    cuts = cuts or HostCuts()
+    return dedupe(host_flags(host_cuts(df, cuts), cuts), cuts.dedupe_radius_arcsec)

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("gate",)
+_MODULES = ("gate", "catalogue")
 
 
 def query(name: str, sql: str | None = None):

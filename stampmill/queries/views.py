@@ -177,6 +177,8 @@ def stamps32(spark, sf) -> DataFrame:
             "mask",
             planes.alias("planes"),
         )
+        # Pixel work is heavy for its bytes, so spread the few stamps evenly over the tasks.
+        .repartition(spark.sparkContext.defaultParallelism, "host_id")
     )
 
 
