@@ -61,9 +61,14 @@ def _block_floors(variance: np.ndarray, image: np.ndarray) -> list[float]:
     return floors
 
 
+def each(fn, *series) -> list:
+    """fn over the rows; a row with a missing argument gives None."""
+    return [None if any(v is None for v in row) else fn(*row) for row in zip(*series)]
+
+
 @F.pandas_udf(DOUBLES)
 def variance_floors(variance: pd.Series, image: pd.Series) -> pd.Series:
-    return pd.Series([_block_floors(square(v), square(i)) for v, i in zip(variance, image)])
+    return pd.Series(each(lambda v, i: _block_floors(square(v), square(i)), variance, image))
 
 
 def variance_step(floors: Column) -> Column:
@@ -83,7 +88,7 @@ def centre_median(image: pd.Series) -> pd.Series:
         window = window[np.isfinite(window)]
         return float(np.median(window)) if window.size else np.nan
 
-    return pd.Series([one(p) for p in image])
+    return pd.Series(each(one, image))
 
 
 def centre_sigma(median: Column, sky_noise: Column) -> Column:
@@ -111,27 +116,22 @@ def _peaks(a: np.ndarray, noise: float) -> int:
 @F.pandas_udf(DOUBLE)
 def count_peaks(image: pd.Series, sky_noise: pd.Series) -> pd.Series:
     """Distinct bright maxima of the smoothed stamp; -1 without a usable noise."""
-    return pd.Series(
-        [float(_peaks(square(p), s)) if s is not None and np.isfinite(s) and s > 0 else -1.0 for p, s in zip(image, sky_noise)]
-    )
+    usable = [s is not None and np.isfinite(s) and s > 0 for s in sky_noise]
+    noise = [s if ok else -1.0 for s, ok in zip(sky_noise, usable)]
+    return pd.Series(each(lambda p, s: float(_peaks(square(p), s)) if s > 0 else -1.0, image, noise))
 
 
 def _depth_measures(inner_fraction: float):
     @F.pandas_udf(struct(all_finite=T.BooleanType(), frac_no_data=DOUBLE, inner_frac_no_data=DOUBLE, sky_noise=DOUBLE))
     def measure(image: pd.Series, variance: pd.Series) -> pd.DataFrame:
-        rows = []
-        for pixels, var in zip(image, variance):
+        def one(pixels, var):
             v = square(var)
             empty = ~np.isfinite(v) | (v <= 0)
             seen = v[~empty]
-            rows.append(
-                (
-                    bool(np.all(np.isfinite(pixels))),
-                    float(empty.mean()),
-                    float(_inner(empty, inner_fraction).mean()),
-                    float(np.sqrt(np.median(seen))) if seen.size else np.nan,
-                )
-            )
+            noise = float(np.sqrt(np.median(seen))) if seen.size else np.nan
+            return bool(np.all(np.isfinite(pixels))), float(empty.mean()), float(_inner(empty, inner_fraction).mean()), noise
+
+        rows = [r or (None, None, None, None) for r in each(one, image, variance)]
         return pd.DataFrame(rows, columns=["all_finite", "frac_no_data", "inner_frac_no_data", "sky_noise"])
 
     return measure
@@ -140,17 +140,16 @@ def _depth_measures(inner_fraction: float):
 def _plane_measures(inner_fraction: float):
     @F.pandas_udf(struct(whole=DOUBLES, inner=DOUBLES))
     def measure(mask: pd.Series) -> pd.DataFrame:
-        whole, inner = [], []
-        for bits in mask:
+        def one(bits):
             flat = np.asarray(bits, dtype=np.int64)
             side = int(round(flat.size**0.5))
-            m = flat.reshape(side, side)
-            used = int(np.bitwise_or.reduce(flat)) if flat.size else 0
-            box = _inner(m, inner_fraction)
-            on = [(used >> b) & 1 for b in range(MAX_PLANES)]
-            whole.append([float(((m >> b) & 1).mean()) if on[b] else 0.0 for b in range(MAX_PLANES)])
-            inner.append([float(((box >> b) & 1).mean()) if on[b] else 0.0 for b in range(MAX_PLANES)])
-        return pd.DataFrame({"whole": whole, "inner": inner})
+            box = _inner(flat.reshape(side, side), inner_fraction)
+            used = int(np.bitwise_or.reduce(flat))
+            bits_in_use = [b if (used >> b) & 1 else None for b in range(MAX_PLANES)]
+            return tuple([0.0 if b is None else float(((m >> b) & 1).mean()) for b in bits_in_use] for m in (flat, box))
+
+        rows = [r or (None, None) for r in each(one, mask)]
+        return pd.DataFrame(rows, columns=["whole", "inner"])
 
     return measure
 
@@ -280,5 +279,5 @@ def gate(df: DataFrame, cuts: PatchCuts | None = None) -> DataFrame:
     if wanted:
         names = F.array(*[F.lit(w) for w in wanted])
         stale = F.raise_error(F.lit(f"none of the gated planes {wanted} is in the stamp's mask map"))
-        found = F.when(F.arrays_overlap(names, F.map_keys(planes)), found).otherwise(stale.cast("array<string>"))
+        found = F.when(planes.isNull() | F.arrays_overlap(names, F.map_keys(planes)), found).otherwise(stale.cast("array<string>"))
     return df.withColumn("reasons", found).drop("_d", "_p", "_floors", "_centre", "_peaks")

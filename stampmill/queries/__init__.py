@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("gate", "catalogue")
+_MODULES = ("gate", "catalogue", "walk")
 
 
 def query(name: str, sql: str | None = None):
