@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stampmill.cuts import PatchCuts
 from stampmill.functions.flux import finite
-from stampmill.functions.types import DOUBLE, DOUBLES, struct
+from stampmill.functions.types import DOUBLE, DOUBLES, arrow_function, struct
 
 # Fixed values of the gate.
 RECORDED_PLANES = ("INEXACT_PSF", "REJECTED", "DETECTED", "DETECTED_NEGATIVE", "CLIPPED", "SUSPECT")
@@ -66,7 +66,7 @@ def each(fn, *series) -> list:
     return [None if any(v is None for v in row) else fn(*row) for row in zip(*series)]
 
 
-@F.pandas_udf(DOUBLES)
+@arrow_function(DOUBLES)
 def variance_floors(variance: pd.Series, image: pd.Series) -> pd.Series:
     return pd.Series(each(lambda v, i: _block_floors(square(v), square(i)), variance, image))
 
@@ -77,7 +77,7 @@ def variance_step(floors: Column) -> Column:
     return F.when(usable, F.array_max(floors) / F.when(usable, F.array_min(floors))).otherwise(F.lit(float("nan")))
 
 
-@F.pandas_udf(DOUBLE)
+@arrow_function(DOUBLE)
 def centre_median(image: pd.Series) -> pd.Series:
     """Median of the finite pixels in the central window; NaN when there are none."""
 
@@ -113,7 +113,7 @@ def _peaks(a: np.ndarray, noise: float) -> int:
     return int(np.count_nonzero(hit[trim:-trim, trim:-trim]))
 
 
-@F.pandas_udf(DOUBLE)
+@arrow_function(DOUBLE)
 def count_peaks(image: pd.Series, sky_noise: pd.Series) -> pd.Series:
     """Distinct bright maxima of the smoothed stamp; -1 without a usable noise."""
     usable = [s is not None and np.isfinite(s) and s > 0 for s in sky_noise]
@@ -122,7 +122,7 @@ def count_peaks(image: pd.Series, sky_noise: pd.Series) -> pd.Series:
 
 
 def _depth_measures(inner_fraction: float):
-    @F.pandas_udf(struct(all_finite=T.BooleanType(), frac_no_data=DOUBLE, inner_frac_no_data=DOUBLE, sky_noise=DOUBLE))
+    @arrow_function(struct(all_finite=T.BooleanType(), frac_no_data=DOUBLE, inner_frac_no_data=DOUBLE, sky_noise=DOUBLE))
     def measure(image: pd.Series, variance: pd.Series) -> pd.DataFrame:
         def one(pixels, var):
             v = square(var)
@@ -138,7 +138,7 @@ def _depth_measures(inner_fraction: float):
 
 
 def _plane_measures(inner_fraction: float):
-    @F.pandas_udf(struct(whole=DOUBLES, inner=DOUBLES))
+    @arrow_function(struct(whole=DOUBLES, inner=DOUBLES))
     def measure(mask: pd.Series) -> pd.DataFrame:
         def one(bits):
             flat = np.asarray(bits, dtype=np.int64)
@@ -207,16 +207,14 @@ def gate(df: DataFrame, cuts: PatchCuts | None = None) -> DataFrame:
         raise ValueError(f"refusing to gate on {refused}: these mark real sources")
     wanted = sorted({*cuts.zero_tolerance_planes, *cuts.max_plane_fraction, *cuts.max_inner_plane_fraction})
 
-    # Marked nondeterministic so that a filter on the outcome is not pushed below the pixel work,
-    # which would then run twice.
     df = df.withColumns(
         {
-            "_d": _depth_measures(cuts.inner_fraction).asNondeterministic()("image", "variance"),
-            "_p": _plane_measures(cuts.inner_fraction).asNondeterministic()("mask"),
-            "_floors": variance_floors.asNondeterministic()("variance", "image"),
-            "_centre": centre_median.asNondeterministic()("image"),
+            "_d": _depth_measures(cuts.inner_fraction)("image", "variance"),
+            "_p": _plane_measures(cuts.inner_fraction)("mask"),
+            "_floors": variance_floors("variance", "image"),
+            "_centre": centre_median("image"),
         }
-    ).withColumn("_peaks", count_peaks.asNondeterministic()("image", F.col("_d.sky_noise")))
+    ).withColumn("_peaks", count_peaks("image", F.col("_d.sky_noise")))
     planes = F.col("planes")
     diag: dict[str, Column] = {
         "frac_no_data": F.col("_d.frac_no_data"),

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("gate", "catalogue", "walk")
+_MODULES = ("gate", "catalogue", "walk", "flux", "images")
 
 
 def query(name: str, sql: str | None = None):
