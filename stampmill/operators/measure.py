@@ -107,7 +107,7 @@ def set_stats(df: DataFrame, pool_factor: int = 1, by: tuple[str, ...] = ()) ->
 def sample_report(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """x: mean, std, range and non-finite count; flux: median and maximum."""
     df, keys = _grouped(df, by)
-    pixels = df.select(*keys, F.explode("image").cast("double").alias("v"))
+    pixels = df.select(*keys, F.explode(F.transform("image", lambda v: v.cast("double"))).alias("v"))
     good = F.when(finite(F.col("v")), F.col("v"))
     sums = pixels.groupBy(*keys).agg(
         F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), F.min(good).alias("min"), F.max(good).alias("max"),

@@ -209,7 +209,7 @@ def _permutations(labelled: DataFrame, key: str, n: int, seed) -> DataFrame:
     Ranked per labelling and landmark group; a group is at most the sample.
     """
     spread = labelled.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("p"))
-    spread = spread.withColumn("_h", draw(seed, "p", key))
+    spread = spread.withColumn("_h", draw(f"{seed}p", "run", "p", key))
     group = Window.partitionBy("p", "landmark", "run")
     order = group.orderBy("_h", key)
     sized = spread.where("label >= 0").withColumn("_first", F.sum((F.col("label") == 1).cast("int")).over(group))

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("gate", "catalogue", "walk", "flux", "images")
+_MODULES = ("gate", "catalogue", "walk", "flux", "images", "measures", "compare", "tables", "sampling", "streams")
 
 
 def query(name: str, sql: str | None = None):
