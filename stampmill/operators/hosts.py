@@ -130,27 +130,38 @@ def data_id_json(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 # -- positional dedupe ------------------------------------------------------
 
 
-def _ra_width(band: Column, r: float) -> Column:
-    """Width of a declination band's right-ascension buckets: one radius at its widest."""
-    edge = F.greatest(F.abs(band * r), F.abs((band + 1) * r))
-    return F.lit(r * (1 + 1e-9)) / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-6))
+_SLACK = 1 + 1e-9
 
 
-def _bucket(df: DataFrame, r: float) -> DataFrame:
-    band = F.floor(F.col("dec") / r)
-    return df.withColumn("band", band).withColumn("bucket", F.floor(F.col("ra") / _ra_width(F.col("band"), r)))
+def _cos(dec: str) -> str:
+    return f"greatest(cos(radians({dec})), 1e-6)"
 
 
-def _probe(df: DataFrame, r: float, steps: tuple[int, int], reach: Column, wrap: bool) -> DataFrame:
-    """Copies of each row in every bucket it can meet: two bands, a few buckets each."""
-    turns = F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)) if wrap else F.array(F.lit(0.0))
-    out = df.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("turn", F.explode(turns))
-    out = out.withColumn("band", F.col("band") + F.col("step")).withColumn("ra", F.col("ra") + F.col("turn"))
-    width = _ra_width(F.col("band"), r)
-    low, high = F.floor((F.col("ra") - reach) / width), F.floor((F.col("ra") + reach) / width)
+def _ra_width(r: float) -> str:
+    """Width of a declination band's right-ascension buckets: one radius at the band's widest."""
+    edge = f"least(greatest(abs(band * {r!r}D), abs((band + 1) * {r!r}D)), 90D)"
+    return f"({r * _SLACK!r}D / {_cos(edge)})"
+
+
+def _probe(rows: DataFrame, r: float, steps: tuple[int, int], reach: str, wrap: bool) -> DataFrame:
+    """Copies of each row in every bucket it can meet: two bands, a few buckets each.
+
+    `reach` is how far the row reaches in right ascension, as an expression of its dec and band.
+    """
+    turns = "array(0D, 360D, -360D)" if wrap else "array(0D)"
+    out = rows.selectExpr("id", "dec", "ra", f"{reach} AS reach", "band AS home", f"explode(array({steps[0]}L, {steps[1]}L)) AS step")
+    out = out.selectExpr("id", "dec", "ra", "reach", "home + step AS band", f"explode({turns}) AS turn")
     if wrap:
-        out = out.where((F.col("turn") == 0) | ((F.col("ra") + reach >= 0) & (F.col("ra") - reach <= 360)))
-    return out.withColumn("bucket", F.explode(F.sequence(low, high))).drop("step", "turn")
+        out = out.where("turn = 0 OR (ra + turn + reach >= 0 AND ra + turn - reach <= 360)")
+    width = _ra_width(r)
+    low, high = (f"floor((ra + turn {sign} reach) / {width})" for sign in "-+")
+    return out.selectExpr("id", "dec", "ra + turn AS ra", "band", f"explode(sequence({low}, {high})) AS bucket")
+
+
+def _near(early: str, late: str, r: float) -> str:
+    """`late` is a duplicate of `early`: it comes later, and the cosine is taken at its place."""
+    return f"""({early}.dec < {late}.dec OR ({early}.dec = {late}.dec AND {early}.id < {late}.id)) AND {early}.dec >= {late}.dec - {r!r}D
+        AND hypot(({early}.ra - {late}.ra) * {_cos(late + '.dec')}, {early}.dec - {late}.dec) < {r!r}D"""
 
 
 def dedupe(df: DataFrame, radius_arcsec: float = 0.5, wrap: bool = False, key: str = "objectId") -> DataFrame:
@@ -166,39 +177,26 @@ def dedupe(df: DataFrame, radius_arcsec: float = 0.5, wrap: bool = False, key: s
     r = radius_arcsec / 3600.0
     if not r > 0:
         return df
-    places = df.select(F.col("coord_ra").alias("ra"), F.col("coord_dec").alias("dec"), F.col(key).alias("id"))
-    open_rows = settle(_bucket(places.groupBy("ra", "dec").agg(F.min("id").alias("id")), r))
-    kept = None
-
-    def cos(dec):
-        return F.greatest(F.cos(F.radians(dec)), F.lit(1e-6))
-
-    def near(early, late):
-        """`late` is a duplicate of `early`: the cosine is taken at the later row."""
-        dra = (F.col(f"{early}.ra") - F.col(f"{late}.ra")) * cos(F.col(f"{late}.dec"))
-        ddec = F.col(f"{early}.dec") - F.col(f"{late}.dec")
-        before = F.struct(f"{early}.dec", f"{early}.id") < F.struct(f"{late}.dec", f"{late}.id")
-        return before & (F.col(f"{early}.dec") >= F.col(f"{late}.dec") - r) & (F.hypot(dra, ddec) < r)
-
-    while not open_rows.isEmpty():
-        first = open_rows.groupBy("band", "bucket").agg(F.min(F.struct("dec", "id", "ra")).alias("m"))
-        first = first.select("m.*", "band", "bucket")
-        back = F.lit(r * (1 + 1e-9)) / cos(F.col("dec"))
-        asked = _probe(first, r, (0, -1), back, wrap)
-        same = (F.col("a.band") == F.col("o.band")) & (F.col("a.bucket") == F.col("o.bucket"))
-        blocked = asked.alias("a").join(open_rows.alias("o"), same & near("o", "a")).select("a.id").distinct()
+    places = df.selectExpr("coord_ra AS ra", "coord_dec AS dec", f"`{key}` AS id").groupBy("ra", "dec").agg(F.expr("min(id) AS id"))
+    placed = places.selectExpr("id", "ra", "dec", f"floor(dec / {r!r}D) AS band")
+    open_rows = settle(placed.selectExpr("*", f"floor(ra / {_ra_width(r)}) AS bucket"))
+    kept, left = None, open_rows.count()
+    while left:
+        first = open_rows.groupBy("band", "bucket").agg(F.expr("min(struct(dec, id, ra)) AS m")).select("m.*", "band", "bucket")
+        asked = _probe(first, r, (0, -1), f"({r * _SLACK!r}D / {_cos('dec')})", wrap)
+        at = "{0}.band = o.band AND {0}.bucket = o.bucket AND "
+        blocked = asked.alias("a").join(open_rows.alias("o"), F.expr(at.format("a") + _near("o", "a", r))).select("a.id").distinct()
         new = settle(first.join(blocked, "id", "left_anti"))
         kept = new.select("id") if kept is None else kept.union(new.select("id"))
         # A kept row reaches rows of its own band and the next, at the widest either can be.
-        widest = F.greatest(F.abs(F.col("dec")), F.abs((F.col("band") + 1) * r))
-        ahead = F.lit(r * (1 + 1e-9)) / cos(F.least(widest, F.lit(90.0)))
-        reach = _probe(new, r, (0, 1), ahead, wrap)
-        hit = (F.col("k.band") == F.col("o.band")) & (F.col("k.bucket") == F.col("o.bucket"))
+        widest = f"least(greatest(abs(dec), abs((band + 2) * {r!r}D)), 90D)"
+        reach = _probe(new, r, (0, 1), f"({r * _SLACK!r}D / {_cos(widest)})", wrap)
         open_rows = settle(
             open_rows.alias("o")
-            .join(reach.alias("k"), hit & near("k", "o"), "left_anti")
-            .join(new.alias("n"), F.col("o.id") == F.col("n.id"), "left_anti")
+            .join(reach.alias("k"), F.expr(at.format("k") + _near("k", "o", r)), "left_anti")
+            .join(new.select("id"), "id", "left_anti")
         )
+        left = open_rows.count()
     if kept is None:
         return df
     return df.join(kept.withColumnRenamed("id", key), key, "left_semi")

@@ -16,6 +16,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
+
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
