@@ -1,16 +1,34 @@
-"""Column expressions over flat row-major images (index = y * side + x)."""
+"""Functions of flat row-major images (index = y * side + x).
 
-from __future__ import annotations
+Arithmetic on every pixel runs over Arrow batches: measured at 64 to 16,384 pixels a lambda in
+`transform` costs microseconds a pixel and numpy nanoseconds. The same formulas for scalar columns
+are in `flux`, native. Slices and quantiles of one array stay native.
+"""
 
-import math
+from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from stampmill.functions.flux import exact_flux, log_flux, soften
+from stampmill.functions.flux import EXPM1_ABOVE, LINEAR_BELOW
+from stampmill.functions.types import DOUBLE, DOUBLES, arrow_function, struct
+
+
+def each(fn, *series) -> list:
+    """fn over the rows; a row with a missing argument gives None."""
+    return [None if any(v is None for v in row) else fn(*row) for row in zip(*series)]
+
+
+def square(pixels) -> np.ndarray:
+    """A flat stamp as a float64 image."""
+    flat = np.asarray(pixels, dtype=np.float64)
+    side = int(round(flat.size**0.5))
+    return flat.reshape(side, side)
 
 
 def doubles(image: Column) -> Column:
-    return F.transform(image, lambda v: v.cast("double"))
+    return image.cast("array<double>")
 
 
 def side_of(image: Column) -> Column:
@@ -25,29 +43,69 @@ def quantile_of(ordered: Column, p: float) -> Column:
     return a + (b - a) * (at - low)
 
 
-def soften_image(image: Column, softening, floor=0.0) -> Column:
-    return F.transform(image, lambda v: soften(v.cast("double"), softening, floor))
+def _pixelwise(fn):
+    """A column function (image, softening, floor) from a numpy one; both settings may vary by row."""
 
+    @arrow_function(DOUBLES)
+    def run(image: pd.Series, softening: pd.Series, floor: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series(each(lambda v, s, c: fn(np.asarray(v, dtype=np.float64), s, c), image, softening, floor))
 
-def to_x(image: Column, softening, floor=0.0) -> Column:
-    """Flux image to log space; the floor may be a column, one value a stamp."""
-    return F.transform(image, lambda v: log_flux(v.cast("double"), softening, floor))
+    def column(image: Column, softening=1.0, floor=0.0) -> Column:
+        s, c = (v if isinstance(v, Column) else F.lit(float(v)) for v in (softening, floor))
+        return run(image, s.cast("double"), c.cast("double"))
 
+    column.__doc__ = fn.__doc__
+    return column
 
-def to_flux(x: Column) -> Column:
+
+def _soft(f, s, c):
+    """floor + s * softplus((f - floor) / s)"""
+    return c + s * np.logaddexp(0.0, (f - c) / s)
+
+
+def _log_flux(f, s, c):
+    """Flux image to log space, with the linear limit far below a zero floor."""
+    u, value = (f - c) / s, _soft(f, s, c)
+    limit = (value <= 0) | ((c == 0) & (u < LINEAR_BELOW))
+    return np.where(limit, u + np.log(s), np.log(value))
+
+
+def _flux(x, s, c):
     """Model flux of a log-space image, which is also the map's own derivative."""
-    return F.transform(x, lambda v: F.exp(v.cast("double")))
+    return np.exp(x)
+
 
+def _exact(x, s, c):
+    """The measured flux a log-space image was made from."""
+    log_v = x - np.log(s) if c == 0 else np.log(np.maximum((np.exp(x) - c) / s, 1e-300))
+    v = np.exp(log_v)
+    u = np.select([v > EXPM1_ABOVE, log_v < LINEAR_BELOW], [v, log_v], np.log(np.expm1(v)))
+    return c + s * u
 
-def to_flux_exact(x: Column, softening, floor=0.0) -> Column:
-    return F.transform(x, lambda v: exact_flux(v.cast("double"), softening, floor))
+
+soften_image = _pixelwise(_soft)
+to_x = _pixelwise(_log_flux)
+to_flux = _pixelwise(_flux)
+to_flux_exact = _pixelwise(_exact)
+
+
+@arrow_function(struct(image=DOUBLES, high=DOUBLE))
+def _stretch(image: pd.Series, noise: pd.Series) -> pd.DataFrame:
+    def one(pixels, s):
+        x = np.arcsinh(np.asarray(pixels, dtype=np.float64) / s)
+        return x, max(float(np.percentile(x, 99.8)), 3.0)
+
+    return pd.DataFrame([r or (None, None) for r in each(one, image, noise)], columns=["image", "high"])
 
 
 def asinh_stretch(image: Column, sky_noise: Column) -> Column:
-    """asinh(flux / noise); a noise that is not positive counts as one."""
+    """(image, high): asinh(flux / noise) and the high end of its colour range.
+
+    A noise that is not positive counts as one.
+    """
     usable = (sky_noise > 0) & ~F.isnan(sky_noise) & (sky_noise < float("inf"))
-    noise = F.when(usable, sky_noise.cast("double")).otherwise(F.lit(1.0))
-    return F.transform(image, lambda v: F.asinh(v.cast("double") / noise))
+    return _stretch(image, F.when(usable, sky_noise.cast("double")).otherwise(F.lit(1.0)))
 
 
 def crop(image: Column, size, y0, x0) -> Column:
@@ -64,26 +122,17 @@ def centre_crop(image: Column, size: int) -> Column:
     return crop(image, size, start, start)
 
 
-def dihedral(image: Column, k) -> Column:
-    """Element k of the square's symmetries: a quarter turn k mod 4 times, then mirrored for k >= 4.
-
-    Every element reads pixel base + dy * y + dx * x, so only those three numbers depend on k.
-    """
-    k = k if isinstance(k, Column) else F.lit(k)
-    n = side_of(image)
-    turn = F.pmod(k, F.lit(4))
-    base = F.when(turn == 0, 0).when(turn == 1, n - 1).when(turn == 2, n * n - 1).otherwise(n * (n - 1))
-    dy = F.when(turn == 0, n).when(turn == 1, -1).when(turn == 2, -n).otherwise(1)
-    dx = F.when(turn == 0, 1).when(turn == 1, n).when(turn == 2, -1).otherwise(-n)
-    mirrored = k >= 4
-    start = F.when(mirrored, base + dx * (n - 1)).otherwise(base).cast("int")
-    step = F.when(mirrored, -dx).otherwise(dx).cast("int")
-    known = F.when(k.between(0, 7), image).otherwise(F.raise_error(F.lit("k must lie in 0..7")).cast("array<double>"))
-    return F.transform(known, lambda _, i: F.get(image, (start + dy * F.floor(i / n) + step * F.pmod(i, n)).cast("int")))
-
+@arrow_function(DOUBLES)
+def _turned(image: pd.Series, k: pd.Series) -> pd.Series:
+    def one(pixels, element):
+        if not 0 <= element < 8:
+            raise ValueError(f"k must lie in 0..7, got {element}")
+        a = np.rot90(square(pixels), element % 4)
+        return (a[:, ::-1] if element >= 4 else a).ravel()
 
-def mean_of(image: Column) -> Column:
-    return F.aggregate(image, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(image)
+    return pd.Series(each(one, image, k))
 
 
-LOG2 = math.log(2.0)
+def dihedral(image: Column, k) -> Column:
+    """Element k of the square's symmetries: a quarter turn k mod 4 times, mirrored for k >= 4."""
+    return _turned(image, k if isinstance(k, Column) else F.lit(k))

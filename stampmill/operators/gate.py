@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stampmill.cuts import PatchCuts
+from stampmill.functions.arrays import each, square
 from stampmill.functions.flux import finite
-from stampmill.functions.types import DOUBLE, DOUBLES, arrow_function, struct
+from stampmill.functions.types import DOUBLE, DOUBLES, LONGS, arrow_function, struct
 
 # Fixed values of the gate.
 RECORDED_PLANES = ("INEXACT_PSF", "REJECTED", "DETECTED", "DETECTED_NEGATIVE", "CLIPPED", "SUSPECT")
@@ -30,13 +31,6 @@ PEAK_SMOOTH = 3
 PEAK_RADIUS = 3
 
 
-def square(pixels) -> np.ndarray:
-    """A flat stamp as a float64 image."""
-    flat = np.asarray(pixels, dtype=np.float64)
-    side = int(round(flat.size**0.5))
-    return flat.reshape(side, side)
-
-
 def _inner(a: np.ndarray, fraction: float) -> np.ndarray:
     side = max(int(len(a) * fraction), 1)
     start = (len(a) - side) // 2
@@ -61,11 +55,6 @@ def _block_floors(variance: np.ndarray, image: np.ndarray) -> list[float]:
     return floors
 
 
-def each(fn, *series) -> list:
-    """fn over the rows; a row with a missing argument gives None."""
-    return [None if any(v is None for v in row) else fn(*row) for row in zip(*series)]
-
-
 @arrow_function(DOUBLES)
 def variance_floors(variance: pd.Series, image: pd.Series) -> pd.Series:
     return pd.Series(each(lambda v, i: _block_floors(square(v), square(i)), variance, image))
@@ -175,14 +164,13 @@ def pack_mask(df: DataFrame, planes: Iterable[str], out: str = "mask") -> DataFr
     if not names:
         raise ValueError("no planes to pack")
 
-    def with_bit(bit):
-        return lambda bits, on: bits.bitwiseOR(F.shiftleft(on.cast("bigint"), bit))
+    @arrow_function(LONGS)
+    def packed(stacked: pd.Series) -> pd.Series:
+        bits = np.left_shift(np.int64(1), np.arange(len(names)))
+        return pd.Series(each(lambda planes: bits @ np.stack(planes).astype(np.int64), stacked))
 
-    packed = F.transform(F.col(names[0]), lambda on: on.cast("bigint"))
-    for bit, name in list(enumerate(names))[1:]:
-        packed = F.zip_with(packed, F.col(name), with_bit(bit))
     mapping = F.create_map(*[F.lit(v) for bit, name in enumerate(names) for v in (name, bit)])
-    return df.withColumn(out, packed).withColumn("planes", mapping)
+    return df.withColumn(out, packed(F.array(*[F.col(n) for n in names]))).withColumn("planes", mapping)
 
 
 def fixed(value: Column, digits: int) -> Column:

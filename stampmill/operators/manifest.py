@@ -42,7 +42,7 @@ def diagnostic_percentiles(manifest: DataFrame) -> DataFrame:
     have = [d for d in DIAGNOSTICS if f"diag_{d}" in manifest.columns]
     pairs = F.array(*[F.struct(F.lit(d).alias("diagnostic"), F.col(f"diag_{d}").cast("double").alias("value")) for d in have])
     long = manifest.select(F.inline(pairs))
-    found = exact_quantiles(long, "value", [p / 100 for p in PERCENTILES], by=["diagnostic"])
+    found = exact_quantiles(long, "value", [p / 100 for p in PERCENTILES], by=["diagnostic"], keep=True)
     return found.where("n >= 2").select(
         "diagnostic", "n", *[F.element_at("q", i + 1).alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
     )
@@ -50,7 +50,7 @@ def diagnostic_percentiles(manifest: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """n, min, quartiles and max of a column."""
-    found = exact_quantiles(df, column, (0.0, 0.25, 0.5, 0.75, 1.0))
+    found = exact_quantiles(df, column, (0.0, 0.25, 0.5, 0.75, 1.0), keep=True)
     return found.where("n > 0").select(
         "n", *[F.element_at("q", i + 1).alias(name) for i, name in enumerate(("min", "p25", "p50", "p75", "max"))]
     )

@@ -32,7 +32,7 @@ def faint_spread(image: Column) -> Column:
 def pooled_sky_noise(pooled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Median over stamps of the faint spread, finite and positive ones only; none at all is an error."""
     spread = pooled.select(*by, faint_spread(F.col("image")).alias("v")).where(finite(F.col("v")) & (F.col("v") > 0))
-    found = exact_quantiles(spread, "v", (0.5,), by=by).where("n > 0")
+    found = exact_quantiles(spread, "v", (0.5,), by=by, keep=True).where("n > 0")
     if found.isEmpty():
         raise ValueError("no stamp has a measurable sky noise")
     return found.select(*by, F.col("n").alias("n_stamps"), F.element_at("q", 1).alias("pooled_noise"))
@@ -94,7 +94,7 @@ def set_stats(df: DataFrame, pool_factor: int = 1, by: tuple[str, ...] = ()) ->
     quantiles = exact_quantiles(pixels, "v", [p / 100 for p in STAT_PERCENTILES], by=keys)
     quantiles = quantiles.select(*keys, *[F.element_at("q", i + 1).alias(percent_name(p)) for i, p in enumerate(STAT_PERCENTILES)])
     ranges = df.select(*keys, (F.array_max("image") - F.array_min("image")).alias("r"))
-    ranges = exact_quantiles(ranges, "r", (0.99,), by=keys).select(*keys, F.col("n").alias("n_stamps"), F.element_at("q", 1).alias("per_patch_range_p99"))
+    ranges = exact_quantiles(ranges, "r", (0.99,), by=keys, keep=True).select(*keys, F.col("n").alias("n_stamps"), F.element_at("q", 1).alias("per_patch_range_p99"))
     out = sums.join(quantiles, keys).join(ranges, keys).withColumn("sky_scatter", (F.col("p84") - F.col("p16")) / 2)
     if {"flux", "sky_noise"} <= set(df.columns):
         noise = F.col("sky_noise").cast("double") / pool_factor
@@ -126,11 +126,6 @@ def shared_range(df: DataFrame, column: str = "image", by: tuple[str, ...] = ())
     return groups.select(*by, F.coalesce(F.element_at("q", 1), F.lit(0.0)).alias("low"), F.coalesce(F.element_at("q", 2), F.lit(1.0)).alias("high"))
 
 
-def stretch_high(stretched: Column) -> Column:
-    """High end of a cutout's colour range."""
-    return F.greatest(A.quantile_of(F.sort_array(stretched), 0.998), F.lit(3.0))
-
-
 def sigma_range(df: DataFrame, rule: str = "pairs") -> DataFrame:
     """Add sigma_min and sigma_max from the statistics (and `pair_max`) on each row."""
     if rule not in ("pairs", "per-pixel"):

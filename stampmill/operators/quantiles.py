@@ -24,26 +24,38 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
+    keep: bool = False,
     percentile_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
     """One row per group: the keys, `n` finite values, and `q`, the array of quantiles.
 
-    Groups are few (bands, panels, diagnostics); numpy's linear interpolation.
+    Groups are few (bands, panels, diagnostics); numpy's linear interpolation. The values are read
+    two or more times: `keep` holds them (in memory, spilling to disk) meanwhile, for values that
+    are one a stamp and costly to make again.
     """
     by = list(by)
     values = df.select(*by, F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
-    probs = [float(p) for p in probs]
+    if keep:
+        values = values.persist()
+    try:
+        return _quantiles(values, [float(p) for p in probs], by, percentile_rows)
+    finally:
+        if keep:
+            values.unpersist()
+
+
+def _quantiles(values: DataFrame, probs: list[float], by: list[str], percentile_rows: int) -> DataFrame:
+    spark = values.sparkSession
+    key_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in values.select(*by).schema)
+    schema = key_schema + "n bigint, q array<double>"
     biggest = values.groupBy(*by).count().agg(F.max("count").alias("m")).first()["m"] or 0
     if biggest <= percentile_rows:
-        return values.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"),
-        )
+        small = values.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
+        return spark.createDataFrame([tuple(r) for r in small.collect()], schema)
 
     bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     groups = {tuple(r[k] for k in by): (r["n"], r["lo"], r["hi"]) for r in bounds.collect()}
-    spark = df.sparkSession
-    key_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in values.select(*by).schema)
 
     def count_bins(brackets):
         rows = [(*key, i, float(lo), float(hi)) for i, (key, lo, hi) in enumerate(brackets)]
@@ -63,7 +75,7 @@ def exact_quantiles(
 
     found = refine(groups, probs, count_bins)
     rows = [(*key, groups[key][0], found[key]) for key in groups]
-    return spark.createDataFrame(rows, key_schema + "n bigint, q array<double>")
+    return spark.createDataFrame(rows, schema)
 
 
 def bin_of(v, lo, hi):

@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stampmill.functions.arrays import each, square
 from stampmill.functions.types import DOUBLES, LONG, LONGS, arrow_function, struct
-from stampmill.operators.gate import each, square
 
 SCALES = (1, 2, 4, 8, 16, 32)
 STATE_SCHEMA = "mode bigint, power double, n_patches bigint, size int"

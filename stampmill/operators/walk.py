@@ -39,23 +39,22 @@ def hosts_without_coadd(hosts: DataFrame, coadds: DataFrame, bands: Sequence[str
     return hosts.join(covered, ["tract", "patch"], "left_anti")
 
 
-def covered_cells(x: Column, y: Column, size: int, cell: int = CELL_PX) -> Column:
+def covered_cells(size: int, cell: int = CELL_PX) -> Column:
     """The (i, j) cells a stamp at (x, y) covers: i runs along x, j along y."""
     half = size // 2
+    span = f"sequence(floor((bround({{0}}) - {half}) / {cell}), floor((bround({{0}}) + {half - 1}) / {cell}))"
+    return F.expr(f"flatten(transform({span.format('x')}, i -> transform({span.format('y')}, j -> struct(i, j))))")
 
-    def span(centre):
-        c = F.bround(centre).cast("bigint")
-        return F.sequence(F.floor((c - half) / cell), F.floor((c + half - 1) / cell))
 
-    rows = F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.alias("i"), j.alias("j"))))
-    return F.flatten(rows)
+def _cell_key(i: str, j: str) -> str:
+    """One number per cell; a patch has far fewer than 2^20 cells a side."""
+    return f"(CAST({i} AS BIGINT) * 1048576 + {j})"
 
 
 def depth_maps(visits: DataFrame) -> DataFrame:
     """One map of cell to visits per coadd; a coadd has no more cells than its grid."""
-    cell = F.struct(F.col("cell_i").cast("bigint").alias("i"), F.col("cell_j").cast("bigint").alias("j"))
-    entry = F.struct(cell.alias("cell"), F.col("n_visits"))
-    return visits.groupBy(*COADD).agg(F.map_from_entries(F.collect_list(entry)).alias("depths"))
+    entry = f"map_from_entries(collect_list(struct({_cell_key('cell_i', 'cell_j')}, n_visits)))"
+    return visits.groupBy(*COADD).agg(F.expr(entry).alias("depths"))
 
 
 def with_depth(stamps: DataFrame, visits: DataFrame, size: int) -> DataFrame:
@@ -64,24 +63,18 @@ def with_depth(stamps: DataFrame, visits: DataFrame, size: int) -> DataFrame:
     One join on the coadd key; a cell without visits counts 0, and a lowest count of 0 is an
     infinite ratio.
     """
-    joined = stamps.join(depth_maps(visits), COADD, "left")
-    joined = joined.withColumn("_cells", covered_cells(F.col("x"), F.col("y"), size))
-    seen = F.transform("_cells", lambda c: F.coalesce(F.try_element_at("depths", c), F.lit(0).cast("bigint")))
-    low, high = F.array_min("_seen"), F.array_max("_seen")
-    return (
-        joined.withColumn("_seen", F.when(F.col("depths").isNull(), F.transform("_cells", lambda c: F.lit(0).cast("bigint"))).otherwise(seen))
-        .withColumn("n_cells_spanned", F.size("_cells"))
-        .withColumn("n_cells_missing", F.size(F.filter("_seen", lambda n: n == 0)))
-        .withColumn("n_visits_min", low)
-        .withColumn("n_visits_max", high)
-        .withColumn("cell_depth_ratio", F.when(low > 0, high / low).otherwise(F.lit(float("inf"))))
-        .drop("_cells", "_seen", "depths")
-    )
+    joined = stamps.join(depth_maps(visits), COADD, "left").withColumn("_cells", covered_cells(size))
+    seen = f"transform(_cells, c -> coalesce(depths[{_cell_key('c.i', 'c.j')}], 0L))"
+    counted = joined.withColumn("_seen", F.expr(seen))
+    named = counted.selectExpr(*stamps.columns, "size(_cells) AS n_cells_spanned", "size(filter(_seen, n -> n = 0)) AS n_cells_missing",
+                               "array_min(_seen) AS n_visits_min", "array_max(_seen) AS n_visits_max")
+    ratio = "CASE WHEN n_visits_min > 0 THEN n_visits_max / n_visits_min ELSE double('Infinity') END"
+    return named.withColumn("cell_depth_ratio", F.expr(ratio))
 
 
 def off_grid(stamps: DataFrame, built: DataFrame, size: int) -> DataFrame:
     """Stamps that cover a cell which was never built (`built` holds a row per built cell)."""
-    cells = stamps.withColumn("_c", F.explode(covered_cells(F.col("x"), F.col("y"), size)))
+    cells = stamps.withColumn("_c", F.explode(covered_cells(size)))
     cells = cells.select(*stamps.columns, F.col("_c.i").alias("cell_i"), F.col("_c.j").alias("cell_j"))
     present = built.select(*COADD, F.col("cell_i").cast("bigint").alias("cell_i"), F.col("cell_j").cast("bigint").alias("cell_j"))
     return cells.join(present, [*COADD, "cell_i", "cell_j"], "left_anti").select(*stamps.columns).distinct()
@@ -89,7 +82,7 @@ def off_grid(stamps: DataFrame, built: DataFrame, size: int) -> DataFrame:
 
 def covered_known_cells(stamps: DataFrame, visits: DataFrame, size: int) -> DataFrame:
     """(stamp columns, cell) for the covered cells that the contributions know."""
-    cells = stamps.withColumn("_c", F.explode(covered_cells(F.col("x"), F.col("y"), size)))
+    cells = stamps.withColumn("_c", F.explode(covered_cells(size)))
     cells = cells.select(*stamps.columns, F.col("_c.i").alias("cell_i"), F.col("_c.j").alias("cell_j"))
     known = visits.select(*COADD, F.col("cell_i").cast("bigint").alias("cell_i"), F.col("cell_j").cast("bigint").alias("cell_j"))
     return cells.join(known, [*COADD, "cell_i", "cell_j"], "left_semi")

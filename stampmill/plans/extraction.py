@@ -1,11 +1,13 @@
 """Extraction as one job: hosts, coadds, depth, pixels, gate, stop at the target.
 
-The gate is the costly step and the walk stops early, so patches are taken in growing ranges of
-walk rank until enough stamps are accepted; the exact stop is then applied to the whole.
+The gate is the costly step and the walk stops early, so whole patches are taken in ranges of walk
+rank, each sized by the hosts still needed at the acceptance seen so far, until enough stamps are
+accepted; the exact stop is then applied to the whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_prefix_sum
 from stampmill.operators import walk as w
 
-FIRST_PATCHES = 256
+FIRST_ACCEPTANCE, MARGIN = 0.25, 1.2
 BROADCAST_KEYS = 500_000
 
 
@@ -71,7 +73,7 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
 
 
 def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts | None = None, bands: Sequence[str] = BANDS,
-            seed=0, n_stamps: int | None = None, part: tuple[int, int] | None = None, first_patches: int = FIRST_PATCHES) -> Extraction:
+            seed=0, n_stamps: int | None = None, part: tuple[int, int] | None = None) -> Extraction:
     """`pixels` has host_id, band_idx, native_size, image, variance, mask and planes."""
     cuts = cuts or PatchCuts()
     walk = w.walk_order(hosts, seed)
@@ -83,16 +85,24 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
     if walk.isEmpty():
         raise RuntimeError("the host catalogue is empty; loosen the cuts")
     visits = settle(w.cell_visit_counts(contributions))
-    last = walk.agg(F.max("patch_rank")).first()[0]
-
-    rows, low, step, accepted = None, 0, first_patches, 0
-    while low <= last and (target is None or accepted < target):
-        high = last + 1 if target is None else min(low + step, last + 1)
+    sizes = walk.groupBy("patch_rank").agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(global_prefix_sum(sizes, "patch_rank", value="n", name="before"))
+    ends = sizes.agg(F.max("patch_rank").alias("rank"), F.sum("n").alias("hosts")).first()
+
+    rows, low, walked_hosts, accepted = None, 0, 0, 0
+    while low <= ends["rank"] and (target is None or accepted < target):
+        high = ends["rank"] + 1
+        if target is not None:
+            rate = accepted / walked_hosts if accepted else FIRST_ACCEPTANCE * len(bands)
+            want = walked_hosts + max(math.ceil(MARGIN * (target - accepted) / rate), 1)
+            edge = sizes.where(F.col("before") + F.col("n") >= want).agg(F.min("patch_rank")).first()[0]
+            high = ends["rank"] + 1 if edge is None else max(edge, low) + 1
         piece = walk.where(F.col("patch_rank").between(low, high - 1))
         done = settle(attempt(piece, coadds, visits, pixels, cuts, bands, size).withColumnRenamed("host_id", "objectId"))
-        accepted += done.where("status = 'accepted'").count()
+        seen = done.agg(F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h")).first()
+        accepted, walked_hosts = accepted + seen["a"], walked_hosts + seen["h"]
         rows = done if rows is None else rows.unionByName(done, allowMissingColumns=True)
-        low, step = high, step * 2
+        low = high
     maps = rows.agg(F.min("plane_map").alias("a"), F.max("plane_map").alias("b")).first()
     if maps["a"] != maps["b"]:
         raise RuntimeError(f"the mask plane map changed between stamps: {maps['a']} and {maps['b']}")

@@ -131,8 +131,8 @@ def p14(spark, sf):
   round(sum(asinh(v / sky_noise)), 4) AS total FROM px8 GROUP BY stamp_id""")
 def p13(spark, sf):
     df = stamps8(spark, sf).withColumn("x", A.asinh_stretch(F.col("image"), F.col("sky_noise")))
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    return df.select("stamp_id", rounded(me.stretch_high(F.col("x"))).alias("high"), rounded(total, 4).alias("total"))
+    total = F.aggregate("x.image", F.lit(0.0), lambda a, v: a + v)
+    return df.select("stamp_id", rounded(F.col("x.high")).alias("high"), rounded(total, 4).alias("total"))
 
 
 @query("p15_shared_range", ctes("px8") + "SELECT band_idx, round(quantile_cont(v, 0.005), 6) AS low, round(quantile_cont(v, 0.995), 6) AS high FROM px8 GROUP BY band_idx")

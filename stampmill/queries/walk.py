@@ -147,11 +147,11 @@ def u2(spark, sf):
 PATCH_CUTS = PatchCuts(min_centre_sigma=None, max_variance_step=8.0)
 
 
-def pixels(spark, sf):
-    """An image for each host and band, from the 32 px stamps; some numbers have none."""
+def pixels(spark, sf, hosts):
+    """An image for each selected host and band, from the 32 px stamps; some numbers have none."""
     stamps = stamps32(spark, sf).drop("band_idx").withColumnRenamed("host_id", "s")
     n = stamps.select("s").count() + 4
-    hosts = objects(spark, sf).select("objectId", "tract", "patch")
+    hosts = hosts.select("objectId", "tract", "patch")
     keys = w.host_coadds(hosts, coadds(spark, sf), USED_BANDS).select(
         F.col("objectId").alias("host_id"), "band_idx", ((F.col("objectId") * 6 + F.col("band_idx")) % n).alias("s"))
     return keys.join(stamps, "s").drop("s")
@@ -159,8 +159,8 @@ def pixels(spark, sf):
 
 def run(spark, sf):
     hosts = h.select_hosts(objects(spark, sf), CUTS)
-    return extract(hosts, coadds(spark, sf), contributions(spark, sf), pixels(spark, sf), size=SIZE, cuts=PATCH_CUTS,
-                   bands=USED_BANDS, seed=SEED, n_stamps=TARGET, first_patches=8)
+    return extract(hosts, coadds(spark, sf), contributions(spark, sf), pixels(spark, sf, hosts), size=SIZE, cuts=PATCH_CUTS,
+                   bands=USED_BANDS, seed=SEED, n_stamps=TARGET)
 
 
 EXTRACT_CTES = (

@@ -103,7 +103,7 @@ def test_visits(spark):
 
 def test_a_large_stamp_covers_nine_cells(spark):
     df = spark.createDataFrame([(225.0, 225.0)], "x double, y double")
-    cells = df.select(w.covered_cells(F.col("x"), F.col("y"), 416)).first()[0]
+    cells = df.select(w.covered_cells(416)).first()[0]
     assert sorted((c["i"], c["j"]) for c in cells) == [(i, j) for i in range(3) for j in range(3)]
 
 
