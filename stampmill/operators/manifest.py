@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stampmill.cuts import BANDS
 from stampmill.functions.flux import finite, flux_to_mag
+from stampmill.operators.keyed import keep
 from stampmill.operators.quantiles import exact_quantiles
 
 # The gated diagnostics and the percentiles reported for them.
@@ -188,13 +189,16 @@ def manifest_cut(stamps: DataFrame, manifest: DataFrame, limits: dict[str, float
     last = accepted.groupBy("host_id", "band").agg(
         F.max_by(F.struct(*limits), "manifest_index").alias("_m")
     )
-    keyed = band_name(stamps)
-    joined = keyed.join(last, ["host_id", "band"], "left")
+    keys = band_name(stamps.select("host_id", "band_idx"))
+    joined = keys.join(last, ["host_id", "band"], "left")
     lost = F.raise_error(F.lit("a stamp has no accepted manifest row; the manifest is from another run"))
     within = F.lit(True)
     for column, limit in limits.items():
-        within = within & (F.col(f"_m.{column}") <= limit) & ~F.isnan(F.col(f"_m.{column}").cast("double"))
-    return joined.where(F.when(F.col("_m").isNull(), lost.cast("boolean")).otherwise(within)).select(*stamps.columns)
+        value = F.col(f"_m.{column}").cast("double")
+        within = within & (value <= limit) & ~F.isnan(value)
+    passed = joined.where(F.when(F.col("_m").isNull(), lost.cast("boolean")).otherwise(within))
+    # Only keys met the manifest; the images stay where they are when few keys are left.
+    return keep(stamps, passed, ["host_id", "band_idx"])
 
 
 def no_data_cut(df: DataFrame, max_no_data: float | None) -> DataFrame:

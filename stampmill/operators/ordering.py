@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stampmill.functions.draws import draw
 from stampmill.operators.lineage import settle
 
+SMALL_TABLE = 100_000
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the in-partition row number below this
 
 
@@ -57,9 +60,20 @@ def top(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed, key: str) -> DataFrame:
-    """n rows without replacement, in key order. Per-task top-n, then one merge of n rows a task."""
-    picked = df.withColumn("_h", draw(seed, key)).orderBy("_h", key).limit(n).drop("_h")
-    return picked.orderBy(key)
+    """n rows without replacement, in key order: those with the smallest draws. `key` is unique.
+
+    Of many rows only those whose draw could be among the n smallest are ordered, so what meets in
+    one place is about n rows however large the table. Too few such rows is all but impossible, is
+    checked, and falls back to ordering them all.
+    """
+    drawn = df.withColumn("_h", draw(seed, key))
+    total = df.count()
+    if total > max(SMALL_TABLE, 4 * n):
+        share = min((n + 10 * math.sqrt(n) + 100) / total, 1.0)
+        near = drawn.where(F.col("_h") < int(share * (1 << 60)))
+        if near.count() >= n:
+            drawn = near
+    return drawn.orderBy("_h", key).limit(n).drop("_h").orderBy(key)
 
 
 def sample_with_replacement(df: DataFrame, n: int, seed, key: str) -> DataFrame:

@@ -137,14 +137,19 @@ def walk_until(walk: DataFrame, accepted: DataFrame, n: int | None) -> DataFrame
 
 
 def check_walk(walk: DataFrame, read: DataFrame, first: int = GUARD_HOSTS) -> DataFrame:
-    """The first walked hosts that gave a stamp; fails when there are none, or no hosts at all."""
-    if walk.isEmpty():
+    """The first walked hosts that gave a stamp; fails when there are none, or no hosts at all.
+
+    A walk of no more than `first` hosts is too short to judge.
+    """
+    early = walk.orderBy(*WALK).limit(first + 1)
+    marked = early.join(read.select("objectId", F.lit(1).alias("_read")).distinct(), "objectId", "left")
+    rows = marked.select(*WALK, F.col("_read").isNotNull().alias("read")).orderBy(*WALK).collect()
+    if not rows:
         raise RuntimeError("the host catalogue is empty; loosen the cuts")
-    early = walk.orderBy(*WALK).limit(first)
-    good = early.join(read.select("objectId"), "objectId", "left_semi")
-    if walk.count() > first and good.isEmpty():
+    good = [r["objectId"] for r in rows[:first] if r["read"]]
+    if len(rows) > first and not good:
         raise RuntimeError(f"none of the first {first} hosts gave a stamp; the two patch numberings disagree")
-    return good
+    return walk.where(F.col("objectId").isin(good))
 
 
 def check_parts(parts: Sequence[DataFrame], walk: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 from stampmill.cuts import BANDS, PatchCuts
 from stampmill.operators.gate import gate
 from stampmill.operators.hosts import stamp_box
+from stampmill.operators.keyed import fetch
 from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_prefix_sum
 from stampmill.operators import walk as w
 
 FIRST_ACCEPTANCE, MARGIN = 0.25, 1.2
-BROADCAST_KEYS = 500_000
 
 
 @dataclass
@@ -33,14 +33,6 @@ class Extraction:
     short: bool  # the catalogue ran out before the target
 
 
-def fetch(pixels: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pixel rows of the asked keys. The images are the large side and stay where they are when the
-    keys are few enough to send; the count is checked, and each key row is a few numbers."""
-    on = ["host_id", "band_idx"] + [c for c in ("tract", "patch") if c in pixels.columns and c in keys.columns]
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return pixels.join(keys, on)
-
-
 def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Sequence[str], size: int) -> DataFrame:
     """A manifest row for each host and band of a piece of the walk, without the images."""
     none = w.hosts_without_coadd(walk, coadds, bands).withColumn("reasons", F.lit("no_coadd"))
@@ -54,7 +46,9 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
     lost = fits.join(pixels.select("host_id", "band_idx"), ["host_id", "band_idx"], "left_anti").withColumns(
         {"reasons": F.lit("off_the_grid:read"), "message": F.lit("no pixels")})
 
-    found = fetch(pixels, fits.select("host_id", "band_idx", "tract", "patch", "n_visits_min", "cell_depth_ratio"))
+    # A pixel table laid out by patch is also pruned by it.
+    on = ["host_id", "band_idx"] + [c for c in ("tract", "patch") if c in pixels.columns]
+    found = fetch(pixels, fits.select(*on, "n_visits_min", "cell_depth_ratio"), on)
     whole = (F.col("native_size") == size) & (F.size("image") == size * size)
     for column in ("image", "variance", "mask"):
         found = found.withColumn(column, F.when(whole, F.col(column)))
@@ -82,21 +76,21 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
         walk = w.part(walk, *part)
         target = None if n_stamps is None else w.part_target(n_stamps, part[1])
     walk = settle(walk)
-    if walk.isEmpty():
-        raise RuntimeError("the host catalogue is empty; loosen the cuts")
     visits = settle(w.cell_visit_counts(contributions))
     sizes = walk.groupBy("patch_rank").agg(F.count(F.lit(1)).alias("n"))
-    sizes = settle(global_prefix_sum(sizes, "patch_rank", value="n", name="before"))
-    ends = sizes.agg(F.max("patch_rank").alias("rank"), F.sum("n").alias("hosts")).first()
+    sizes = global_prefix_sum(sizes, "patch_rank", value="n", name="before")
+    last = sizes.agg(F.max("patch_rank")).first()[0]
+    if last is None:
+        raise RuntimeError("the host catalogue is empty; loosen the cuts")
 
     rows, low, walked_hosts, accepted = None, 0, 0, 0
-    while low <= ends["rank"] and (target is None or accepted < target):
-        high = ends["rank"] + 1
+    while low <= last and (target is None or accepted < target):
+        high = last + 1
         if target is not None:
             rate = accepted / walked_hosts if accepted else FIRST_ACCEPTANCE * len(bands)
             want = walked_hosts + max(math.ceil(MARGIN * (target - accepted) / rate), 1)
             edge = sizes.where(F.col("before") + F.col("n") >= want).agg(F.min("patch_rank")).first()[0]
-            high = ends["rank"] + 1 if edge is None else max(edge, low) + 1
+            high = last + 1 if edge is None else max(edge, low) + 1
         piece = walk.where(F.col("patch_rank").between(low, high - 1))
         done = settle(attempt(piece, coadds, visits, pixels, cuts, bands, size).withColumnRenamed("host_id", "objectId"))
         seen = done.agg(F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h")).first()
@@ -107,22 +101,26 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
     if maps["a"] != maps["b"]:
         raise RuntimeError(f"the mask plane map changed between stamps: {maps['a']} and {maps['b']}")
 
-    per_host = rows.where("status = 'accepted'").groupBy("objectId").agg(F.count(F.lit(1)).alias("n_accepted"))
-    walked = w.walk_until(walk.where(F.col("patch_rank") < low), per_host, target)
-    kept = rows.join(walked.select("objectId", "accepted_before"), "objectId", "left_semi")
-    w.check_walk(walked, kept.where("was_read"))
+    # One running count of accepted stamps in walk order gives each its number, and each host the
+    # count before it: the host is walked while that is under the target.
     taken = (F.col("status") == "accepted").cast("bigint")
-    keys = kept.select(*w.WALK, F.coalesce("band_idx", F.lit(-1)).alias("_band"), taken.alias("_taken"))
+    keys = rows.select(*w.WALK, F.coalesce("band_idx", F.lit(-1)).alias("_band"), taken.alias("_taken"))
     numbered = global_prefix_sum(keys, *w.WALK, "_band", value="_taken", name="patch_index")
+    before = numbered.groupBy("objectId").agg(F.min("patch_index").alias("accepted_before"))
+    if target is not None:
+        before = before.where(F.col("accepted_before") < target)
+    walked = walk.join(before, "objectId")
     manifest = (
-        kept.withColumn("_band", F.coalesce("band_idx", F.lit(-1)))
+        rows.withColumn("_band", F.coalesce("band_idx", F.lit(-1)))
         .join(numbered.select("objectId", "_band", "patch_index"), ["objectId", "_band"])
+        .join(before.select("objectId"), "objectId", "left_semi")
         .withColumn("patch_index", F.when(F.col("status") == "accepted", F.col("patch_index")))
         .withColumn("band", F.coalesce("band", F.lit("")))
         .withColumnRenamed("objectId", "host_id")
         .drop("_band", "plane_map")
     )
     manifest = settle(manifest)
+    w.check_walk(walked, manifest.where("was_read").withColumnRenamed("host_id", "objectId"))
     return Extraction(manifest, walked, accepted_stamps(manifest, pixels, size), target, target is not None and accepted < target)
 
 
@@ -142,5 +140,4 @@ def accepted_stamps(manifest: DataFrame, pixels: DataFrame, size: int) -> DataFr
         F.col("diag_frac_INEXACT_PSF").cast("float").alias("frac_inexact_psf"),
         F.col("diag_frac_REJECTED").cast("float").alias("frac_rejected"),
     )
-    images = fetch(pixels.select("host_id", "band_idx", "image", "native_size"), meta.select("host_id", "band_idx"))
-    return images.join(meta, ["host_id", "band_idx"])
+    return fetch(pixels.select("host_id", "band_idx", "image", "native_size"), meta, ["host_id", "band_idx"])

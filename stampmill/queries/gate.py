@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stampmill.cuts import BANDS, PatchCuts
 from stampmill.functions.flux import finite
 from stampmill.operators import gate as g, manifest as m
+from stampmill.operators.lineage import scratch_path
 from stampmill.operators.stamps import planes_from_mask
 from stampmill.queries import query
 from stampmill.queries.views import PLANES, ctes, stamps32
@@ -198,7 +199,10 @@ def a2(spark, sf):
 @query("j6_manifest_cut", MANIFEST_CTES + """SELECT host_id, band_idx FROM manifest
   WHERE status = 'accepted' AND f_SATURATED <= 1e-3 AND f_INTERPOLATED <= 1e-3""")
 def j6(spark, sf):
-    manifest = manifest32(spark, sf)
+    # The manifest is a written table by the time a loader cuts on it.
+    path = scratch_path(spark, "manifest")
+    manifest32(spark, sf).write.parquet(path)
+    manifest = spark.read.parquet(path)
     accepted = manifest.where("status = 'accepted'").select("host_id", "band_idx")
     return m.manifest_cut(accepted, manifest, {"diag_frac_SATURATED": 1e-3, "diag_frac_INTERPOLATED": 1e-3})
 

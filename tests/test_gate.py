@@ -34,7 +34,7 @@ def test_all_reasons_in_gate_order(spark):
     variance[:, : N // 2] *= 9
     mask[N // 2 - 5 : N // 2 + 5, N // 2 - 5 : N // 2 + 5] = 0b111
     mask[0, 0] |= 8
-    out = run(spark, image, variance, mask, PatchCuts(min_visits=3, max_peaks=-1 + 0), visits=2, ratio=float("inf"))
+    out = run(spark, image, variance, mask, PatchCuts(min_visits=3, max_peaks=-1, max_variance_step=4.0), visits=2, ratio=float("inf"))
     names = [r.split(":")[0] for r in out["reasons"]]
     assert names == ["nonfinite_image", "no_data", "inner_no_data", "too_shallow", "cell_depth", "empty_centre", "crowded", "zero_tol",
                      "COSMIC_RAY", "INTERPOLATED", "SATURATED", "inner_COSMIC_RAY", "inner_INTERPOLATED", "inner_SATURATED"][: len(names)] or "crowded" not in names
@@ -122,6 +122,7 @@ def test_manifest_cut(spark):
         m.manifest_cut(stamps, manifest, {"diag_b": 0.1})
     with pytest.raises(Exception, match="another run"):
         m.manifest_cut(stamps, manifest.where("host_id = 1"), {"diag_a": 0.1}).collect()
+    assert m.manifest_cut(stamps, manifest, {"diag_a": None}).count() == 2
 
 
 def test_unknown_no_data_is_an_error(spark):

@@ -29,10 +29,12 @@ def test_quantiles_both_ways(spark, rows):
     assert whole == pytest.approx(np.quantile(data["a"], probs).tolist(), rel=1e-12)
 
 
-def test_samples(spark):
+def test_samples(spark, monkeypatch):
     df = spark.range(500).withColumnRenamed("id", "k")
     a = [r["k"] for r in o.sample_n(df.repartition(5), 50, 3, "k").collect()]
     assert a == [r["k"] for r in o.sample_n(df.repartition(2), 50, 3, "k").collect()] == sorted(set(a)) and len(a) == 50
+    monkeypatch.setattr(o, "SMALL_TABLE", 10)
+    assert a == [r["k"] for r in o.sample_n(df, 50, 3, "k").collect()]
     drawn = o.sample_with_replacement(df, 2000, 3, "k").collect()
     assert len(drawn) == 2000 and len({r["k"] for r in drawn}) > 450
     halves = o.half_splits(spark.range(7).withColumnRenamed("id", "k"), 3, 1, "k").groupBy("repeat_index").agg(F.count("k").alias("n"), F.sum("half").alias("h")).collect()
