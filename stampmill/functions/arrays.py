@@ -27,6 +27,16 @@ def square(pixels) -> np.ndarray:
     return flat.reshape(side, side)
 
 
+def ranked(values: np.ndarray, p: float) -> float:
+    """Interpolated quantile by one partition; several times quicker than a median of the whole."""
+    at = p * (values.size - 1)
+    low = int(at)
+    parted = np.partition(values, low)
+    if at == low:
+        return float(parted[low])
+    return float(parted[low] + (parted[low + 1 :].min() - parted[low]) * (at - low))
+
+
 def doubles(image: Column) -> Column:
     return image.cast("array<double>")
 
@@ -94,7 +104,7 @@ to_flux_exact = _pixelwise(_exact)
 def _stretch(image: pd.Series, noise: pd.Series) -> pd.DataFrame:
     def one(pixels, s):
         x = np.arcsinh(np.asarray(pixels, dtype=np.float64) / s)
-        return x, max(float(np.percentile(x, 99.8)), 3.0)
+        return x, max(ranked(x, 0.998), 3.0)
 
     return pd.DataFrame([r or (None, None) for r in each(one, image, noise)], columns=["image", "high"])
 

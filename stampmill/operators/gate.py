@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stampmill.cuts import PatchCuts
-from stampmill.functions.arrays import each, square
+from stampmill.functions.arrays import each, ranked, square
 from stampmill.functions.flux import finite
 from stampmill.functions.types import DOUBLE, DOUBLES, LONGS, arrow_function, struct
 
@@ -42,17 +42,25 @@ def _block_floors(variance: np.ndarray, image: np.ndarray) -> list[float]:
     block = max(int(round(len(variance) * BLOCK_FRACTION)), MIN_BLOCK)
     with np.errstate(invalid="ignore"):
         usable = np.isfinite(variance) & (variance > 0)
-        sky = np.median(image[usable]) if usable.any() else 0.0
-        usable &= np.isfinite(image) & (image < sky + SOURCE_NSIGMA * np.sqrt(np.where(usable, variance, 0.0)))
+        seen = image[usable]
+        sky = ranked(seen, 0.5) if seen.size and not np.isnan(seen).any() else np.nan
+        usable &= image < sky + SOURCE_NSIGMA * np.sqrt(np.where(usable, variance, 0.0))
+        usable &= np.isfinite(image)
     n = len(variance) // block
-    floors = []
-    for row in range(n):
-        for column in range(n):
-            cut = np.s_[row * block : (row + 1) * block, column * block : (column + 1) * block]
-            kept = variance[cut][usable[cut]]
-            if kept.size >= MIN_USABLE * block * block:
-                floors.append(float(np.percentile(kept, FLOOR_PERCENTILE)))
-    return floors
+    if n == 0:
+        return []
+
+    def blocks(a):
+        return a[: n * block, : n * block].reshape(n, block, n, block).swapaxes(1, 2).reshape(n * n, block * block)
+
+    # Unusable pixels sort to the end of their block.
+    ordered = np.sort(blocks(np.where(usable, variance, np.inf)), axis=1)
+    count = blocks(usable).sum(axis=1)
+    enough = np.flatnonzero(count >= MIN_USABLE * block * block)
+    at = FLOOR_PERCENTILE / 100 * (count[enough] - 1)
+    low = at.astype(int)
+    first, second = ordered[enough, low], ordered[enough, np.minimum(low + 1, count[enough] - 1)]
+    return (first + (second - first) * (at - low)).tolist()
 
 
 @arrow_function(DOUBLES)
@@ -75,7 +83,7 @@ def centre_median(image: pd.Series) -> pd.Series:
         half, middle = min(CENTRE_WINDOW, len(a)) // 2, len(a) // 2
         window = a[middle - half : middle + half, middle - half : middle + half]
         window = window[np.isfinite(window)]
-        return float(np.median(window)) if window.size else np.nan
+        return ranked(window, 0.5) if window.size else np.nan
 
     return pd.Series(each(one, image))
 
@@ -85,17 +93,26 @@ def centre_sigma(median: Column, sky_noise: Column) -> Column:
     return F.when(usable, median / F.when(usable, sky_noise)).otherwise(F.lit(float("nan")))
 
 
+def _windowed(a: np.ndarray, width: int, combine, scale: float = 1.0) -> np.ndarray:
+    """Combine the pixels of every full `width` x `width` window, one axis after the other."""
+    for axis in (0, 1):
+        n = a.shape[axis] - width + 1
+        views = [a[k : k + n] if axis == 0 else a[:, k : k + n] for k in range(width - 1, -1, -1)]
+        out = views[0].copy()
+        for view in views[1:]:
+            combine(out, view, out=out)
+        a = out * scale if scale != 1.0 else out
+    return a
+
+
 def _peaks(a: np.ndarray, noise: float) -> int:
     a = np.where(np.isfinite(a), a, 0.0)
     edge = PEAK_RADIUS + PEAK_SMOOTH
     if len(a) <= 2 * edge:
         return 0
-    # Valid-only sliding windows: the trimmed border is never computed.
-    wide, tall = np.lib.stride_tricks.sliding_window_view, PEAK_SMOOTH
-    smooth = wide(a, tall, axis=0)[..., ::-1].sum(-1) / PEAK_SMOOTH
-    smooth = wide(smooth, tall, axis=1)[..., ::-1].sum(-1) / PEAK_SMOOTH
-    reach = 2 * PEAK_RADIUS + 1
-    largest = wide(wide(smooth, reach, axis=0).max(-1), reach, axis=1).max(-1)
+    # Valid-only windows: the trimmed border is never computed.
+    smooth = _windowed(a, PEAK_SMOOTH, np.add, 1 / PEAK_SMOOTH)
+    largest = _windowed(smooth, 2 * PEAK_RADIUS + 1, np.maximum)
     centre = smooth[PEAK_RADIUS:-PEAK_RADIUS, PEAK_RADIUS:-PEAK_RADIUS]
     hit = (centre >= largest) & (centre > PEAK_NSIGMA * noise / PEAK_SMOOTH)
     trim = edge - PEAK_RADIUS - PEAK_SMOOTH // 2
@@ -117,7 +134,7 @@ def _depth_measures(inner_fraction: float):
             v = square(var)
             empty = ~np.isfinite(v) | (v <= 0)
             seen = v[~empty]
-            noise = float(np.sqrt(np.median(seen))) if seen.size else np.nan
+            noise = float(np.sqrt(ranked(seen, 0.5))) if seen.size else np.nan
             return bool(np.all(np.isfinite(pixels))), float(empty.mean()), float(_inner(empty, inner_fraction).mean()), noise
 
         rows = [r or (None, None, None, None) for r in each(one, image, variance)]

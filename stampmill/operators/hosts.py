@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stampmill.cuts import HostCuts
 from stampmill.functions.flux import finite, flux_to_mag
@@ -104,6 +104,13 @@ def binding_cut(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:
     )
 
 
+def binding_table(spark: SparkSession, cuts: HostCuts | None = None, sizes=(1.0, 2.0, 4.0, 10.0, 20.0), axis_ratio: float = 0.6) -> DataFrame:
+    """`binding_cut` at a few sizes inside the cuts' own range."""
+    cuts = cuts or HostCuts()
+    rows = [(float(a), axis_ratio * a) for a in sizes if cuts.min_reff_arcsec <= a <= cuts.max_reff_arcsec]
+    return binding_cut(spark.createDataFrame(rows, "sersic_reff_major double, sersic_reff_minor double"), cuts)
+
+
 def separation_arcsec(ra: Column, dec: Column, ra0: Column, dec0: Column) -> Column:
     """Small-angle distance of a position from (ra0, dec0)."""
     return F.hypot((ra - ra0) * F.cos(F.radians(dec0)), dec - dec0) * 3600.0

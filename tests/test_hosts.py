@@ -110,3 +110,9 @@ def test_unknown_settings_are_refused():
         from_mapping(HostCuts, {"max_magg": 1})
     with pytest.raises(ValueError):
         HostCuts(band="x")
+
+
+def test_which_cut_binds_changes_with_size(spark):
+    rows = h.binding_table(spark).orderBy("sersic_reff_major").collect()
+    assert [r["sersic_reff_major"] for r in rows] == [2.0, 4.0, 10.0, 20.0]
+    assert [r["binding"] for r in rows] == ["magnitude", "magnitude", "surface brightness", "surface brightness"]
