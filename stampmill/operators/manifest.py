@@ -63,10 +63,11 @@ def visits_per_cell(attempts: DataFrame, visits: DataFrame) -> DataFrame:
     return distribution(visits.join(read, ["tract", "patch", "band_idx"], "left_semi"), "n_visits")
 
 
-def run_counts(n_candidates: int | None, manifest: DataFrame, requested: int | None = None) -> DataFrame:
+def run_counts(n_candidates: int | None, manifest: DataFrame, requested: int | None = None, rows_per_file: int | None = None) -> DataFrame:
     """One row of run counters from the manifest.
 
-    A host is off the grid when it has coadds and none of its stamps was read.
+    A host is off the grid when it has coadds and none of its stamps was read. With `rows_per_file`
+    the files of the stamp set are counted too.
     """
     reason = F.coalesce(F.split_part(F.col("reasons"), F.lit(":"), F.lit(1)), F.lit(""))
     status = manifest.withColumn("_no_coadd", reason == "no_coadd").withColumn("_off", reason == "off_the_grid")
@@ -85,14 +86,23 @@ def run_counts(n_candidates: int | None, manifest: DataFrame, requested: int | N
         F.coalesce(F.sum("attempts"), F.lit(0)).alias("stamps_attempted"),
         F.coalesce(F.sum("accepted"), F.lit(0)).alias("stamps_accepted"),
     )
+    files = [] if rows_per_file is None else [F.ceil(F.col("stamps_accepted") / rows_per_file).alias("files")]
     return out.select(
         F.lit(n_candidates).cast("bigint").alias("host_candidates"),
         "*",
         (F.col("stamps_attempted") - F.col("stamps_accepted")).alias("stamps_rejected"),
         F.lit(requested).cast("bigint").alias("stamps_requested"),
+        *files,
     )
 
 
+def shortfall(counts: DataFrame) -> DataFrame:
+    """A warning row when fewer stamps were accepted than asked for; no row otherwise."""
+    text = F.format_string("accepted %d of the %d stamps asked for after all %d hosts; loosen the cuts",
+                           "stamps_accepted", "stamps_requested", "hosts_tried")
+    return counts.where("stamps_accepted < stamps_requested").select("stamps_requested", "stamps_accepted", text.alias("warning"))
+
+
 def first_failures(manifest: DataFrame) -> DataFrame:
     """The earliest failure message of each kind, in walk order."""
     off = manifest.where(F.col("reasons").startswith("off_the_grid:"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stampmill.cuts import BANDS, PatchCuts
 from stampmill.operators.gate import gate
-from stampmill.operators.hosts import stamp_box, verify_centre
+from stampmill.operators.hosts import data_id_json, stamp_box, verify_centre
 from stampmill.operators.keyed import fetch
 from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_prefix_sum
@@ -39,6 +39,7 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
     tried = w.with_depth(w.host_coadds(walk, coadds, bands), visits, size)
     if {"got_ra", "got_dec"} <= set(tried.columns):
         tried = verify_centre(tried)
+    tried = data_id_json(tried, ("tract", "patch", "band"))
     tried = settle(stamp_box(tried, size).withColumnRenamed("objectId", "host_id"))
     if not tried.isEmpty() and tried.where("n_cells_missing < n_cells_spanned").isEmpty():
         raise RuntimeError("no cell any stamp covers is in the contributions; the cell indices are transposed")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stampmill.cuts import TransformSettings
-from stampmill.operators import gate as g, images as im, pairs as pr, spectra as sp
+from stampmill.operators import gate as g, images as im, manifest as m, pairs as pr, spectra as sp
 from stampmill.plans import extraction as ex
 from stampmill.plans.preparation import prepare
 from stampmill.queries import gate as qg, walk as qw
@@ -39,6 +39,12 @@ def test_many_small_chunks_give_the_one_answer(spark, inputs, monkeypatch):
 def test_falling_short_is_reported(spark, inputs):
     run = ex.extract(*inputs, size=qw.SIZE, cuts=qw.PATCH_CUTS, bands=("g",), n_stamps=10**6)
     assert run.short and run.hosts.count() == 400
+    assert '"band":"g"' in run.manifest.where("data_id is not null").first()["data_id"]
+    counts = m.run_counts(400, run.manifest, 10**6, rows_per_file=10)
+    row = counts.first()
+    assert row["files"] == -(-row["stamps_accepted"] // 10) and row["stamps_attempted"] == row["stamps_accepted"] + row["stamps_rejected"]
+    assert "of the 1000000 stamps" in m.shortfall(counts).first()["warning"]
+    assert m.shortfall(m.run_counts(400, run.manifest, 1)).isEmpty()
 
 
 def test_an_empty_catalogue_fails(spark, inputs):
