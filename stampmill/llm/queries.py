@@ -50,3 +50,11 @@ def op5_quality_cascade(spark, sf_dir):
     from stampmill.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_pii_disclosure")
+def op2_pii_disclosure(spark, sf_dir):
+    """Personal data and disclosing words of every document."""
+    from stampmill.llm.privacy import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
