@@ -58,3 +58,12 @@ def op2_pii_disclosure(spark, sf_dir):
     from stampmill.llm.privacy import digest, find
 
     return digest(find(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_histogram_shards")
+def op3_histogram_shards(spark, sf_dir):
+    """Every document's shard of 8, sizes near equal."""
+    from stampmill.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents"), n_shards=8, law="bytes").withColumnRenamed("id", "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
