@@ -67,3 +67,12 @@ def op3_histogram_shards(spark, sf_dir):
 
     placed = shard(table(spark, sf_dir, "documents"), n_shards=8, law="bytes").withColumnRenamed("id", "doc_id")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and linked class of every document."""
+    from stampmill.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
