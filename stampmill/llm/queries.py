@@ -76,3 +76,11 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op9_toxicity_grammar")
+def op9_toxicity_grammar(spark, sf_dir):
+    """Toxicity of every document."""
+    from stampmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
