@@ -129,12 +129,16 @@ def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, min_suppo
     together = near.select("id", "digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_support)
     values = F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))
     holding = found.select(F.explode(values).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    candidates = kept(together.join(holding, "entity"), "candidate-terms")
+    total = float(max(1, docs.count()))
+    # A word is in as many documents at least as it is found in beside any entity; where that alone is
+    # too many for any disclosure above `share`, its whole count need not be known. This loses nothing.
+    beside = kept(near.select("id", "digest", "term").distinct().groupBy("term").agg(F.count("*").alias("least")), "words-beside")
+    enough = F.col("both") * F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - share)) * (1 + 1e-9)
+    candidates = kept(together.join(holding, "entity").join(beside, "term").filter(F.col("least") <= enough).drop("least"), "candidate-terms")
     terms = candidates.select("term").distinct()
     n_terms = terms.count()
     # Documents with each candidate word, over every document; the words go out whole only while they are few.
     listed = F.broadcast(terms) if n_terms <= 100_000 else terms
-    total = float(max(1, docs.count()))
     each = F.array_distinct(F.transform(F.split(whole(text_col), _GAP), _cleaned))
     with_term = docs.select(F.explode(each).alias("term")).join(listed, "term").groupBy("term").agg(F.count("*").alias("with_term"))
     information = F.log2(F.lit(total) / F.col("with_entity"))
