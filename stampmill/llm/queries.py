@@ -84,3 +84,12 @@ def op9_toxicity_grammar(spark, sf_dir):
     from stampmill.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_benchmark_leaks")
+def op8_benchmark_leaks(spark, sf_dir):
+    """Every benchmark item found in every document, edited by a fifth of its words at most."""
+    from stampmill.llm.decontaminate import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
