@@ -93,3 +93,18 @@ def op8_benchmark_leaks(spark, sf_dir):
 
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed vocabulary files are; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_sentencepiece_tokens")
+def op6_sentencepiece_tokens(spark, sf_dir):
+    """Token ids of every document, and whether they decode to its text."""
+    from stampmill.llm.tokens import tokenise
+
+    return tokenise(table(spark, sf_dir, "documents"), model_path()).withColumnRenamed("id", "doc_id")
