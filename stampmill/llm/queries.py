@@ -108,3 +108,11 @@ def op6_sentencepiece_tokens(spark, sf_dir):
     from stampmill.llm.tokens import tokenise
 
     return tokenise(table(spark, sf_dir, "documents"), model_path()).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_tag_path_text")
+def op4_tag_path_text(spark, sf_dir):
+    """Main text of every page."""
+    from stampmill.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))

@@ -168,22 +168,27 @@ class Encoder:
     """
 
     def __init__(self, path: str, threads: int = 2, most: int = 500_000):
-        from tokenizers import Tokenizer, normalizers
-
         self.whole = load(path, threads)
         with open(path, "rb") as file:
             model = parse(file.read())
         self.most, self.known = most, {}
         self.apart = self.whole.pre_tokenizer is not None and model.dummy_prefix and not model.charsmap and not model.squeeze_blanks
-        self.word = Tokenizer.from_str(self.whole.to_str())
-        self.word.normalizer = normalizers.Prepend(MARK)
+        self.begins = np.array([p[0].startswith(MARK) for p in model.pieces])
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words many to a text; a word's ids run from one piece with a mark to the next."""
+        groups = [words[k : k + 2048] for k in range(0, len(words), 2048)]
+        for group, found in zip(groups, self.whole.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids)
+            starts = np.flatnonzero(self.begins[ids]).tolist()
+            flat = ids.tolist()
+            self.known.update((w, flat[a:b]) for w, a, b in zip(group, starts, [*starts[1:], len(flat)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         split = [t.split(" ") if self.apart and t and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        fresh = list({w for words in split if words for w in words if w not in self.known})
-        self.known.update(zip(fresh, (e.ids for e in self.word.encode_batch_fast(fresh, add_special_tokens=False))))
+        self._learn(list({w for words in split if words for w in words if w not in self.known}))
         odd = [t for t, words in zip(texts, split) if words is None]
         rest = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False))
         known = self.known
