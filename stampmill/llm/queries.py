@@ -116,3 +116,11 @@ def op4_tag_path_text(spark, sf_dir):
     from stampmill.llm.pages import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_licence_scan")
+def op7_licence_scan(spark, sf_dir):
+    """Every licence notice found in every document, with the share of it that is there."""
+    from stampmill.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("row")
