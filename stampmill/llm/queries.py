@@ -124,3 +124,11 @@ def op7_licence_scan(spark, sf_dir):
     from stampmill.llm.licences import scan
 
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("row")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that lie in a 400-byte string met elsewhere."""
+    from stampmill.llm.suffixes import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("id", "doc_id").drop("spans")
