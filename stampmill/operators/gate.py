@@ -19,7 +19,7 @@ from stampmill.functions.types import DOUBLE, DOUBLES, LONGS, arrow_function, st
 
 # Fixed values of the gate.
 RECORDED_PLANES = ("INEXACT_PSF", "REJECTED", "DETECTED", "DETECTED_NEGATIVE", "CLIPPED", "SUSPECT")
-MAX_PLANES = 32
+MAX_PLANES = 63  # bits 0 to 62 of a signed long
 BLOCK_FRACTION = 1 / 8
 MIN_BLOCK = 8
 FLOOR_PERCENTILE = 10.0
@@ -151,7 +151,9 @@ def _plane_measures(inner_fraction: float):
             side = int(round(flat.size**0.5))
             box = _inner(flat.reshape(side, side), inner_fraction)
             used = int(np.bitwise_or.reduce(flat))
-            bits_in_use = [b if (used >> b) & 1 else None for b in range(MAX_PLANES)]
+            if used < 0:
+                raise ValueError(f"a mask sets bit {MAX_PLANES}; planes are bits 0 to {MAX_PLANES - 1}")
+            bits_in_use = [b if (used >> b) & 1 else None for b in range(max(used.bit_length(), 1))]
             return tuple([0.0 if b is None else float(((m >> b) & 1).mean()) for b in bits_in_use] for m in (flat, box))
 
         rows = [r or (None, None) for r in each(one, mask)]
@@ -160,10 +162,17 @@ def _plane_measures(inner_fraction: float):
     return measure
 
 
+def _at_bit(fractions: Column, bit: Column) -> Column:
+    """The fraction of a bit; bits above the highest one set count 0, and a bit no mask can hold fails."""
+    outside = F.raise_error(F.concat(F.lit("plane on bit "), bit.cast("string"), F.lit(f"; planes are bits 0 to {MAX_PLANES - 1}")))
+    value = F.when(fractions.isNotNull(), F.coalesce(F.get(fractions, bit), F.lit(0.0)))
+    return F.when(bit.between(0, MAX_PLANES - 1), value).otherwise(outside.cast("double"))
+
+
 def plane_fraction(fractions: Column, planes: Column, name: str) -> Column:
     """Fraction of one named plane; a plane the map does not have counts 0."""
     bit = F.element_at(planes, F.lit(name))
-    return F.when(bit.isNull(), F.lit(0.0)).otherwise(F.get(fractions, bit))
+    return F.when(bit.isNull(), F.lit(0.0)).otherwise(_at_bit(fractions, bit))
 
 
 def plane_fractions(df: DataFrame, inner_fraction: float = 0.34) -> DataFrame:
@@ -171,15 +180,17 @@ def plane_fractions(df: DataFrame, inner_fraction: float = 0.34) -> DataFrame:
     measured = df.withColumn("_p", _plane_measures(inner_fraction)("mask"))
     keep = [c for c in df.columns if c not in ("image", "variance", "mask", "planes")]
     return measured.select(*keep, "_p", F.explode("planes").alias("plane", "_bit")).select(
-        *keep, "plane", F.get("_p.whole", F.col("_bit")).alias("fraction"), F.get("_p.inner", F.col("_bit")).alias("inner_fraction")
+        *keep, "plane", _at_bit(F.col("_p.whole"), F.col("_bit")).alias("fraction"), _at_bit(F.col("_p.inner"), F.col("_bit")).alias("inner_fraction")
     )
 
 
 def pack_mask(df: DataFrame, planes: Iterable[str], out: str = "mask") -> DataFrame:
-    """Boolean array columns to one bit array and its name-to-bit map, first 32 planes."""
-    names = list(planes)[:MAX_PLANES]
+    """Boolean array columns to one bit array and its name-to-bit map; more planes than bits are refused."""
+    names = list(planes)
     if not names:
         raise ValueError("no planes to pack")
+    if len(names) > MAX_PLANES:
+        raise ValueError(f"{len(names)} planes do not fit in {MAX_PLANES} bits")
 
     @arrow_function(LONGS)
     def packed(stacked: pd.Series) -> pd.Series:

@@ -151,9 +151,9 @@ def _ra_width(r: float) -> str:
 
 
 def _probe(rows: DataFrame, r: float, steps: tuple[int, int], reach: str, wrap: bool) -> DataFrame:
-    """Copies of each row in every bucket it can meet: two bands, a few buckets each.
+    """Copies of each place in every bucket it can meet: two bands, a few buckets each.
 
-    `reach` is how far the row reaches in right ascension, as an expression of its dec and band.
+    `reach` is how far the place reaches in right ascension, as an expression of its dec and band.
     """
     turns = "array(0D, 360D, -360D)" if wrap else "array(0D)"
     out = rows.selectExpr("id", "dec", "ra", f"{reach} AS reach", "band AS home", f"explode(array({steps[0]}L, {steps[1]}L)) AS step")
@@ -162,7 +162,7 @@ def _probe(rows: DataFrame, r: float, steps: tuple[int, int], reach: str, wrap:
         out = out.where("turn = 0 OR (ra + turn + reach >= 0 AND ra + turn - reach <= 360)")
     width = _ra_width(r)
     low, high = (f"floor((ra + turn {sign} reach) / {width})" for sign in "-+")
-    return out.selectExpr("id", "dec", "ra + turn AS ra", "band", f"explode(sequence({low}, {high})) AS bucket")
+    return out.selectExpr("id", "dec", "ra AS at", "ra + turn AS ra", "band", f"explode(sequence({low}, {high})) AS bucket")
 
 
 def _near(early: str, late: str, r: float) -> str:
@@ -171,14 +171,19 @@ def _near(early: str, late: str, r: float) -> str:
         AND hypot(({early}.ra - {late}.ra) * {_cos(late + '.dec')}, {early}.dec - {late}.dec) < {r!r}D"""
 
 
+def _same(left: str, right: str) -> str:
+    """Two rows stand for the same place. Ids are never compared: they may repeat."""
+    return f"{left}.ra <=> {right}.ra AND {left}.dec <=> {right}.dec"
+
+
 def dedupe(df: DataFrame, radius_arcsec: float = 0.5, wrap: bool = False, key: str = "objectId") -> DataFrame:
     """Walk the rows by (declination, id); drop a row nearer than the radius to a kept one.
 
-    Done in rounds over open rows. The first open row of each sky bucket is kept when no earlier
-    open row is near it; then every open row near a newly kept one is dropped. Each bucket puts
-    forward one row a round and a bucket one radius wide keeps only a few rows ever, so the pairs
-    formed are a small multiple of the open rows, however many share a bucket. Rows at exactly
-    one position are settled before the first round: only the first of them can be kept.
+    Done in rounds over open places, a place being a position with the first of its ids. The first
+    open place of each sky bucket is kept when no earlier open one is near it; then every open place
+    near a newly kept one is dropped. Each bucket puts forward one place a round and a bucket one
+    radius wide keeps only a few ever, so the pairs formed are a small multiple of the open places,
+    however many share a bucket. Of rows at exactly one position one is kept, of equal ids any one.
     Buckets are joined by key, so a crowded one can be split by the skew-join rule.
     """
     r = radius_arcsec / 3600.0
@@ -192,21 +197,22 @@ def dedupe(df: DataFrame, radius_arcsec: float = 0.5, wrap: bool = False, key: s
         first = open_rows.groupBy("band", "bucket").agg(F.expr("min(struct(dec, id, ra)) AS m")).select("m.*", "band", "bucket")
         asked = _probe(first, r, (0, -1), f"({r * _SLACK!r}D / {_cos('dec')})", wrap)
         at = "{0}.band = o.band AND {0}.bucket = o.bucket AND "
-        blocked = asked.alias("a").join(open_rows.alias("o"), F.expr(at.format("a") + _near("o", "a", r))).select("a.id").distinct()
-        new = settle(first.join(blocked, "id", "left_anti"))
-        kept = new.select("id") if kept is None else kept.union(new.select("id"))
-        # A kept row reaches rows of its own band and the next, at the widest either can be.
+        blocked = asked.alias("a").join(open_rows.alias("o"), F.expr(at.format("a") + _near("o", "a", r))).selectExpr("a.at AS ra", "a.dec AS dec").distinct()
+        new = settle(first.alias("f").join(blocked.alias("b"), F.expr(_same("f", "b")), "left_anti"))
+        kept = new.select("id", "ra", "dec") if kept is None else kept.union(new.select("id", "ra", "dec"))
+        # A kept place reaches places of its own band and the next, at the widest either can be.
         widest = f"least(greatest(abs(dec), abs((band + 2) * {r!r}D)), 90D)"
         reach = _probe(new, r, (0, 1), f"({r * _SLACK!r}D / {_cos(widest)})", wrap)
         open_rows = settle(
             open_rows.alias("o")
             .join(reach.alias("k"), F.expr(at.format("k") + _near("k", "o", r)), "left_anti")
-            .join(new.select("id"), "id", "left_anti")
+            .join(new.select("ra", "dec").alias("n"), F.expr(_same("o", "n")), "left_anti")
         )
         left = open_rows.count()
     if kept is None:
         return df
-    return df.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    found = df.alias("d").join(kept.alias("k"), F.expr(f"d.coord_ra <=> k.ra AND d.coord_dec <=> k.dec AND d.`{key}` <=> k.id"), "left_semi")
+    return found.dropDuplicates(["coord_ra", "coord_dec", key])
 
 
 def select_hosts(df: DataFrame, cuts: HostCuts | None = None) -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def planes_from_mask(df: DataFrame) -> DataFrame:
-    """One boolean array column per plane of a map all rows share, read off the first row's map."""
-    first = df.select("planes").first()
-    if first is None:
+    """One boolean array column per plane of the map that all rows share; a second map is an error."""
+    maps = df.where("planes IS NOT NULL").select(F.array_sort(F.map_entries("planes")).alias("planes")).distinct().limit(2).collect()
+    if not maps:
         raise ValueError("no stamps")
+    if len(maps) > 1:
+        raise ValueError("the stamps have different plane maps; unpack each kind on its own")
 
     def is_set(bit):
         return lambda bits: F.shiftright(bits, bit).bitwiseAND(F.lit(1)) == 1
 
-    for name, bit in first["planes"].items():
+    for name, bit in maps[0]["planes"]:
         df = df.withColumn(name, F.transform("mask", is_set(bit)))
     return df

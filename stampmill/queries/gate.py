@@ -13,7 +13,7 @@ from stampmill.queries import query
 from stampmill.queries.views import PLANES, ctes, stamps32
 
 # Every cut on, with depth columns that make each of them fire.
-CUTS = PatchCuts(min_visits=2, max_peaks=2)
+CUTS = PatchCuts(min_visits=2, max_peaks=2, max_plane_fraction=PatchCuts().max_plane_fraction | {"SENSOR_EDGE": 0.01})
 
 
 def rounded(column, digits=6):
@@ -87,6 +87,7 @@ judged AS (
     CASE WHEN f_COSMIC_RAY > 0.005 THEN 'COSMIC_RAY:' || printf('%.4f', f_COSMIC_RAY) || '>0.005' END,
     CASE WHEN f_INTERPOLATED > 0.02 THEN 'INTERPOLATED:' || printf('%.4f', f_INTERPOLATED) || '>0.02' END,
     CASE WHEN f_SATURATED > 0.005 THEN 'SATURATED:' || printf('%.4f', f_SATURATED) || '>0.005' END,
+    CASE WHEN f_SENSOR_EDGE > 0.01 THEN 'SENSOR_EDGE:' || printf('%.4f', f_SENSOR_EDGE) || '>0.01' END,
     CASE WHEN i_COSMIC_RAY > 0.005 THEN 'inner_COSMIC_RAY:' || printf('%.4f', i_COSMIC_RAY) || '>0.005' END,
     CASE WHEN i_INTERPOLATED > 0.001 THEN 'inner_INTERPOLATED:' || printf('%.4f', i_INTERPOLATED) || '>0.001' END,
     CASE WHEN i_SATURATED > 0 THEN 'inner_SATURATED:' || printf('%.4f', i_SATURATED) || '>0.0' END
@@ -146,10 +147,10 @@ def i4(spark, sf):
 @query("i5_gate", MANIFEST_CTES + """SELECT host_id, reasons, round(frac_no_data, 6) AS frac_no_data,
   round(inner_frac_no_data, 6) AS inner_frac_no_data, round(variance_step, 6) AS variance_step, round(sky_noise, 6) AS sky_noise,
   round(centre_sigma, 6) AS centre_sigma, n_peaks, round(f_INTERPOLATED, 6) AS frac_interpolated,
-  round(i_SATURATED, 6) AS inner_frac_saturated, round(f_INEXACT_PSF, 6) AS frac_inexact_psf FROM manifest""")
+  round(f_SENSOR_EDGE, 6) AS frac_sensor_edge, round(i_SATURATED, 6) AS inner_frac_saturated, round(f_INEXACT_PSF, 6) AS frac_inexact_psf FROM manifest""")
 def i5(spark, sf):
     d = {"frac_no_data": "frac_no_data", "inner_frac_no_data": "inner_frac_no_data", "variance_step": "variance_step",
-         "sky_noise": "sky_noise", "centre_sigma": "centre_sigma", "n_peaks": "n_peaks", "frac_INTERPOLATED": "frac_interpolated",
+         "sky_noise": "sky_noise", "centre_sigma": "centre_sigma", "n_peaks": "n_peaks", "frac_INTERPOLATED": "frac_interpolated", "frac_SENSOR_EDGE": "frac_sensor_edge",
          "inner_frac_SATURATED": "inner_frac_saturated", "frac_INEXACT_PSF": "frac_inexact_psf"}
     return manifest32(spark, sf).select("host_id", "reasons", *[rounded(F.col(f"diag_{k}")).alias(v) for k, v in d.items()])
 
@@ -189,7 +190,7 @@ def w9(spark, sf):
     return m.top_k(m.rejection_counts(manifest32(spark, sf)), 5, "n", "reason")
 
 
-@query("a2_pack_mask", ctes("px32") + """SELECT s AS host_id, i, bits & 127 AS bits FROM stamp_px""")
+@query("a2_pack_mask", ctes("px32") + """SELECT s AS host_id, i, (bits & 127) | (((bits >> 40) & 1) << 7) AS bits FROM stamp_px""")
 def a2(spark, sf):
     planes = planes_from_mask(stamps32(spark, sf))
     packed = g.pack_mask(planes, PLANES)

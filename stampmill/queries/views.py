@@ -20,6 +20,7 @@ PLANES = {
     "DETECTED": 4,
     "INEXACT_PSF": 5,
     "REJECTED": 6,
+    "SENSOR_EDGE": 40,
 }
 
 _OBJECT_COLUMNS = {
@@ -76,12 +77,13 @@ _CTES = {
         "(SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, "
         "CAST(CAST(CAST(unnest(embedding) AS DOUBLE) * 400e0 AS FLOAT) AS DOUBLE) AS v FROM embeddings))"
     ),
-    # 16 consecutive vectors tiled 4 x 4, leftovers dropped.
+    # 16 consecutive vectors tiled 4 x 4; a last stamp short of tiles begins again with its own first ones.
     "px32": """px32 AS (
   SELECT *, y * 32 + x AS i FROM (
-    SELECT vec_id // 16 AS s, ((vec_id % 16) // 4) * 8 + k // 8 AS y, ((vec_id % 16) % 4) * 8 + k % 8 AS x, e
-    FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings))
-  WHERE s < (SELECT count(*) FROM embeddings) // 16),
+    SELECT s, (p // 4) * 8 + k // 8 AS y, (p % 4) * 8 + k % 8 AS x, e
+    FROM (SELECT s, p, s * 16 + p % least(16, (SELECT count(*) FROM embeddings) - s * 16) AS vec_id
+      FROM (SELECT unnest(range((SELECT count(*) + 15 FROM embeddings) // 16)) AS s), (SELECT unnest(range(16)) AS p)) tiles
+    JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings) USING (vec_id))),
 stamp_px AS (
   SELECT s, y, x, i, v,
     CASE WHEN (s * 7 + i * 13) % 9973 = 0 THEN CAST('inf' AS DOUBLE)
@@ -89,7 +91,7 @@ stamp_px AS (
     CAST(CASE WHEN v > 110 THEN 1 ELSE 0 END + CASE WHEN (s * 31 + i * 17) % 641 = 0 THEN 2 ELSE 0 END
       + CASE WHEN (s + i * 29) % 809 = 0 THEN 4 ELSE 0 END + CASE WHEN s % 13 = 0 AND y = 0 THEN 8 ELSE 0 END
       + CASE WHEN v > 50 THEN 16 ELSE 0 END + CASE WHEN y < 10 THEN 32 ELSE 0 END
-      + CASE WHEN s % 5 = 0 THEN 64 ELSE 0 END AS BIGINT) AS bits
+      + CASE WHEN s % 5 = 0 THEN 64 ELSE 0 END + CASE WHEN (s * 5 + i) % 97 = 0 THEN 1099511627776 ELSE 0 END AS BIGINT) AS bits
   FROM (SELECT s, y, x, i, CAST(CAST(80e0 * e + (s % 5) * 30e0 * exp(-((x - 16) * (x - 16) + (y - 16) * (y - 16)) / 50e0)
     AS FLOAT) AS DOUBLE) AS v FROM px32))""",
     "run_log": (
@@ -147,13 +149,13 @@ def stamps8(spark, sf) -> DataFrame:
 
 
 def stamps32(spark, sf) -> DataFrame:
-    """32 x 32 stamps with variance, mask and plane map; 16 embeddings each."""
+    """32 x 32 stamps with variance, mask and plane map; 16 embeddings each, the last one's repeated where it has fewer."""
     tiles = table(spark, sf, "embeddings").select(
         F.expr("vec_id div 16").alias("s"), (F.col("vec_id") % 16).alias("p"), "embedding"
     )
     grouped = tiles.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "embedding"))).alias("t"))
-    whole = grouped.where(F.size("t") == 16)
-    whole = whole.withColumn("e", F.transform("t", lambda t: t["embedding"]))
+    tile = lambda p: F.get("t", (p % F.size("t")).cast("int"))["embedding"]
+    whole = grouped.withColumn("e", F.transform(F.sequence(F.lit(0), F.lit(15)), tile))
     image = """transform(sequence(0, 1023), i -> cast(80e0 * cast(e[((i div 256) * 4) + ((i % 32) div 8)]
         [((i div 32) % 8) * 8 + (i % 8)] as double) + (s % 5) * 30e0 *
         exp(-(((i % 32) - 16) * ((i % 32) - 16) + ((i div 32) - 16) * ((i div 32) - 16)) / 50e0) as float))"""
@@ -161,7 +163,7 @@ def stamps32(spark, sf) -> DataFrame:
         cast((100e0 + greatest(cast(v as double), 0e0)) * if(s % 4 = 1 and i % 32 >= 16, 6e0, 1e0) as float)))"""
     mask = """transform(image, (v, i) -> cast(if(v > 110, 1, 0) + if((s * 31 + i * 17) % 641 = 0, 2, 0)
         + if((s + i * 29) % 809 = 0, 4, 0) + if(s % 13 = 0 and i < 32, 8, 0) + if(v > 50, 16, 0)
-        + if(i < 320, 32, 0) + if(s % 5 = 0, 64, 0) as bigint))"""
+        + if(i < 320, 32, 0) + if(s % 5 = 0, 64, 0) + if((s * 5 + i) % 97 = 0, 1099511627776L, 0L) as bigint))"""
     planes = F.create_map(*[F.lit(v) for pair in PLANES.items() for v in pair])
     return (
         whole.withColumn("image", F.expr(image))

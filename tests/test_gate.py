@@ -99,11 +99,35 @@ def test_an_absent_plane_counts_zero(spark):
     assert out["diag_frac_COSMIC_RAY"] == 0.0 and out["reasons"] == []
 
 
-def test_packing_keeps_32_planes(spark):
-    names = [f"p{i}" for i in range(34)]
-    df = spark.createDataFrame([tuple([[i % 2 == 0, True] for i in range(34)])], ", ".join(f"{n} array<boolean>" for n in names))
-    out = g.pack_mask(df, names).first()
-    assert len(out["planes"]) == 32 and out["mask"] == [sum(1 << i for i in range(0, 32, 2)), (1 << 32) - 1]
+def test_packing_keeps_63_planes_and_refuses_more(spark):
+    names = [f"p{i}" for i in range(64)]
+    df = spark.createDataFrame([tuple([[i % 2 == 0, True] for i in range(64)])], ", ".join(f"{n} array<boolean>" for n in names))
+    out = g.pack_mask(df, names[:63]).first()
+    assert len(out["planes"]) == 63 and out["mask"] == [sum(1 << i for i in range(0, 63, 2)), (1 << 63) - 1]
+    with pytest.raises(ValueError, match="64 planes"):
+        g.pack_mask(df, names)
+
+
+def test_a_high_plane_rejects(spark):
+    image, variance, mask = scene()
+    out = run(spark, image, variance, mask.astype(np.int64) | (1 << 40), planes={**PLANES, "SATURATED": 40})
+    assert out["diag_frac_SATURATED"] == 1.0 and any(r.startswith("SATURATED") for r in out["reasons"])
+
+
+def test_a_bit_no_mask_can_hold_fails(spark):
+    with pytest.raises(Exception, match="bits 0 to 62"):
+        run(spark, *scene(), planes={**PLANES, "SATURATED": 63})
+    image, variance, mask = scene()
+    with pytest.raises(Exception, match="sets bit 63"):
+        run(spark, image, variance, np.full_like(mask, -(1 << 63), dtype=np.int64))
+
+
+def test_two_plane_maps_are_not_mixed(spark):
+    from stampmill.operators.stamps import planes_from_mask
+
+    df = spark.createDataFrame([([1], {"a": 0}), ([1], {"b": 0})], "mask array<long>, planes map<string,int>")
+    with pytest.raises(ValueError, match="different plane maps"):
+        planes_from_mask(df)
 
 
 def test_reasons_count_once_a_row(spark):

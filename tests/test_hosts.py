@@ -24,6 +24,17 @@ def ids(df):
     return {r["objectId"] for r in df.select("objectId").collect()}
 
 
+def test_repeated_ids_and_rows(spark):
+    rows = [(1, 10.0, 0.0), (1, 10.0, 0.0), (2, 20.0, 0.0), (3, 20.00001, 0.0), (3, 50.0, 0.0), (4, 60.0, 0.0), (4, 70.0, 0.0)]
+    got = [(r["objectId"], r["coord_ra"]) for r in h.dedupe(frame(spark, rows), 0.5).collect()]
+    assert sorted(got) == [(1, 10.0), (2, 20.0), (3, 50.0), (4, 60.0), (4, 70.0)]
+
+
+def test_places_without_coordinates_stay_once(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 10.0, 0.0), (3, 10.00001, 0.0)], "objectId long, coord_ra double, coord_dec double")
+    assert sorted(r["objectId"] for r in h.dedupe(df, 0.5).collect()) == [1, 2]
+
+
 def test_two_near_one_far(spark):
     rows = [(1, 53.1, -28.0), (2, 53.1 + 1e-5, -28.0), (3, 53.5, -28.0)]
     assert ids(h.dedupe(frame(spark, rows), 0.5)) == {1, 3}
