@@ -17,6 +17,7 @@ from stampmill.operators.quantiles import exact_quantiles
 STAT_PERCENTILES = (0.1, 1, 16, 50, 84, 99, 99.9)
 SIGMA_FLOOR, SCATTER_SHARE = 1e-3, 0.05
 SHELL_OVERLAP = 0.5
+WIDEST_RATIO, TINY = 2.0**20, 1e-30
 
 
 def percent_name(p: float) -> str:
@@ -136,29 +137,34 @@ def sigma_range(df: DataFrame, rule: str = "pairs") -> DataFrame:
     return df.withColumn("sigma_min", F.greatest(F.lit(SIGMA_FLOOR), SCATTER_SHARE * F.col("sky_scatter"))).withColumn("sigma_max", high)
 
 
+_ERF = np.vectorize(math.erf, otypes=[float])
+
+
+def _shell_ratios(dims: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Ratio of neighbouring noise levels whose shells overlap by half, by Newton's method on the overlap.
+
+    In d dimensions a shell is sqrt(d) deep and 3 wide to either side. Up to 9 dimensions shells overlap
+    by more at any ratio, so the largest ratio stands.
+    """
+    ratios = np.full(len(dims), WIDEST_RATIO)
+    root = np.sqrt(dims[dims > 9])
+    # Where the lower edge meets the middle of the next shell the overlap is close to a half already.
+    g = root / (root - 3)
+    for _ in range(rounds):
+        edges = [root * (g - 1) + side * 3 * g for side in (1, -1)]
+        overlap = (_ERF(edges[0] / math.sqrt(2)) - _ERF(edges[1] / math.sqrt(2))) / 2 if len(root) else root
+        slope = (np.exp(-edges[0] ** 2 / 2) * (root + 3) - np.exp(-edges[1] ** 2 / 2) * (root - 3)) / math.sqrt(2 * math.pi)
+        g = g - (overlap - SHELL_OVERLAP) / slope
+    ratios[dims > 9] = np.minimum(g, WIDEST_RATIO)
+    return ratios
+
+
 @arrow_function(struct(gamma=DOUBLE, n_steps=LONG))
 def _steps(dim: pd.Series, sigma_min: pd.Series, sigma_max: pd.Series) -> pd.DataFrame:
-    def ratio(d):
-        root = math.sqrt(d)
-
-        def shared(g):
-            low, high = root * (g - 1) - 3 * g, root * (g - 1) + 3 * g
-            return 0.5 * (math.erf(high / math.sqrt(2)) - math.erf(low / math.sqrt(2)))
-
-        low, high = 1.0, 2.0
-        while shared(high) > SHELL_OVERLAP and high < 1e6:
-            high *= 2
-        for _ in range(200):
-            middle = (low + high) / 2
-            low, high = (middle, high) if shared(middle) > SHELL_OVERLAP else (low, middle)
-        return (low + high) / 2
-
-    gammas = {d: ratio(float(d)) for d in dim.unique()}
-    rows = []
-    for d, low, high in zip(dim, sigma_min, sigma_max):
-        span = math.log(max(high, 1e-30) / max(low, 1e-30))
-        rows.append((gammas[d], int(np.ceil(max(span / math.log(gammas[d]), 1.0)))))
-    return pd.DataFrame(rows, columns=["gamma", "n_steps"])
+    known, which = np.unique(dim.to_numpy(float), return_inverse=True)
+    gamma = _shell_ratios(known)[which]
+    span = np.log(np.maximum(sigma_max.to_numpy(float), TINY)) - np.log(np.maximum(sigma_min.to_numpy(float), TINY))
+    return pd.DataFrame({"gamma": gamma, "n_steps": np.ceil(np.maximum(span / np.log(gamma), 1.0)).astype(np.int64)})
 
 
 def n_steps(df: DataFrame) -> DataFrame:
