@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from stampmill.cuts import PatchSettings, TransformSettings
 from stampmill.functions.draws import draw
 from stampmill.operators.images import make_batch
+from stampmill.operators.manifest import usable
 from stampmill.operators.ordering import global_row_number
 
 
@@ -31,9 +32,13 @@ def batch_plan(df: DataFrame, batch_size: int, seed, epochs: int, sizes: Sequenc
     return out.withColumn("out_size", size)
 
 
-def batches(df: DataFrame, plan: DataFrame, cfg: TransformSettings, patch: PatchSettings, key: str, seed=0) -> DataFrame:
-    """The planned batches as rows (batch_id, slot, key, out_size, image), one size at a time."""
+def batches(df: DataFrame, plan: DataFrame, cfg: TransformSettings, patch: PatchSettings, key: str, seed=0, manifest: DataFrame | None = None) -> DataFrame:
+    """The planned batches as rows (batch_id, slot, key, out_size, image), one size at a time.
+
+    With a manifest a plan that holds a stamp not usable under `patch` loses it; plan from `usable` stamps.
+    """
     out = None
+    df = df if manifest is None else usable(df, patch, manifest)
     drawn = plan.withColumn("_draw", F.concat_ws(":", "batch_id", "slot"))
     for size in patch.training_sizes:
         rows = df.join(drawn.where(F.col("out_size") == size), key)

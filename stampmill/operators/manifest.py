@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stampmill.cuts import BANDS
+from stampmill.cuts import BANDS, PatchSettings
 from stampmill.functions.flux import finite, flux_to_mag
 from stampmill.operators.keyed import keep
 from stampmill.operators.quantiles import exact_quantiles
@@ -211,6 +211,21 @@ def manifest_cut(stamps: DataFrame, manifest: DataFrame, limits: dict[str, float
     return keep(stamps, passed, ["host_id", "band_idx"])
 
 
+def usable(stamps: DataFrame, patch: PatchSettings, manifest: DataFrame | None = None) -> DataFrame:
+    """The stamps a loader may use; batches and statistics are to start from these.
+
+    The no-data cut reads the stamps' own narrow column, the cuts on saturated and interpolated
+    pixels the manifest; each has its own switch. A limit on a plane without a manifest, or a
+    fraction that is not known, is an error. The images are picked once, by key.
+    """
+    limits = {"diag_frac_SATURATED": patch.max_frac_saturated, "diag_frac_INTERPOLATED": patch.max_frac_interpolated}
+    limits = {c: v for c, v in limits.items() if v is not None}
+    if limits and manifest is None:
+        raise ValueError(f"{sorted(limits)} are limited, which needs the manifest")
+    left = no_data_cut(stamps, patch.max_no_data)
+    return manifest_cut(left, manifest, limits) if limits else left
+
+
 def no_data_cut(df: DataFrame, max_no_data: float | None) -> DataFrame:
     """Keep `frac_no_data <= max_no_data`; a row that does not know its fraction is an error."""
     if max_no_data is None or max_no_data < 0:

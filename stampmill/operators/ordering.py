@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stampmill.functions.draws import draw
 from stampmill.operators.lineage import settle
 
-SMALL_TABLE = 100_000
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the in-partition row number below this
 
 
@@ -68,11 +67,10 @@ def sample_n(df: DataFrame, n: int, seed, key: str) -> DataFrame:
     """
     drawn = df.withColumn("_h", draw(seed, key))
     total = df.count()
-    if total > max(SMALL_TABLE, 4 * n):
-        share = min((n + 10 * math.sqrt(n) + 100) / total, 1.0)
-        near = drawn.where(F.col("_h") < int(share * (1 << 60)))
-        if near.count() >= n:
-            drawn = near
+    share = min((n + 10 * math.sqrt(n) + 100) / max(total, 1), 1.0)
+    near = drawn.where(F.col("_h") < int(share * (1 << 60)))
+    if near.count() >= min(n, total):
+        drawn = near
     return drawn.orderBy("_h", key).limit(n).drop("_h").orderBy(key)
 
 

@@ -50,9 +50,12 @@ def _quantiles(values: DataFrame, probs: list[float], by: list[str], percentile_
     schema = key_schema + "n bigint, q array<double>"
     biggest = values.groupBy(*by).count().agg(F.max("count").alias("m")).first()["m"] or 0
     if biggest <= percentile_rows:
-        small = values.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
-        return spark.createDataFrame([tuple(r) for r in small.collect()], schema)
+        ordered = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_v")).alias("s"))
+        last = F.col("n") - 1
+        low = [F.floor(F.lit(p) * last).cast("int") for p in probs]
+        around = [F.array(F.get("s", k), F.get("s", F.least(k + 1, last.cast("int")))) for k in low]
+        found = [(tuple(r[k] for k in by), r["n"], r["a"]) for r in ordered.select(*by, "n", F.array(*around).alias("a")).collect()]
+        return spark.createDataFrame([(*key, n, [between(p, n, a, b) for p, (a, b) in zip(probs, pairs)]) for key, n, pairs in found], schema)
 
     bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     groups = {tuple(r[k] for k in by): (r["n"], r["lo"], r["hi"]) for r in bounds.collect()}
@@ -78,6 +81,12 @@ def _quantiles(values: DataFrame, probs: list[float], by: list[str], percentile_
     return spark.createDataFrame(rows, schema)
 
 
+def between(p: float, n: int, a: float, b: float) -> float:
+    """The quantile between the two order statistics about it, however those were found."""
+    at = p * (n - 1)
+    return a + (b - a) * (at - math.floor(at))
+
+
 def bin_of(v, lo, hi):
     """Bin of a value inside its bracket; monotone in the value, so counts add up to ranks."""
     width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
@@ -119,8 +128,6 @@ def refine(
     for key, (n, _, _) in groups.items():
         out[key] = []
         for p in probs:
-            at = p * (n - 1)
-            k = math.floor(at)
-            a, b = wanted[(key, k)][1], wanted[(key, min(k + 1, n - 1))][1]
-            out[key].append(a + (b - a) * (at - k))
+            k = math.floor(p * (n - 1))
+            out[key].append(between(p, n, wanted[(key, k)][1], wanted[(key, min(k + 1, n - 1))][1]))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stampmill.operators.ordering import global_row_number
 
 SEGMENT_ROWS = 4096
+DOUBLE_DECADES = 640  # between the largest and the smallest positive double
 
 
 def loss_by_sigma(df: DataFrame, keys: tuple[str, ...] = ("step", "sigma")) -> DataFrame:
@@ -22,15 +23,15 @@ def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, n
     """Running mean per key: the first value, then (1 - alpha) * previous + alpha * value.
 
     A series is cut into short segments, each summed on its own; what enters a segment is the
-    end of the earlier ones, each faded by the rows between. Fading below one part in 1e30 is
-    dropped, which double precision cannot see. No series is ever held in one task.
+    end of the earlier ones, each faded by the rows between, as far back as the largest double
+    could still be seen next to the smallest. No series is ever held in one task.
     """
     keep = 1.0 - alpha
     if not 0 < keep < 1:
         raise ValueError("alpha must lie strictly between 0 and 1")
     fade = -math.log10(keep)
     rows = max(1, min(segment_rows, int(200 / fade)))
-    reach = max(1, math.ceil(30 / (fade * rows)))
+    reach = max(1, math.ceil(DOUBLE_DECADES / (fade * rows)))
     numbered = global_row_number(df.select(key, order, value), key, order, name="_rn")
     first = numbered.groupBy(key).agg(F.min("_rn").alias("_from"))
     placed = numbered.join(first, key).withColumn("_at", F.col("_rn") - F.col("_from")).drop("_from", "_rn")
@@ -42,8 +43,10 @@ def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.02, n
     inside = placed.withColumn("_in", grown * F.pow(F.lit(keep), F.col("_k")))
     ends = inside.where(F.col("_k") == rows - 1).select(key, F.col("_seg").alias("_end"), F.col("_in").alias("_b"))
     ahead = ends.select(key, "_b", "_end", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_far"))
+    # In two factors, each of which a double can hold.
+    half = F.pow(F.lit(keep), (F.col("_far") - 1) * rows / 2)
     carried = ahead.groupBy(key, (F.col("_end") + F.col("_far")).alias("_seg")).agg(
-        F.sum(F.col("_b") * F.pow(F.lit(keep), (F.col("_far") - 1) * rows)).alias("_carry"))
+        F.sum(F.col("_b") * half * half).alias("_carry"))
     out = inside.join(carried, [key, "_seg"], "left")
     mean = F.col("_in") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)
     return out.select(key, order, value, mean.alias(name))

@@ -2,7 +2,8 @@
 
 The gate is the costly step and the walk stops early, so whole patches are taken in ranges of walk
 rank, each sized by the hosts still needed at the acceptance seen so far, until enough stamps are
-accepted; the exact stop is then applied to the whole.
+accepted; the exact stop is then applied to the whole. A range never has more hosts than their keys
+can be sent to the pixel table, so images are not shuffled, and each range is checked as it ends.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from stampmill.cuts import BANDS, PatchCuts
 from stampmill.operators.gate import gate
 from stampmill.operators.hosts import data_id_json, stamp_box, verify_centre
-from stampmill.operators.keyed import fetch
+from stampmill.operators.keyed import BROADCAST_KEYS, fetch
 from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_prefix_sum
 from stampmill.operators import walk as w
@@ -88,23 +89,32 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
     if last is None:
         raise RuntimeError("the host catalogue is empty; loosen the cuts")
 
-    rows, low, walked_hosts, accepted = None, 0, 0, 0
+    rows, low, walked_hosts, accepted, plane_map, guarded = None, 0, 0, 0, None, False
+    most = max(1, BROADCAST_KEYS // len(bands))
     while low <= last and (target is None or accepted < target):
-        high = last + 1
+        step = most
         if target is not None:
+            # Without any acceptance so far the next range doubles what was walked in vain.
             rate = accepted / walked_hosts if accepted else FIRST_ACCEPTANCE * len(bands)
-            want = walked_hosts + max(math.ceil(MARGIN * (target - accepted) / rate), 1)
-            edge = sizes.where(F.col("before") + F.col("n") >= want).agg(F.min("patch_rank")).first()[0]
-            high = last + 1 if edge is None else max(edge, low) + 1
+            step = max(math.ceil(MARGIN * (target - accepted) / rate), 1)
+            step = min(step if accepted else max(step, 2 * walked_hosts), most)
+        edge = sizes.where(F.col("before") + F.col("n") >= walked_hosts + step).agg(F.min("patch_rank")).first()[0]
+        high = last + 1 if edge is None else max(edge, low) + 1
         piece = walk.where(F.col("patch_rank").between(low, high - 1))
         done = settle(attempt(piece, coadds, visits, pixels, cuts, bands, size).withColumnRenamed("host_id", "objectId"))
-        seen = done.agg(F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h")).first()
+        seen = done.agg(
+            F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h"),
+            F.min("plane_map").alias("first"), F.max("plane_map").alias("last")).first()
         accepted, walked_hosts = accepted + seen["a"], walked_hosts + seen["h"]
+        for found in (seen["first"], seen["last"]):
+            if found is not None and found != (plane_map or found):
+                raise RuntimeError(f"the mask plane map changed between stamps: {plane_map} and {found}")
+            plane_map = plane_map or found
         rows = done if rows is None else rows.unionByName(done, allowMissingColumns=True)
+        if not guarded:
+            w.check_walk(walk.where(F.col("patch_rank") < high), rows.where("was_read"))
+            guarded = walked_hosts > w.GUARD_HOSTS
         low = high
-    maps = rows.agg(F.min("plane_map").alias("a"), F.max("plane_map").alias("b")).first()
-    if maps["a"] != maps["b"]:
-        raise RuntimeError(f"the mask plane map changed between stamps: {maps['a']} and {maps['b']}")
 
     # One running count of accepted stamps in walk order gives each its number, and each host the
     # count before it: the host is walked while that is under the target.
@@ -125,7 +135,6 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
         .drop("_band", "plane_map")
     )
     manifest = settle(manifest)
-    w.check_walk(walked, manifest.where("was_read").withColumnRenamed("host_id", "objectId"))
     return Extraction(manifest, walked, accepted_stamps(manifest, pixels, size), target, target is not None and accepted < target)
 
 
@@ -145,4 +154,6 @@ def accepted_stamps(manifest: DataFrame, pixels: DataFrame, size: int) -> DataFr
         F.col("diag_frac_INEXACT_PSF").cast("float").alias("frac_inexact_psf"),
         F.col("diag_frac_REJECTED").cast("float").alias("frac_rejected"),
     )
-    return fetch(pixels.select("host_id", "band_idx", "image", "native_size"), meta, ["host_id", "band_idx"])
+    # A pixel table laid out by patch is pruned by it.
+    on = ["host_id", "band_idx"] + [c for c in ("tract", "patch") if c in pixels.columns]
+    return fetch(pixels.select(*on, "image", "native_size"), meta, on)

@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from stampmill.cuts import PatchSettings, TransformSettings
 from stampmill.operators import images as im, measure as me, pairs as pr, spectra as sp
+from stampmill.operators.manifest import usable
 from stampmill.operators.ordering import sample_n
 
 SCALES = (1, 2, 4, 8, 16, 32)
 
 
 def prepare(stamps: DataFrame, cfg: TransformSettings, patch: PatchSettings, key: str, n: int = 512, seed=0, rule: str = "pairs",
-            sigma_min: float | None = None, sigma_max: float | None = None) -> DataFrame:
+            sigma_min: float | None = None, sigma_max: float | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """One row of measured and kept settings. A setting that is given is kept, one that is None is measured.
 
+    With a manifest only the stamps usable under `patch` are read; without one the caller has cut them.
+
     The sample is drawn once and its few rows are kept in memory (and on disk when they do not
     fit) for the measures that read them; what is lost with an executor is computed again.
     """
+    if manifest is not None:
+        stamps = usable(stamps, patch, manifest)
     keys = sample_n(stamps.select(key), n, seed, key)
     sample = stamps.join(keys, key, "left_semi")
     pooled = im.to_grid(sample, patch, key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stampmill.cuts import BANDS, PatchCuts
+from stampmill.cuts import BANDS, PatchCuts, PatchSettings
 from stampmill.functions.flux import finite
 from stampmill.operators import gate as g, manifest as m
 from stampmill.operators.lineage import scratch_path
@@ -208,6 +208,19 @@ def j6(spark, sf):
     return m.manifest_cut(accepted, manifest, {"diag_frac_SATURATED": 1e-3, "diag_frac_INTERPOLATED": 1e-3})
 
 
+@query("j6_usable", MANIFEST_CTES + """SELECT host_id, i, round(v, 4) AS v FROM stamp_px JOIN manifest ON stamp_px.s = manifest.s
+  WHERE status = 'accepted' AND frac_no_data <= 5e-4 AND f_SATURATED <= 1e-3 AND f_INTERPOLATED <= 1e-3""")
+def j6_usable(spark, sf):
+    path = scratch_path(spark, "manifest")
+    manifest32(spark, sf).write.parquet(path)
+    manifest = spark.read.parquet(path)
+    known = manifest.where("status = 'accepted'").select("host_id", F.col("diag_frac_no_data").alias("frac_no_data"))
+    stamps = stamps32(spark, sf).join(known, "host_id")
+    patch = PatchSettings(native_size=32, out_size=8, max_no_data=5e-4, max_frac_saturated=1e-3, max_frac_interpolated=1e-3)
+    out = m.usable(stamps, patch, manifest).select("host_id", F.posexplode("image").alias("i", "v"))
+    return out.select("host_id", F.col("i").cast("bigint").alias("i"), rounded(F.col("v"), 4).alias("v"))
+
+
 @query("p10_no_data_cut", MANIFEST_CTES + "SELECT host_id, round(frac_no_data, 6) AS frac_no_data FROM manifest WHERE frac_no_data <= 5e-4")
 def p10(spark, sf):
     rows = manifest32(spark, sf).select("host_id", F.col("diag_frac_no_data").alias("frac_no_data"))

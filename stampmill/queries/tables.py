@@ -43,7 +43,9 @@ def s2(spark, sf):
 @query("s3_repack", ctes("px32") + "SELECT host_id, CAST((row_number() OVER (ORDER BY band_idx, host_id) - 1) // 8 AS BIGINT) AS file_id FROM (SELECT DISTINCT s AS host_id, s % 6 AS band_idx FROM stamp_px)")
 def s3(spark, sf):
     path = scratch_path(spark, "repacked")
-    ss.repack(ss.stored_form(stored(spark, sf)), path, 8, ("band_idx", "host_id"))
+    stamps = ss.stored_form(stored(spark, sf))
+    ss.repack(stamps, path, 8, ("band_idx", "host_id"))
+    ss.repack(stamps, path, 8, ("band_idx", "host_id"), mode="overwrite")
     return spark.read.parquet(path).select("host_id", F.col("file_id").cast("bigint").alias("file_id"))
 
 

@@ -74,12 +74,17 @@ def file_map(df: DataFrame, rows_per_file: int, order: tuple[str, ...]) -> DataF
     return numbered.withColumn("file_id", F.floor(F.col("row_index") / rows_per_file))
 
 
-def repack(df: DataFrame, path: str, rows_per_file: int, order: tuple[str, ...]) -> None:
-    """Rewrite a set into uniform files, one folder each, in row order; the last file is short."""
+def repack(df: DataFrame, path: str, rows_per_file: int, order: tuple[str, ...], mode: str = "errorifexists", tasks: int | None = None) -> None:
+    """Rewrite a set into uniform files, rows in order within each; the last file is short. Adds file_id.
+
+    Whole files are dealt over a bounded number of tasks, each of which cuts its sorted rows every
+    `rows_per_file`. With mode "overwrite" it can run again; the set must not be read from `path`.
+    """
     placed = file_map(df, rows_per_file, order)
-    n_files = placed.agg(F.max("file_id")).first()[0] + 1
-    whole = df.join(placed, list(order)).repartitionByRange(int(n_files), "file_id").sortWithinPartitions("file_id", "row_index")
-    whole.write.partitionBy("file_id").parquet(path)
+    n_files = (placed.agg(F.max("file_id")).first()[0] or 0) + 1
+    tasks = min(int(n_files), tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = df.join(placed, list(order)).repartition(tasks, "file_id").sortWithinPartitions("file_id", "row_index").drop("row_index")
+    whole.write.option("maxRecordsPerFile", rows_per_file).mode(mode).parquet(path)
 
 
 def gather(df: DataFrame, indices: DataFrame) -> DataFrame:

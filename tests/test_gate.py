@@ -149,6 +149,25 @@ def test_manifest_cut(spark):
     assert m.manifest_cut(stamps, manifest, {"diag_a": None}).count() == 2
 
 
+def test_usable_stamps(spark):
+    from stampmill.cuts import PatchSettings
+
+    stamps = spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.5), (3, 0, 0.0), (4, 0, 0.0)], "host_id long, band_idx int, frac_no_data double")
+    rows = [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.2, 0.0), (4, 0.0, 0.2)]
+    manifest = spark.createDataFrame([(h, "u", "accepted", a, b, h) for h, a, b in rows],
+                                     "host_id long, band string, status string, diag_frac_SATURATED double, diag_frac_INTERPOLATED double, manifest_index long")
+    kept = lambda patch, m=manifest: sorted(r["host_id"] for r in m_usable(stamps, patch, m).collect())
+    m_usable = m.usable
+    assert kept(PatchSettings()) == [1]
+    assert kept(PatchSettings(max_frac_saturated=None)) == [1, 3]
+    assert kept(PatchSettings(max_frac_saturated=None, max_frac_interpolated=None), None) == [1, 3, 4]
+    assert kept(PatchSettings(max_no_data=-1)) == [1, 2]
+    with pytest.raises(ValueError, match="needs the manifest"):
+        kept(PatchSettings(), None)
+    with pytest.raises(Exception, match="another run"):
+        kept(PatchSettings(), manifest.where("host_id <> 3"))
+
+
 def test_unknown_no_data_is_an_error(spark):
     df = spark.createDataFrame([(1, -1.0)], "host_id long, frac_no_data double")
     with pytest.raises(Exception, match="no frac_no_data"):

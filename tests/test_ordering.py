@@ -6,6 +6,24 @@ from stampmill.operators import ordering as o, quantiles as q, runlog as rl
 from stampmill.operators.batches import batch_plan
 
 
+def test_quantiles_are_bit_equal_either_way(spark):
+    v = np.random.default_rng(7).normal(size=1000) * 1000
+    df = spark.createDataFrame([(i % 3, float(x)) for i, x in enumerate(v)], "g int, v double")
+    probs = tuple(np.linspace(0, 1, 23))
+    one, many = ({r["g"]: list(r["q"]) for r in q.exact_quantiles(df, "v", probs, by=["g"], percentile_rows=n).collect()} for n in (10**9, 10))
+    assert one == many
+
+
+def test_a_faded_giant_is_still_seen(spark):
+    n = 3000
+    df = spark.createDataFrame([(1, i, 1e200 if i == 0 else 1.0) for i in range(n)], "run long, step long, loss double")
+    got = {r["step"]: r["loss_ema"] for r in rl.ewma(df, "run", "step", "loss", 0.1, segment_rows=50).collect()}
+    want = 1e200
+    for i in range(1, n):
+        want = 0.9 * want + 0.1
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_row_numbers_and_prefix_sums(spark, parts):
     v = np.random.default_rng(1).permutation(1000)
@@ -29,11 +47,10 @@ def test_quantiles_both_ways(spark, rows):
     assert whole == pytest.approx(np.quantile(data["a"], probs).tolist(), rel=1e-12)
 
 
-def test_samples(spark, monkeypatch):
+def test_samples(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     a = [r["k"] for r in o.sample_n(df.repartition(5), 50, 3, "k").collect()]
     assert a == [r["k"] for r in o.sample_n(df.repartition(2), 50, 3, "k").collect()] == sorted(set(a)) and len(a) == 50
-    monkeypatch.setattr(o, "SMALL_TABLE", 10)
     assert a == [r["k"] for r in o.sample_n(df, 50, 3, "k").collect()]
     drawn = o.sample_with_replacement(df, 2000, 3, "k").collect()
     assert len(drawn) == 2000 and len({r["k"] for r in drawn}) > 450
