@@ -55,7 +55,7 @@ def _quantiles(values: DataFrame, probs: list[float], by: list[str], percentile_
         low = [F.floor(F.lit(p) * last).cast("int") for p in probs]
         around = [F.array(F.get("s", k), F.get("s", F.least(k + 1, last.cast("int")))) for k in low]
         found = [(tuple(r[k] for k in by), r["n"], r["a"]) for r in ordered.select(*by, "n", F.array(*around).alias("a")).collect()]
-        return spark.createDataFrame([(*key, n, [between(p, n, a, b) for p, (a, b) in zip(probs, pairs)]) for key, n, pairs in found], schema)
+        return spark.createDataFrame([(*key, n, [between(p, n, a, b) for p, (a, b) in zip(probs, pairs)] if n else None) for key, n, pairs in found], schema)
 
     bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     groups = {tuple(r[k] for k in by): (r["n"], r["lo"], r["hi"]) for r in bounds.collect()}

@@ -16,9 +16,23 @@ SCALES = (1, 2, 4, 8, 16, 32)
 STATE_SCHEMA = "mode bigint, power double, n_patches bigint, size int"
 
 
-def _few_tasks(df: DataFrame) -> DataFrame:
-    """No more tasks than a few per core, so each sends one summed spectrum for many stamps."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+FAN_IN = 256
+
+
+def _one_spectrum(partial: DataFrame) -> DataFrame:
+    """Adds (n, power) rows, one from each task, in two levels; whole arrays move, never a row per mode."""
+
+    def add(batches):
+        n, total = 0, None
+        for batch in batches:
+            for count, power in zip(batch["n"], batch["power"]):
+                n, total = n + int(count), np.asarray(power) if total is None else total + power
+        if total is not None:
+            yield pd.DataFrame({"n": [n], "power": [total]})
+
+    for tasks in (min(FAN_IN, partial.sparkSession.sparkContext.defaultParallelism), 1):
+        partial = partial.repartition(tasks).mapInPandas(add, "n bigint, power array<double>")
+    return partial
 
 
 def power_state(df: DataFrame, size: int, pad: int = 2, column: str = "image") -> DataFrame:
@@ -40,10 +54,9 @@ def power_state(df: DataFrame, size: int, pad: int = 2, column: str = "image") -
                     n += 1
         yield pd.DataFrame({"n": [n], "power": [total.ravel()]})
 
-    partial = _few_tasks(df.select(column)).mapInPandas(summed, "n bigint, power array<double>")
-    long = partial.select("n", F.posexplode("power").alias("mode", "power"))
-    return long.groupBy(F.col("mode").cast("bigint").alias("mode")).agg(
-        F.sum("power").alias("power"), F.sum("n").alias("n_patches"), F.lit(size).alias("size"))
+    whole = _one_spectrum(df.select(column).mapInPandas(summed, "n bigint, power array<double>"))
+    return whole.select(F.posexplode("power").alias("mode", "power"), "n").select(
+        F.col("mode").cast("bigint").alias("mode"), "power", F.col("n").alias("n_patches"), F.lit(size).alias("size"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:

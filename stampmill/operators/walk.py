@@ -74,10 +74,8 @@ def with_depth(stamps: DataFrame, visits: DataFrame, size: int) -> DataFrame:
 
 def off_grid(stamps: DataFrame, built: DataFrame, size: int) -> DataFrame:
     """Stamps that cover a cell which was never built (`built` holds a row per built cell)."""
-    cells = stamps.withColumn("_c", F.explode(covered_cells(size)))
-    cells = cells.select(*stamps.columns, F.col("_c.i").alias("cell_i"), F.col("_c.j").alias("cell_j"))
-    present = built.select(*COADD, F.col("cell_i").cast("bigint").alias("cell_i"), F.col("cell_j").cast("bigint").alias("cell_j"))
-    return cells.join(present, [*COADD, "cell_i", "cell_j"], "left_anti").select(*stamps.columns).distinct()
+    cells = built.select(*COADD, "cell_i", "cell_j").distinct().withColumn("n_visits", F.lit(1).cast("bigint"))
+    return with_depth(stamps, cells, size).where("n_cells_missing > 0").select(*stamps.columns)
 
 
 def covered_known_cells(stamps: DataFrame, visits: DataFrame, size: int) -> DataFrame:
