@@ -96,6 +96,19 @@ def run_counts(n_candidates: int | None, manifest: DataFrame, requested: int | N
     )
 
 
+def run_summary(manifest: DataFrame, part: int = 0, n_candidates: int | None = None, requested: int | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """(part, block, name, value): the counters of one run, as text, in the form that merging parts adds up.
+
+    Counts that are not known are left out; `labels` are text entries such as the data set's name.
+    """
+    counts = run_counts(n_candidates, manifest, requested)
+    told = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in counts.columns])
+    rows = counts.select(F.lit("counts").alias("block"), F.inline(told)).where("value IS NOT NULL")
+    reasons = rejection_counts(manifest).select(F.lit("rejection_counts").alias("block"), F.col("reason").alias("name"), F.col("n").cast("string").alias("value"))
+    said = manifest.sparkSession.createDataFrame([("counts", k, v) for k, v in {"part": str(part), **(labels or {})}.items()], "block string, name string, value string")
+    return rows.unionByName(reasons).unionByName(said).select(F.lit(part).alias("part"), "block", "name", "value")
+
+
 def shortfall(counts: DataFrame) -> DataFrame:
     """A warning row when fewer stamps were accepted than asked for; no row otherwise."""
     text = F.format_string("accepted %d of the %d stamps asked for after all %d hosts; loosen the cuts",

@@ -87,20 +87,17 @@ def u1(spark, sf):
     return st.union_parts(_parts(spark, sf)).select("host_id", "status", rounded(F.col("diag_sky_noise")).alias("sky_noise"))
 
 
-@query("s7_merge_counters", MANIFEST_CTES + """, counters AS (
-  SELECT host_id % 2 AS part, 'counts' AS block, 'stamps_' || status AS name, count(*) AS v FROM manifest GROUP BY ALL
+@query("s7_merge_counters", MANIFEST_CTES + """, totals AS (
+  SELECT host_id % 2 AS part, count(DISTINCT host_id) AS hosts_tried, 0 AS none, count(*) AS attempted, count(*) FILTER (status = 'accepted') AS accepted FROM manifest GROUP BY 1),
+counters AS (
+  SELECT part, 'counts' AS block, unnest(['hosts_tried', 'hosts_with_no_coadd', 'hosts_off_the_grid', 'stamps_off_the_grid', 'stamps_attempted', 'stamps_accepted', 'stamps_rejected']) AS name,
+    unnest([hosts_tried, none, none, none, attempted, accepted, attempted - accepted]) AS v FROM totals
   UNION ALL SELECT host_id % 2, 'rejection_counts', reason, count(*) FROM (SELECT DISTINCT host_id, split_part(unnest(reason_list), ':', 1) AS reason FROM manifest WHERE status <> 'accepted') GROUP BY ALL)
   SELECT block, name, CAST(sum(v) AS DOUBLE) AS total, count(*) AS n_parts FROM counters GROUP BY block, name""")
 def s7(spark, sf):
     parts = _parts(spark, sf)
-    frames = []
-    for k, part in enumerate(parts):
-        status = part.groupBy("status").count().select(F.lit("counts").alias("block"), F.concat(F.lit("stamps_"), "status").alias("name"), F.col("count").cast("string").alias("value"))
-        reasons = m.rejection_counts(part).select(F.lit("rejection_counts").alias("block"), F.col("reason").alias("name"), F.col("n").cast("string").alias("value"))
-        label = part.limit(1).select(F.lit("counts").alias("block"), F.lit("part").alias("name"), F.lit(str(k)).alias("value"))
-        text = part.limit(1).select(F.lit("counts").alias("block"), F.lit("dataset").alias("name"), F.lit("stamps").alias("value"))
-        frames.append(status.unionByName(reasons).unionByName(label).unionByName(text).withColumn("part", F.lit(k)))
-    return st.merge_parts(parts, parts, st.union_parts(frames))[2]
+    summaries = [m.run_summary(part, k, labels={"dataset": "stamps"}) for k, part in enumerate(parts)]
+    return st.merge_parts(parts, parts, st.union_parts(summaries))[2]
 
 
 @query("s8_read_run_log", ctes("run_log") + """SELECT step, round(loss, 6) AS loss FROM run_log WHERE event_type <> 'error'""")
