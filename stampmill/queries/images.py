@@ -43,7 +43,19 @@ def i11_moved(spark, sf):
     return pixels(im.to_grid(stamps8(spark, sf), CROP, "stamp_id", seed=5, augment=True))
 
 
-@query("i11_to_grid_annulus")
+_SHARE = "greatest(least((o{0} + 1) * size / 2e0, {0} - {0}0 + 1) - greatest(o{0} * size / 2e0, {0} - {0}0), 0e0) * 2e0 / size"
+
+
+@query("i11_to_grid_annulus", ctes("px8") + f""", sized AS (
+  SELECT stamp_id, 4 + {hash_sql("'5s'", 'stamp_id')} % 2 AS size FROM (SELECT DISTINCT stamp_id FROM px8)),
+ranged AS (SELECT *, (8 - size) // 2 AS middle, least(2, (8 - size) // 2) AS away FROM sized),
+tries AS (SELECT stamp_id, t, {hash_sql("'5y'", 'stamp_id', 't')} % (2 * middle + 1) - middle AS dy, {hash_sql("'5x'", 'stamp_id', 't')} % (2 * middle + 1) - middle AS dx, away
+  FROM ranged, (SELECT unnest(range(64)) AS t)),
+landed AS (SELECT stamp_id, arg_min(dy, t) AS dy, arg_min(dx, t) AS dx FROM tries WHERE sqrt(dy * dy + dx * dx) >= away GROUP BY stamp_id),
+placed AS (SELECT stamp_id, size, middle + coalesce(dy, least(CAST(ceil(away / sqrt(2e0)) AS BIGINT), middle)) AS y0,
+  middle + coalesce(dx, least(CAST(ceil(away / sqrt(2e0)) AS BIGINT), middle)) AS x0 FROM ranged LEFT JOIN landed USING (stamp_id))
+SELECT stamp_id, CAST(oy * 2 + ox AS BIGINT) AS i, round(sum(v * ({_SHARE.format('y')}) * ({_SHARE.format('x')})), 6) AS v
+  FROM px8 JOIN placed USING (stamp_id), (SELECT unnest([0, 1]) AS oy), (SELECT unnest([0, 1]) AS ox) GROUP BY stamp_id, oy, ox""")
 def i11_annulus(spark, sf):
     cfg = PatchSettings(native_size=8, out_size=2, pool_factor=2, min_shift_native=2, scale_jitter=0.3)
     return pixels(im.to_grid(stamps8(spark, sf), cfg, "stamp_id", seed=5, augment=True))

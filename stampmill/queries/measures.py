@@ -102,11 +102,14 @@ def m4(spark, sf):
 
 
 # -- band power by explicit cosine and sine sums ----------------------------
-def _modes_sql(source, n, group="0"):
+def _modes_sql(source, n, group="0", hann=False):
+    # A Hann window in both directions, scaled to unit mean square.
+    side = f"(5e-1 - 5e-1 * cos(2 * pi() * {{0}} / {n - 1}e0))"
+    weight = f" * {side.format('y')} * {side.format('x')} / (SELECT avg({side.format('i')} ** 2) FROM (SELECT unnest(range({n})) AS i))" if hann else ""
     freq = f"unnest(range({n})) AS k"
     f = f"(CASE WHEN {{0}} < {n - n // 2} THEN {{0}} ELSE {{0}} - {n} END)"
     return f"""waves AS (SELECT a.k AS ky, b.k AS kx, {f.format('a.k')} AS fy, {f.format('b.k')} AS fx FROM (SELECT {freq}) a, (SELECT {freq}) b),
-flat AS (SELECT stamp_id, {group} AS grp, y, x, v - avg(v) OVER (PARTITION BY stamp_id) AS c FROM {source}),
+flat AS (SELECT stamp_id, {group} AS grp, y, x, (v - avg(v) OVER (PARTITION BY stamp_id)){weight} AS c FROM {source}),
 spectrum AS (SELECT stamp_id, grp, ky, kx, any_value(sqrt(fy * fy + fx * fx)) AS k, sum(c * cos(2 * pi() * (ky * y + kx * x) / {n})) ** 2 + sum(c * sin(2 * pi() * (ky * y + kx * x) / {n})) ** 2 AS p
   FROM flat, waves GROUP BY stamp_id, grp, ky, kx),
 limits AS (SELECT unnest(['1', '2', '4', '>8']) AS band, unnest([1, 2, 4, 8]) AS scale, unnest([{n}/2e0, {n}/4e0, {n}/8e0, 1e-9]) AS lo, unnest([{n}/1e0, {n}/2e0, {n}/4e0, {n}/8e0]) AS hi),
@@ -129,7 +132,7 @@ def m6(spark, sf):
     return sp.scale_visibility(stamps8(spark, sf), SCALES, window=False).select("band", rounded(F.col("sigma_visible")).alias("sigma_visible"))
 
 
-@query("m6_scale_visibility_windowed")
+@query("m6_scale_visibility_windowed", ctes("px8") + "," + _modes_sql("px8", 8, hann=True) + " SELECT band, round(rms / white_rms, 6) AS sigma_visible FROM bands WHERE band NOT LIKE '>%'")
 def m6_windowed(spark, sf):
     return sp.scale_visibility(stamps8(spark, sf), SCALES).select("band", rounded(F.col("sigma_visible")).alias("sigma_visible"))
 
