@@ -107,12 +107,15 @@ def a17(spark, sf):
     return im.despeckle_report(_despeckled(spark, sf))
 
 
-# Where output pixel (y, x) of a side-8 image comes from, by element k.
-_SOURCE = """CASE k % 4 WHEN 0 THEN y * 8 + xx WHEN 1 THEN xx * 8 + 7 - y WHEN 2 THEN (7 - y) * 8 + 7 - xx ELSE (7 - xx) * 8 + y END"""
+def turned_sql(side):
+    """Where output pixel (y, xx) of an image comes from, by element k."""
+    end = f"{side} - 1"
+    return f"""CASE k % 4 WHEN 0 THEN y * {side} + xx WHEN 1 THEN xx * {side} + {end} - y
+      WHEN 2 THEN ({end} - y) * {side} + {end} - xx ELSE ({end} - xx) * {side} + y END"""
 
 
 def _dihedral_sql(k):
-    return ctes("px8") + f"""SELECT o.stamp_id, o.i, round(s.v, 6) AS v FROM (SELECT *, {_SOURCE} AS src FROM (
+    return ctes("px8") + f"""SELECT o.stamp_id, o.i, round(s.v, 6) AS v FROM (SELECT *, {turned_sql(8)} AS src FROM (
   SELECT *, CASE WHEN k >= 4 THEN 7 - x ELSE x END AS xx FROM (SELECT stamp_id, i, y, x, {k} AS k FROM px8))) o
   JOIN px8 s ON s.stamp_id = o.stamp_id AND s.i = o.src"""
 
@@ -143,7 +146,15 @@ def i16(spark, sf):
     return pixels(im.make_batch(stamps8(spark, sf), TransformSettings(softening=S, pooled_noise_ratio=1.1, fill_no_data=True), PATCH, "stamp_id"))
 
 
-@query("i16_make_batch_augmented")
+@query("i16_make_batch_augmented", ctes("px8") + f""", pooled AS (
+  SELECT stamp_id, band_idx, label, any_value(sky_noise) AS sky_noise, (y - y0) // 2 AS py, (x - x0) // 2 AS px, avg(v) AS v FROM
+    (SELECT *, {hash_sql("'9y'", 'stamp_id')} % 5 AS y0, {hash_sql("'9x'", 'stamp_id')} % 5 AS x0 FROM px8)
+  WHERE y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3 GROUP BY stamp_id, band_idx, label, py, px),
+{blend_sql(FLOOR)},
+logged AS (SELECT stamp_id, py * 2 + px AS i, py AS y, px AS x, {log_sql('f', FLOOR)} AS v FROM blended)
+SELECT o.stamp_id, o.i, round(s.v, 6) AS v FROM (SELECT *, {turned_sql(2)} AS src FROM (
+  SELECT *, CASE WHEN k >= 4 THEN 1 - x ELSE x END AS xx FROM (SELECT stamp_id, i, y, x, {hash_sql("'9d'", 'stamp_id')} % 8 AS k FROM logged))) o
+  JOIN logged s ON s.stamp_id = o.stamp_id AND s.i = o.src""")
 def i16_augmented(spark, sf):
     return pixels(im.make_batch(stamps8(spark, sf), CFG, CROP, "stamp_id", seed=9, augment=True))
 
