@@ -4,20 +4,22 @@ Which 400-byte strings occur twice is read off sorted suffixes. Not every suffix
 of the length asked holds an anchor, the place of the least 8-byte hash near its beginning, which depends
 on the string alone, so equal strings have equal anchors. Anchors whose context is met once in the corpus
 fall out by hash counts first. For the others each task sorts the suffixes at its anchors into a run,
-equal ones once, and writes it front-coded. Runs are exchanged by splitters of the suffixes and combined
+equal ones once, and writes it front-coded. Runs are cut and exchanged by splitters of the suffixes and combined
 with a loser tree that keeps every suffix's common prefix with the last one put out, and never compares
 characters within it. Neighbours in that order with enough in common to the right, compared to the left
 as well, tell for each anchor which of the strings around it occur elsewhere.
 
-A group of suffixes that is larger than a piece of the order is cut by splitters; its strings are counted
-by 128-bit hash instead, so no piece grows with a hot group.
+A group of suffixes that is larger than a piece of the order is cut by splitters. What its pieces cannot
+tell alone is counted by 128-bit hash, so no piece grows with a hot group. The order bounds what can match
+to the right of a suffix, counts of a few left parts what can match to the left, and strings that a piece
+has found repeated are told once, so that few strings of a group are hashed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from stampmill.llm.tables import kept, whole
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bytes of text that one step of a task holds as arrays; strings in one run and in one stored segment.
 _STEP, _RUN, _SEGMENT = 1 << 21, 1 << 15, 512
+#: Left parts of a suffix, in bytes, that are counted to bound what can match there.
+_LEFTS = (4, 8, 16, 32, 64, 128)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,7 +137,7 @@ def _common(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], first])
 
 
-def _run_rows(run: int, rows: np.ndarray, owner: np.ndarray, place: np.ndarray):
+def _run_rows(run: int, rows: np.ndarray, owner: np.ndarray, place: np.ndarray, segment: int = _SEGMENT):
     """A sorted run of distinct suffixes in front-coded segments, and whose they are."""
     width = rows.shape[1]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
@@ -145,33 +149,36 @@ def _run_rows(run: int, rows: np.ndarray, owner: np.ndarray, place: np.ndarray):
     rows, common = rows[fresh], common[fresh]
     times = np.bincount(number)
     names = [r.tobytes() for r in rows]
-    for s in range(0, len(names), _SEGMENT):
-        part = names[s : s + _SEGMENT]
-        shared = common[s : s + _SEGMENT].astype("<u2")
-        shared[0] = 0
-        body = shared.tobytes() + (np.minimum(times[s : s + _SEGMENT], 2)).astype(np.uint8).tobytes() + b"".join(x[c:] for x, c in zip(part, shared.tolist()))
+    for s in range(0, len(names), segment):
+        part = names[s : s + segment]
         own = slice(*np.searchsorted(number, [s, s + len(part)]))
         yield {
-            "run": run, "segment": s // _SEGMENT, "n": len(part), "first": part[0], "last": part[-1],
-            "before": names[s - 1] if s else None, "after": names[s + _SEGMENT] if s + _SEGMENT < len(names) else None,
-            "body": zlib.compress(body, 1),
+            "run": run, "start": s, "n": len(part), "first": part[0],
+            "body": _encode(part, common[s : s + segment].tolist(), (times[s : s + segment] > 1).tolist()),
             "sid": ((run << 20) + number[own]).tolist(), "owner": owner[own].tolist(), "place": place[own].tolist(),
         }
 
 
-_RUNS = "run long, segment int, n int, first binary, last binary, before binary, after binary, body binary, sid array<long>, owner array<long>, place array<int>, row long, packed binary"
+_RUNS = "run long, start int, n int, first binary, body binary, sid array<long>, owner array<long>, place array<int>, row long, packed binary"
 
 
-def _decode(body: bytes, n: int, width: int) -> tuple[list[bytes], list[int], list[int]]:
+def _encode(names: list[bytes], shared: list[int], many: list[bool]) -> bytes:
+    """Sorted strings front-coded: each without what it shares with the one before, the first one whole."""
+    shared = [0, *shared[1:]]
+    head = np.array(shared, "<u2").tobytes() + np.array(many, np.uint8).tobytes()
+    return zlib.compress(head + b"".join(x[c:] for x, c in zip(names, shared)), 1)
+
+
+def _decode(body: bytes, n: int, width: int) -> tuple[list[bytes], list[int], list[bool]]:
     data = zlib.decompress(body)
     shared = np.frombuffer(data, "<u2", n).tolist()
-    times = np.frombuffer(data, np.uint8, n, 2 * n).tolist()
+    many = np.frombuffer(data, np.bool_, n, 2 * n).tolist()
     at, last, names = 3 * n, b"", []
     for c in shared:
         last = last[:c] + data[at : at + width - c]
         at += width - c
         names.append(last)
-    return names, shared, times
+    return names, shared, many
 
 
 def _prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -248,20 +255,21 @@ def merge(streams: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int,
     return order, prefixes
 
 
-def repeated(rows: np.ndarray, common: np.ndarray, length: int, window: int) -> np.ndarray:
-    """[suffix, j]: whether the string that begins j bytes before a suffix is met at another suffix too.
+def repeated(rows: np.ndarray, common: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """[suffix, j]: whether the string that begins j bytes before a suffix is met at another suffix too,
+    and whether the suffix is the first of those that meet it.
 
     Suffixes are in order; at each j those that agree on length - j bytes to the right are one stretch,
     and within a stretch equal strings agree on j bytes to the left.
     """
     n = len(rows)
-    out = np.zeros((n, window), bool)
+    out, first = np.zeros((n, window), bool), np.zeros((n, window), bool)
     right = np.minimum(common, length)
     group = np.cumsum(right < length - window + 1)
-    sizes = np.bincount(group, minlength=group[-1] + 1 if n else 0)
+    sizes = np.bincount(group)
     held = np.flatnonzero(sizes[group] > 1)
     if not len(held):
-        return out
+        return out, first
     left = np.zeros(len(held), np.uint64)
     near = rows[held, length:]
     for j in range(window):
@@ -270,12 +278,10 @@ def repeated(rows: np.ndarray, common: np.ndarray, length: int, window: int) ->
         stretch = np.cumsum(right < length - j)[held].astype(np.uint64)
         key = _mix(stretch * np.uint64(0xD6E8FEB86659FD93) ^ left)
         order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        hit = np.zeros(len(held), bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        out[held, j] = hit
-    return out
+        same = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+        out[held[order[same[1:] | same[:-1]]], j] = True
+        first[held[order[same[1:] & ~same[:-1]]], j] = True
+    return out, first
 
 
 def _string_hashes(rows: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,64 +300,71 @@ def _string_hashes(rows: np.ndarray, length: int, window: int) -> tuple[np.ndarr
     return right, left
 
 
+def _cut(body: bytes, n: int, width: int, splitters: list[bytes]):
+    """(part, place of the first string, strings, body) of the pieces that the splitters make of a segment."""
+    names, shared, many = _decode(body, n, width)
+    at = 0
+    while at < n:
+        part = bisect_right(splitters, names[at])
+        end = bisect_left(names, splitters[part], at) if part < len(splitters) else n
+        yield part, at, end - at, body if end - at == n else _encode(names[at:end], shared[at:end], many[at:end])
+        at = end
+
+
 def _merge_part(table: pa.Table, splitters: list[bytes], length: int, window: int):
     """Which strings around each suffix of one piece of the order are repeated; cut groups as string hashes."""
     part = table.column("part")[0].as_py()
-    low = splitters[part - 1] if part else b""
-    high = splitters[part] if part < len(splitters) else None
-    width = length + window - 1
+    width, least = length + window - 1, length - window + 1
     by_run: dict[int, list] = {}
     for r in table.to_pylist():
         by_run.setdefault(r["run"], []).append(r)
-    streams, sids, times, below, above = [], [], [], b"", None
+    streams, sids, times = [], [], []
     for run in sorted(by_run):
         names, commons, ids, many = [], [], [], []
-        for r in sorted(by_run[run], key=lambda r: r["segment"]):
-            found, shared, count = _decode(r["body"], r["n"], width)
-            for edge in (r["before"], r["after"]):
-                if edge is not None and edge < low:
-                    below = max(below, edge)
-                elif edge is not None and high is not None and edge >= high:
-                    above = edge if above is None else min(above, edge)
-            for k, (name, c, t) in enumerate(zip(found, shared, count)):
-                if name < low:
-                    below = max(below, name)
-                elif high is not None and name >= high:
-                    above = name if above is None else min(above, name)
-                else:
-                    commons.append(c if k and names else (_prefix(names[-1], name) if names else 0))
-                    names.append(name)
-                    ids.append((run << 20) + r["segment"] * _SEGMENT + k)
-                    many.append(t > 1)
-        if names:
-            streams.append((names, commons))
-            sids.append(ids)
-            times.append(many)
-    if not streams:
-        return
+        for r in sorted(by_run[run], key=lambda r: r["start"]):
+            found, shared, more = _decode(r["body"], r["n"], width)
+            if names:
+                shared[0] = _prefix(names[-1], found[0])
+            names += found
+            commons += shared
+            many += more
+            ids += range((run << 20) + r["start"], (run << 20) + r["start"] + r["n"])
+        streams.append((names, commons))
+        sids.append(ids)
+        times.append(many)
     order, prefixes = merge(streams)
     rows = np.frombuffer(b"".join(streams[s][0][k] for s, k in order), np.uint8).reshape(-1, width)
     common = np.array(prefixes, np.int64)
     common[0] = 0
     sid = np.array([sids[s][k] for s, k in order], np.int64)
     many = np.array([times[s][k] for s, k in order], bool)
-    found = repeated(rows, common, length, window)
-    found[many] = True
-    # Groups that go on beyond the piece: the strings around their suffixes are counted with the other pieces'.
-    least = length - window + 1
+    found, first = repeated(rows, common, length, window)
+    # Only a long splitter lies within a group. What that group's suffixes may share with other pieces is counted later.
     group = np.cumsum(common < least)
     cut = np.zeros(len(rows), bool)
-    if below and _prefix(below, rows[0].tobytes()) >= least:
+    if part and _prefix(splitters[part - 1], rows[0].tobytes()) >= least:
         cut |= group == group[0]
-    if above is not None and _prefix(above, rows[-1].tobytes()) >= least:
+    if part < len(splitters) and _prefix(splitters[part], rows[-1].tobytes()) >= least:
         cut |= group == group[-1]
+    # Neighbours in the order agree the furthest to the right; those of the first and last suffix may lie elsewhere.
+    furthest = np.maximum(common, np.append(common[1:], length))
+    furthest[0] = length
+    open_ = ~found & (np.arange(window) >= length - np.minimum(furthest, length)[:, None])
+    ask = np.packbits(open_ | first, axis=1)
+    found[many] = True
     told = np.flatnonzero(found.any(axis=1))
     masks = np.packbits(found[told], axis=1)
-    yield sid[told], [m.tobytes() for m in masks], None, None, None
-    for k in range(0, int(cut.sum()), 2048):
-        some = np.flatnonzero(cut)[k : k + 2048]
-        right, left = _string_hashes(rows[some], length, window)
-        yield np.repeat(sid[some], window), None, right.ravel().view(np.int64), left.ravel().view(np.int64), np.tile(np.arange(window, dtype=np.int32), len(some))
+    yield sid[told], [m.tobytes() for m in masks], None, None
+    some = np.flatnonzero(cut)
+    if len(some):
+        yield sid[some], None, [r.tobytes() for r in rows[some]], [a.tobytes() for a in ask[some]]
+
+
+def _left_probes(rows: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[suffix, probe] hashes of the common context and of a few left parts, and the parts' lengths."""
+    sizes = [j for j in _LEFTS if j < window]
+    right, left = _string_hashes(rows, length, window)
+    return np.repeat(right[:, -1:], len(sizes), axis=1), left[:, sizes], np.array(sizes, np.int32)
 
 
 def _splitters(runs: DataFrame, piece: int, length: int, window: int) -> list[bytes]:
@@ -365,7 +378,7 @@ def _splitters(runs: DataFrame, piece: int, length: int, window: int) -> list[by
     if parts == 1:
         return []
     share = min(1.0, 16 * parts / segments)
-    heads = sorted(bytes(r[0]) for r in runs.filter(F.pmod(F.xxhash64("run", "segment"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("first").collect())
+    heads = sorted(bytes(r[0]) for r in runs.filter(F.pmod(F.xxhash64("run", "start"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("first").collect())
     out: list[bytes] = []
     for k in range(1, parts):
         at = k * len(heads) // parts
@@ -379,7 +392,7 @@ def _splitters(runs: DataFrame, piece: int, length: int, window: int) -> list[by
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, piece: int = 1 << 15) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, piece: int = 1 << 14, segment: int = _SEGMENT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans: the repeated bytes of every row.
 
     A byte is removed when a string of `length` bytes that covers it also begins anywhere else in the
@@ -415,13 +428,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         size = 0
 
         def batch_of(found):
-            names = ["run", "segment", "n", "first", "last", "before", "after", "body", "sid", "owner", "place", "row", "packed"]
-            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            names = ["run", "start", "n", "first", "body", "sid", "owner", "place", "row", "packed"]
+            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 2, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([f.get(n) for f in found], t) for n, t in zip(names, types)], names)
 
         def run_of():
             nonlocal held, size, chunk
-            found = list(_run_rows((task << 20) + chunk, *(np.concatenate(x) for x in zip(*held))))
+            found = list(_run_rows((task << 20) + chunk, *(np.concatenate(x) for x in zip(*held)), segment))
             held, size, chunk = [], 0, chunk + 1
             return batch_of(found)
 
@@ -443,28 +456,49 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     stored = kept(some.mapInArrow(sort, _RUNS), "suffix-runs")
     runs = stored.filter(F.col("run").isNotNull())
-    splitters = _splitters(runs.select("run", "segment", "n", "first"), piece, length, window)
+    splitters = _splitters(runs.select("run", "start", "n", "first"), piece, length, window)
 
     def deal(batches):
+        names, types = ["part", "run", "start", "n", "body"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            keep, part = [], []
-            for k, (first, last, before, after) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "last", "before", "after")))):
-                for p in range(bisect_right(splitters, before or first), bisect_right(splitters, after or last) + 1):
-                    keep.append(k)
-                    part.append(p)
-            taken = batch.select(["run", "segment", "n", "before", "after", "body"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *taken.columns], ["part", *taken.schema.names])
+            cut = [(part, r["run"], r["start"] + at, n, body) for r in batch.to_pylist() for part, at, n, body in _cut(r["body"], r["n"], length + window - 1, splitters)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*cut)) or [[]] * 5, types)], names)
 
     def combine(table: pa.Table) -> pa.Table:
-        names, types = ["sid", "mask", "right", "left", "j"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        schema = pa.schema(list(zip(names, types)))
-        parts = [pa.table([pa.nulls(len(row[0]), t) if c is None else pa.array(c, t) for c, t in zip(row, types)], schema=schema) for row in _merge_part(table, splitters, length, window)]
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    dealt = runs.select("run", "segment", "n", "first", "last", "before", "after", "body").mapInArrow(deal, "part int, run long, segment int, n int, before binary, after binary, body binary")
-    told = kept(dealt.groupBy("part").applyInArrow(combine, "sid long, mask binary, right long, left long, j int"), "repeated-strings")
-    counted = told.filter(F.col("mask").isNull()).select("sid", "right", "left", "j")
-    again = kept(counted.groupBy("right", "left", "j").agg(F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"), "cut-strings")
+        schema = pa.schema([("sid", pa.int64()), ("mask", pa.binary()), ("body", pa.binary()), ("ask", pa.binary())])
+        parts = [pa.table([pa.nulls(len(row[0]), f.type) if c is None else pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema) for row in _merge_part(table, splitters, length, window)]
+        return pa.concat_tables(parts)
+
+    dealt = runs.select("run", "start", "n", "body").mapInArrow(deal, "part int, run long, start int, n int, body binary")
+    told = kept(dealt.groupBy("part").applyInArrow(combine, "sid long, mask binary, body binary, ask binary"), "repeated-strings")
+    cut = told.filter(F.col("body").isNotNull()).select("sid", "body", "ask")
+    hashed = "sid long, right long, left long, j int"
+
+    def matrix(batch):
+        return np.frombuffer(b"".join(batch.column("body").to_pylist()), np.uint8).reshape(len(batch), -1)
+
+    def hashes_of(sid, right, left, j):
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), pa.array(j, pa.int32())], ["sid", "right", "left", "j"])
+
+    def probe(batches):
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, len(b), 2048)):
+            right, left, sizes = _left_probes(matrix(batch), length, window)
+            yield hashes_of(np.repeat(batch.column("sid").to_numpy(), len(sizes)), right.ravel(), left.ravel(), np.tile(sizes, len(batch)))
+
+    # No string that reaches further to the left than a part met once can be met twice.
+    lone = cut.mapInArrow(probe, hashed).groupBy("right", "left", "j").agg(F.count("*").alias("n"), F.min("sid").alias("sid")).filter(F.col("n") == 1)
+    bounded = cut.join(lone.groupBy("sid").agg(F.min("j").alias("below")), "sid", "left")
+
+    def question(batches):
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, len(b), 2048)):
+            right, left = _string_hashes(matrix(batch), length, window)
+            wanted = np.unpackbits(np.frombuffer(b"".join(batch.column("ask").to_pylist()), np.uint8).reshape(len(batch), -1), axis=1)[:, :window].astype(bool)
+            below = batch.column("below").fill_null(window).to_numpy()
+            at, j = np.nonzero(wanted & (np.arange(window) < below[:, None]))
+            yield hashes_of(batch.column("sid").to_numpy()[at], right[at, j], left[at, j], j)
+
+    counted = kept(bounded.mapInArrow(question, hashed), "cut-strings")
+    again = kept(counted.groupBy("right", "left", "j").agg(F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"), "cut-repeats")
     later = counted.join(again, ["right", "left", "j"]).groupBy("sid").agg(F.collect_list("j").alias("js"))
     marks = told.filter(F.col("mask").isNotNull()).select("sid", "mask", F.lit(None).cast("array<int>").alias("js")).unionByName(later.select("sid", F.lit(None).cast("binary").alias("mask"), "js"))
     owners = runs.select(F.explode(F.arrays_zip("sid", "owner", "place")).alias("o")).select("o.sid", F.col("o.owner").alias("row"), "o.place")

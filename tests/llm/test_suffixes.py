@@ -45,14 +45,24 @@ def passages(seed, n):
     ]
 
 
-@pytest.mark.parametrize("piece", [1 << 15, 50])
-def test_against_counting(docs_of, piece):
+@pytest.mark.parametrize(("piece", "segment"), [(1 << 15, 512), (50, 8), (4, 1)])
+def test_against_counting(docs_of, piece, segment):
     pairs = passages(3, 100)
     want = sorted((i is None, i or 0, *b) for (i, _), b in zip(pairs, brute([(t or "").encode() for _, t in pairs], 40)))
-    got = S.repeats(docs_of(pairs).repartition(5), length=40, piece=piece).collect()
+    got = S.repeats(docs_of(pairs).repartition(5), length=40, piece=piece, segment=segment).collect()
     assert sorted((r["id"] is None, r["id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
+def test_hot_passage_is_cut_between_pieces(docs_of):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=70))
+    pairs = [(i, "".join(rng.choices("abcdefgh ", k=rng.randint(30, 60))) + passage + "".join(rng.choices("abcdefgh ", k=9))) for i in range(120)]
+    got = S.repeats(docs_of(pairs).repartition(4), length=40, piece=10, segment=2).collect()
+    want = sorted((i, *b) for (i, _), b in zip(pairs, brute([t.encode() for _, t in pairs], 40)))
+    assert sorted((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert all(r["n_removed"] >= 70 for r in got)
+
+
 def test_empty_table(empty_docs):
     assert S.repeats(empty_docs).count() == 0
 
