@@ -150,7 +150,7 @@ def load(path: str, threads: int = 2):
     return tokenizer
 
 
-def _batches(texts: list[str], most: int = 1 << 20):
+def _batches(texts: list[str], most: int = 1 << 18):
     """Slices of whole texts with about `most` characters each, so that encodings in memory stay bounded."""
     start = held = 0
     for n, text in enumerate(texts, 1):
@@ -163,36 +163,52 @@ def _batches(texts: list[str], most: int = 1 << 20):
 class Encoder:
     """Encodes batches of texts, each distinct word once, where the model lets words be encoded one by one.
 
-    That holds when no piece reaches over the start of a word and the normaliser changes blanks only.
-    Words are kept up to a bound; texts with marks or double blanks of their own go through whole.
+    That holds when no piece reaches over the start of a word and the normaliser changes blanks only; a
+    text is then restored by decoding when each of its words is. Words are kept as packed ids up to a
+    bound; texts with marks or double blanks of their own go through whole.
     """
 
-    def __init__(self, path: str, threads: int = 2, most: int = 500_000):
+    def __init__(self, path: str, threads: int = 2, most: int = 200_000):
         self.whole = load(path, threads)
         with open(path, "rb") as file:
             model = parse(file.read())
-        self.most, self.known = most, {}
+        self.most, self.known, self.lossy = most, {}, set()
         self.apart = self.whole.pre_tokenizer is not None and model.dummy_prefix and not model.charsmap and not model.squeeze_blanks
         self.begins = np.array([p[0].startswith(MARK) for p in model.pieces])
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new words many to a text; a word's ids run from one piece with a mark to the next."""
-        groups = [words[k : k + 2048] for k in range(0, len(words), 2048)]
-        for group, found in zip(groups, self.whole.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids)
-            starts = np.flatnonzero(self.begins[ids]).tolist()
-            flat = ids.tolist()
-            self.known.update((w, flat[a:b]) for w, a, b in zip(group, starts, [*starts[1:], len(flat)], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+        for k in range(0, len(words), 4096):
+            groups = [words[n : n + 512] for n in range(k, min(k + 4096, len(words)), 512)]
+            for group, found in zip(groups, self.whole.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(found.ids, np.int32)
+                starts = np.flatnonzero(self.begins[ids]).tolist()
+                parts = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+                back = self.whole.decode_batch([p.tolist() for p in parts], skip_special_tokens=False)
+                self.known.update((w, p.tobytes()) for w, p in zip(group, parts, strict=True))
+                self.lossy.update(w for w, b in zip(group, back) if w != b)
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether they decode to it again."""
         split = [t.split(" ") if self.apart and t and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        self._learn(list({w for words in split if words for w in words if w not in self.known}))
-        odd = [t for t, words in zip(texts, split) if words is None]
-        rest = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False))
+            self.lossy.clear()
         known = self.known
-        return [next(rest).ids if words is None else [i for w in words for i in known[w]] for words in split]
+        self._learn(list({w for words in split if words for w in words if w not in known}))
+        odd = [t for t, words in zip(texts, split) if words is None]
+        found = [e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
+        rest = iter(zip(found, odd, self.whole.decode_batch(found, skip_special_tokens=False)))
+        ids, restored = [], []
+        for words in split:
+            if words is None:
+                own, text, back = next(rest)
+                ids.append(np.array(own, np.int32))
+                restored.append(text == back)
+            else:
+                ids.append(np.frombuffer(b"".join([known[w] for w in words]), np.int32))
+                restored.append(self.lossy.isdisjoint(words))
+        return ids, restored
 
 
 @lru_cache(maxsize=2)
@@ -202,7 +218,7 @@ def encoder(path: str, threads: int = 2) -> Encoder:
 
 def encode(texts: list[str | None], path: str, threads: int = 2) -> list[list[int]]:
     run = encoder(path, threads)
-    return [ids for part in _batches([t or "" for t in texts]) for ids in run(part)]
+    return [ids.tolist() for part in _batches([t or "" for t in texts]) for ids in run(part)[0]]
 
 
 def decode(ids: list, path: str, threads: int = 2) -> list[str]:
@@ -242,19 +258,16 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        tokenizer, to_ids = load(path, threads), encoder(path, threads)
+        run_on = encoder(path, threads)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             done = 0
             for part in _batches(texts):
-                ids = to_ids(part)
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                ids, restored = run_on(part)
                 lengths = np.array([len(i) for i in ids], np.int64)
-                flat = np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-                restored = pa.array([a == b for a, b in zip(part, back)], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 own = batch.column("id").slice(done, len(part))
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([own, lists, pa.array(lengths), restored], ["id", "ids", "n_tokens", "restored"])
+                yield pa.RecordBatch.from_arrays([own, lists, pa.array(lengths), pa.array(restored, pa.bool_())], ["id", "ids", "n_tokens", "restored"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids array<int>, n_tokens long, restored boolean")

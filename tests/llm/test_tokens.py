@@ -36,7 +36,8 @@ def test_odd_texts(own):
 def test_words_are_forgotten_at_the_bound(own):
     run = K.Encoder(PATH, most=3)
     for text in ("one two three four", "five six seven", "one two"):
-        assert run([text]) == [own.encode(text)]
+        ids, restored = run([text])
+        assert [i.tolist() for i in ids] == [own.encode(text)] and restored == [True]
     assert len(run.known) <= 7
 
 
