@@ -136,17 +136,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What rows of a class are ordered by: id with nulls last, then text hash."""
+    return F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"))
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` with the smallest key of each class, once each; `classes` has root and key."""
+    first = classes.groupBy("root").agg(F.min("key").alias("key"))
+    chosen = first.select(F.col("key.id").alias("__id"), F.col("key.h").alias("__h"))
+    own = docs.withColumn("__h0", F.xxhash64(whole(text_col)))
+    stay = own.join(chosen, own[id_col].eqNullSafe(chosen["__id"]) & (own["__h0"] == chosen["__h"]), "left_semi")
+    return stay.dropDuplicates([id_col, "__h0"]).select(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """The same columns, with one row of each linked class: its smallest id, then its smallest text hash.
 
     Null ids come last. Rows that repeat in id and text are one and the same document and keep one row.
     Columns whose names begin with __ are reserved.
     """
-    marked = with_fingerprint(docs, text_col, "__fp", size).withColumn("__key", F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h")))
+    marked = with_fingerprint(docs, text_col, "__fp", size).withColumn("__key", row_key(id_col, text_col))
     keys = kept(marked.select("__fp", "__key"), "near-keys").select(F.col("__fp").alias("fp"), F.col("__key").alias("key"))
     distinct = kept(keys.groupBy("fp").agg(F.min("key").alias("key")), "distinct-fingerprints")
-    first = classes(distinct).join(distinct, "fp").groupBy("root").agg(F.min("key").alias("key"))
-    chosen = first.select(F.col("key.id").alias("__id"), F.col("key.h").alias("__h"))
-    own = docs.withColumn("__h0", F.xxhash64(whole(text_col)))
-    stay = own.join(chosen, own[id_col].eqNullSafe(chosen["__id"]) & (own["__h0"] == chosen["__h"]), "left_semi")
-    return stay.dropDuplicates([id_col, "__h0"]).select(*docs.columns)
+    return first_rows(docs, classes(distinct).join(distinct, "fp").select("root", "key"), id_col, text_col)
