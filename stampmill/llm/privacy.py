@@ -2,8 +2,8 @@
 
 A protected entity is a value of one of the four kinds. How strongly a word reveals it is the share of
 the entity's information that the word carries: pointwise mutual information over the entity's
-information content, both from document counts of the whole corpus. Words beside an entity whose share
-exceeds the disclosure threshold are marked too. `sanitise` generalises values to their kind's name and
+information content, both from document counts of the whole corpus. Words of an entity's documents whose
+share exceeds the disclosure threshold are marked too, wherever they stand. `sanitise` generalises values to their kind's name and
 removes such words. Only DataFrame functions are used.
 """
 
@@ -27,9 +27,8 @@ _PATTERNS = {
 }
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
-_EDGES = "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$"
-_WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-_BESIDE = "array<struct<entity:string,start:int,end:int,term:string>>"
+#: From the first letter or digit between blanks to the last.
+_WORD = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
 
 
 def _luhn(digits: Column) -> Column:
@@ -84,86 +83,93 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _cleaned(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, _EDGES, ""))
+def _words(text: Column, spans: Column) -> Column:
+    """The words of a text without its spans, cut from their first letter or digit to their last."""
+    return F.regexp_extract_all(_blanked(text, spans), F.lit(_WORD), F.lit(0))
 
 
-def _words_beside(text: Column, entity: Column, around: int) -> Column:
-    """Words within `around` words of an entity with their places in code points and its lower-cased value."""
-    before = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), entity["start"])), rf"^(?:{_GAP}{_WORD}){{0,{around}}}", 0))
-    after = F.regexp_extract(F.substring(text, entity["end"] + 1, F.length(text)), rf"^(?:{_GAP}{_WORD}){{0,{around}}}", 0)
-    sides = F.array(
-        F.struct((entity["start"] - F.length(before)).alias("at"), before.alias("side")),
-        F.struct(entity["end"].alias("at"), after.alias("side")),
-    )
-    empty = F.from_json(F.lit("[]"), _BESIDE)
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks for its spans, so that what touches a value is a word of its own; places stay."""
+    return F.aggregate(spans, text, lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"]))
+
+
+def _occurrences(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of every place at which a text has one of the terms outside its spans."""
+    blanked = _blanked(text, spans)
+    pairs = F.arrays_zip(F.split(blanked, _WORD).alias("gap"), F.regexp_extract_all(blanked, F.lit(_WORD), F.lit(0)).alias("word"))
+    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), _SPANS).alias("spans"))
 
     def step(state, pair):
         here = state["at"] + F.length(pair["gap"])
         there = here + F.length(F.coalesce(pair["word"], F.lit("")))
-        one = F.array(F.struct(F.lower(entity["value"]).alias("entity"), here.alias("start"), there.alias("end"), _cleaned(pair["word"]).alias("term")))
-        return F.struct(there.alias("at"), F.when(pair["word"].isNotNull(), F.concat(state["words"], one)).otherwise(state["words"]).alias("words"))
-
-    def placed(side):
-        pairs = F.arrays_zip(F.split(side["side"], _WORD).alias("gap"), F.regexp_extract_all(side["side"], F.lit(_WORD), F.lit(0)).alias("word"))
-        return F.aggregate(pairs, F.struct(side["at"].alias("at"), empty.alias("words")), step, lambda state: state["words"])
+        one = F.array(F.struct(here.alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), there.alias("end"), F.lit("").alias("value")))
+        told = pair["word"].isNotNull() & F.array_contains(terms, F.lower(pair["word"]))
+        return F.struct(there.alias("at"), F.when(told, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
 
-    return F.filter(F.flatten(F.transform(sides, placed)), lambda w: F.length(w["term"]) >= 3)
+    return F.aggregate(pairs, start, step, lambda state: state["spans"])
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 4) -> DataFrame:
-    """id, digest, base, beside: the base spans of every row and the words beside them."""
-    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    based = texts.withColumn("digest", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    beside = F.flatten(F.transform("base", lambda e: _words_beside(F.col("text"), e, around)))
-    return based.select("id", "digest", "base", F.when(F.size("base") > 0, beside).otherwise(F.from_json(F.lit("[]"), _BESIDE)).alias("beside"))
+def _entities(spans: Column) -> Column:
+    """What a word can disclose: the lower-cased values."""
+    return F.array_distinct(F.transform(spans, lambda x: F.lower(x["value"])))
 
 
-def disclosing_spans(found: DataFrame, docs: DataFrame, text_col: str, min_support: int, share: float) -> DataFrame:
-    """i, d, terms: by id and digest, spans of the words beside an entity that reveal more than `share` of it.
+def telling_terms(some: DataFrame, docs: DataFrame, text_col: str, min_support: int, share: float) -> DataFrame:
+    """row, terms: the words that reveal more than `share` of an entity, for each row that holds both.
 
-    Counts are documents of the whole corpus. A word is judged with the entities beside it, and only
-    where the pair is found in `min_support` documents: without repetition a corpus shows no association.
+    `some` has row, base and text of the rows with values. Counts are rows of the whole corpus, and every
+    word of a row counts as found with every entity of it. A word is judged only where the pair is found
+    in `min_support` rows.
     """
-    near = found.select("id", "digest", F.explode("beside").alias("w")).select("id", "digest", "w.*")
-    together = near.select("id", "digest", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_support)
-    values = F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))
-    holding = found.select(F.explode(values).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    words = F.array_distinct(F.transform(_words(F.col("text"), F.col("base")), F.lower))
+    held = kept(some.select("row", _entities(F.col("base")).alias("entities"), words.alias("terms")), "personal-words")
     total = float(max(1, docs.count()))
-    # A word is in as many documents at least as it is found in beside any entity; where that alone is
-    # too many for any disclosure above `share`, its whole count need not be known. This loses nothing.
-    beside = kept(near.select("id", "digest", "term").distinct().groupBy("term").agg(F.count("*").alias("least")), "words-beside")
-    enough = F.col("both") * F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - share)) * (1 + 1e-9)
-    candidates = kept(together.join(holding, "entity").join(beside, "term").filter(F.col("least") <= enough).drop("least"), "candidate-terms")
+    owners = held.select("row", F.explode("entities").alias("entity"))
+    holding = kept(owners.groupBy("entity").agg(F.count("*").alias("with_entity")), "entity-counts")
+    most = float(holding.agg(F.max("with_entity")).first()[0] or 1)
+    each = held.select("row", F.explode("terms").alias("term"))
+    # A word is in as many rows at least as it is found in with values. It tells an entity only if it is in
+    # fewer than `both` times (total / with_entity) ** (1 - share) rows, and `both` is bounded by either
+    # count; where that fails already, the pair need not be counted. This loses nothing.
+    reach = F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - share)) * (1 + 1e-9)
+    least = each.groupBy("term").agg(F.count("*").alias("least")).filter(F.col("least") <= most * (total / most) ** (1 - share) * (1 + 1e-9))
+    rare = kept(each.join(kept(least, "rare-terms"), "term"), "rare-words")
+    owners = kept(owners.join(holding, "entity"), "entity-rows")
+    pairs = rare.join(owners, "row").filter(F.col("least") <= F.least("least", "with_entity") * reach)
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("least").alias("least"))
+    candidates = kept(together.filter((F.col("both") >= min_support) & (F.col("least") <= F.col("both") * reach)), "candidate-terms")
     terms = candidates.select("term").distinct()
-    n_terms = terms.count()
-    # Documents with each candidate word, over every document; the words go out whole only while they are few.
-    listed = F.broadcast(terms) if n_terms <= 100_000 else terms
-    each = F.array_distinct(F.transform(F.split(whole(text_col), _GAP), _cleaned))
-    with_term = docs.select(F.explode(each).alias("term")).join(listed, "term").groupBy("term").agg(F.count("*").alias("with_term"))
+    # Rows without values that have a candidate word; the words go out whole only while they are few.
+    text = whole(text_col)
+    others = docs.filter(F.size(base_spans(text)) == 0).select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))).alias("term"))
+    if terms.count() <= 100_000:
+        elsewhere = others.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("elsewhere"))
+    else:
+        elsewhere = others.groupBy("term").agg(F.count("*").alias("elsewhere")).join(terms, "term")
+    with_term = F.col("least") + F.coalesce("elsewhere", F.lit(0))
     information = F.log2(F.lit(total) / F.col("with_entity"))
-    mutual = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    telling = candidates.join(with_term, "term").filter((information > 0) & (mutual > share * information)).select("entity", "term")
-    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), "end", F.lit("").alias("value"))
-    return near.join(telling, ["entity", "term"]).groupBy(F.col("id").alias("i"), F.col("digest").alias("d")).agg(F.collect_set(span).alias("terms"))
+    mutual = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * with_term))
+    telling = kept(candidates.join(elsewhere, "term", "left").filter((information > 0) & (mutual > share * information)).select("entity", "term"), "telling-terms")
+    told = rare.select("row", "term").join(telling, "term").join(owners.select("row", "entity"), ["row", "entity"], "left_semi")
+    return told.groupBy("row").agg(F.collect_set("term").alias("terms"))
 
 
-def _with_terms(some: DataFrame, terms: DataFrame, id_col: str, digest_col: str, base_col: str, to: str) -> DataFrame:
-    same = some[id_col].eqNullSafe(terms["i"]) & (some[digest_col] == terms["d"])
-    every = F.concat(base_col, F.coalesce("terms", F.from_json(F.lit("[]"), _SPANS)))
-    return some.join(terms, same, "left").withColumn(to, F.sort_array(every))
+def _all_spans(text: Column, base: Column, terms: Column) -> Column:
+    """Base spans and those of the telling terms, in order."""
+    return F.when(terms.isNull(), base).otherwise(F.sort_array(F.concat(base, _occurrences(text, base, terms))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 4, min_support: int = 3, share: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, share: float = 0.9) -> DataFrame:
     """id, digest, base, spans: base spans and all spans of every row, each with kind, start and end.
 
-    Null text is empty and has no spans. Rows are matched by id and text digest, so repeated rows and
-    ids that stand for several texts each get their own spans, null ids included. Empty table: empty.
+    Null text is empty and has no spans. Repeated rows and ids that stand for several texts each get
+    their own spans, null ids included. Empty table: empty.
     """
-    found = kept(entities(docs, id_col, text_col, around), "entities")
+    based = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("digest", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    found = kept(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))).withColumn("row", F.monotonically_increasing_id()), "entities")
     some, none = found.filter(F.size("base") > 0), found.filter(F.size("base") == 0)
-    terms = disclosing_spans(some, docs, text_col, min_support, share)
-    spans = _with_terms(some, terms, "id", "digest", "base", "spans").select("id", "digest", "base", "spans")
+    terms = telling_terms(some, docs, text_col, min_support, share)
+    spans = some.join(terms, "row", "left").select("id", "digest", "base", _all_spans(F.col("text"), F.col("base"), F.col("terms")).alias("spans"))
     return spans.unionByName(none.select("id", "digest", "base", F.col("base").alias("spans")))
 
 
@@ -190,15 +196,14 @@ def _replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 4, min_support: int = 3, share: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, share: float = 0.9) -> DataFrame:
     """The same rows and columns with personal data generalised and telling words removed.
 
-    Rows without any stay as they are, null text too. Columns named __digest, __base or __spans are reserved.
+    Rows without any stay as they are, null text too. Columns named __base or __row are reserved.
     """
-    named = docs.withColumn("__digest", F.xxhash64(whole(text_col))).withColumn("__base", base_spans(whole(text_col)))
-    some = kept(named.filter(F.size("__base") > 0), "personal-rows")
-    found = kept(entities(some, id_col, text_col, around), "entities")
-    terms = disclosing_spans(found, docs, text_col, min_support, share)
-    changed = _with_terms(some, terms, id_col, "__digest", "__base", "__spans")
-    changed = changed.withColumn(text_col, _replaced(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    named = docs.withColumn("__base", base_spans(whole(text_col)))
+    some = kept(named.filter(F.size("__base") > 0).withColumn("__row", F.monotonically_increasing_id()), "personal-rows")
+    terms = telling_terms(some.select(F.col("__row").alias("row"), F.col("__base").alias("base"), whole(text_col).alias("text")), docs, text_col, min_support, share)
+    joined = some.join(terms.select(F.col("row").alias("__row"), F.col("terms").alias("__terms")), "__row", "left")
+    changed = joined.withColumn(text_col, _replaced(F.col(text_col), _all_spans(F.col(text_col), F.col("__base"), F.col("__terms")))).select(*docs.columns)
     return named.filter(F.size("__base") == 0).select(*docs.columns).unionByName(changed)

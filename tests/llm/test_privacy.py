@@ -73,3 +73,18 @@ def test_no_python_on_the_way(docs_of):
 
 def test_empty_table(empty_docs):
     assert P.find(empty_docs).count() == 0 and P.sanitise(empty_docs).count() == 0
+
+
+def marked(docs):
+    return {r["id"]: {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)} for r in P.digest(P.find(docs)).collect()}
+
+
+def test_words_anywhere_in_the_text(docs_of):
+    line = "Rosewater said it. Mail '{}', 王伟 or one two three four five (Rosewater) and 王伟, six of them"
+    rows = [(i, line.format("jane@x.org")) for i in range(6)] + [(100 + i, line.replace("Rosewater", "who").replace("王伟", "who").format("nobody")) for i in range(200)]
+    found = marked(docs_of(rows))
+    text = rows[0][1]
+    words = sorted(text[a:b] for kind, a, b in found[0] if kind == "term")
+    assert words == ["Rosewater", "Rosewater", "王伟", "王伟"] and found[100] == set()
+    out = {r["doc_id"]: r["text"] for r in P.sanitise(docs_of(rows)).collect()}
+    assert "Rosewater" not in out[0] and "王伟" not in out[0] and "'[EMAIL]'," in out[0] and out[100] == rows[6][1]
