@@ -110,16 +110,28 @@ def _occurrences(text: Column, spans: Column, terms: Column) -> Column:
 
 
 def _entities(spans: Column) -> Column:
-    """What a word can disclose: the lower-cased values."""
-    return F.array_distinct(F.transform(spans, lambda x: F.lower(x["value"])))
+    """What a word can disclose: values in lower case, and the parts they share with other values.
+
+    Parts are the local part and the domain of an address, the first three numbers of an IP, the first
+    six digits of a card and of a phone number. They pool values that are met once or twice.
+    """
+
+    def parts(x):
+        value, digits = F.lower(x["value"]), F.regexp_replace(x["value"], "[^0-9]", "")
+        two = F.when(x["kind"] == "email", F.array(F.concat(F.substring_index(value, "@", 1), F.lit("@")), F.concat(F.lit("@"), F.substring_index(value, "@", -1))))
+        one = F.when(x["kind"] == "ip", F.concat(F.substring_index(value, ".", 3), F.lit("."))).otherwise(F.concat(x["kind"], F.lit(" "), F.substring(digits, 1, 6)))
+        return F.concat(F.array(value), F.coalesce(two, F.array(one)))
+
+    return F.array_distinct(F.flatten(F.transform(spans, parts)))
 
 
 def telling_terms(some: DataFrame, docs: DataFrame, text_col: str, min_support: int, share: float) -> DataFrame:
     """row, terms: the words that reveal more than `share` of an entity, for each row that holds both.
 
     `some` has row, base and text of the rows with values. Counts are rows of the whole corpus, and every
-    word of a row counts as found with every entity of it. A word is judged only where the pair is found
-    in `min_support` rows.
+    word of a row counts as found with every entity of it, values of one row too. A word's own count is
+    one more than seen, so that a word met once is no evidence in a small corpus: beside a value met
+    once it tells from (1 / 2) ** (-1 / (1 - share)) rows on, 1,024 as a rule.
     """
     words = F.array_distinct(F.transform(_words(F.col("text"), F.col("base")), F.lower))
     held = kept(some.select("row", _entities(F.col("base")).alias("entities"), words.alias("terms")), "personal-words")
@@ -132,12 +144,12 @@ def telling_terms(some: DataFrame, docs: DataFrame, text_col: str, min_support:
     # fewer than `both` times (total / with_entity) ** (1 - share) rows, and `both` is bounded by either
     # count; where that fails already, the pair need not be counted. This loses nothing.
     reach = F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - share)) * (1 + 1e-9)
-    least = each.groupBy("term").agg(F.count("*").alias("least")).filter(F.col("least") <= most * (total / most) ** (1 - share) * (1 + 1e-9))
+    least = each.groupBy("term").agg(F.count("*").alias("least")).filter(F.col("least") + 1 <= most * (total / most) ** (1 - share) * (1 + 1e-9))
     rare = kept(each.join(kept(least, "rare-terms"), "term"), "rare-words")
     owners = kept(owners.join(holding, "entity"), "entity-rows")
-    pairs = rare.join(owners, "row").filter(F.col("least") <= F.least("least", "with_entity") * reach)
+    pairs = rare.join(owners, "row").filter(F.col("least") + 1 <= F.least("least", "with_entity") * reach)
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("least").alias("least"))
-    candidates = kept(together.filter((F.col("both") >= min_support) & (F.col("least") <= F.col("both") * reach)), "candidate-terms")
+    candidates = kept(together.filter((F.col("both") >= min_support) & (F.col("least") + 1 <= F.col("both") * reach)), "candidate-terms")
     terms = candidates.select("term").distinct()
     # Rows without values that have a candidate word; the words go out whole only while they are few.
     text = whole(text_col)
@@ -146,7 +158,7 @@ def telling_terms(some: DataFrame, docs: DataFrame, text_col: str, min_support:
         elsewhere = others.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("elsewhere"))
     else:
         elsewhere = others.groupBy("term").agg(F.count("*").alias("elsewhere")).join(terms, "term")
-    with_term = F.col("least") + F.coalesce("elsewhere", F.lit(0))
+    with_term = F.col("least") + F.coalesce("elsewhere", F.lit(0)) + 1
     information = F.log2(F.lit(total) / F.col("with_entity"))
     mutual = F.log2(F.lit(total) * F.col("both") / (F.col("with_entity") * with_term))
     telling = kept(candidates.join(elsewhere, "term", "left").filter((information > 0) & (mutual > share * information)).select("entity", "term"), "telling-terms")
@@ -159,7 +171,7 @@ def _all_spans(text: Column, base: Column, terms: Column) -> Column:
     return F.when(terms.isNull(), base).otherwise(F.sort_array(F.concat(base, _occurrences(text, base, terms))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, share: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 1, share: float = 0.9) -> DataFrame:
     """id, digest, base, spans: base spans and all spans of every row, each with kind, start and end.
 
     Null text is empty and has no spans. Repeated rows and ids that stand for several texts each get
@@ -196,7 +208,7 @@ def _replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, share: float = 0.9) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 1, share: float = 0.9) -> DataFrame:
     """The same rows and columns with personal data generalised and telling words removed.
 
     Rows without any stay as they are, null text too. Columns named __base or __row are reserved.

@@ -88,3 +88,19 @@ def test_words_anywhere_in_the_text(docs_of):
     assert words == ["Rosewater", "Rosewater", "王伟", "王伟"] and found[100] == set()
     out = {r["doc_id"]: r["text"] for r in P.sanitise(docs_of(rows)).collect()}
     assert "Rosewater" not in out[0] and "王伟" not in out[0] and "'[EMAIL]'," in out[0] and out[100] == rows[6][1]
+
+
+def test_values_of_one_document(docs_of):
+    plain = [(100 + i, f"the mail of the office {i % 7} is open to all at night") for i in range(1200)]
+    rows = [(1, "the office is open to Rosewater at jane@x.org"), (2, "at night the mail to joe@x.org")]
+    found = marked(docs_of(rows + plain))
+    text = rows[0][1]
+    assert {text[a:b] for kind, a, b in found[1] if kind == "term"} == {"Rosewater"} and {k for k, *_ in found[2]} == {"email"}
+
+
+def test_values_pooled_by_their_parts(docs_of):
+    plain = [(100 + i, f"the mail of the office {i % 7} is open") for i in range(200)]
+    rows = [(i, f"the mail of Rosewater to clerk{i}@rose.example is open") for i in range(6)]
+    found = marked(docs_of(rows + plain))
+    for i, text in rows:
+        assert "Rosewater" in {text[a:b] for kind, a, b in found[i] if kind == "term"}
