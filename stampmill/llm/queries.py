@@ -132,3 +132,11 @@ def op1_suffix_dedup(spark, sf_dir):
     from stampmill.llm.suffixes import repeats
 
     return repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+@query("op13_debruijn_dedup")
+def op13_debruijn_dedup(spark, sf_dir):
+    """Words of every document that lie in a window of 35 words met elsewhere."""
+    from stampmill.llm.debruijn import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), length=35).withColumnRenamed("id", "doc_id").drop("spans")
