@@ -140,3 +140,11 @@ def op13_debruijn_dedup(spark, sf_dir):
     from stampmill.llm.debruijn import repeats
 
     return repeats(table(spark, sf_dir, "documents"), length=35).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of every document, a tenth of them with a repetition written over their end."""
+    from stampmill.llm.periods import digest, periodic_runs
+
+    return digest(periodic_runs(table(spark, sf_dir, "documents"), plant=True)).withColumnRenamed("id", "doc_id")
