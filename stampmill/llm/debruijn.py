@@ -31,7 +31,6 @@ from stampmill.llm.tables import dropped, kept, whole
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Words that one step of a task holds as arrays; requests that one source text answers at a time.
 _STEP, _REQUESTS = 1 << 19, 1 << 12
-_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class Graph:
@@ -115,19 +114,25 @@ def _joined(words: list[bytes], start: int, end: int) -> bytes:
     return xxh3_128_digest(b" ".join(words[start:end]))
 
 
-def _paths(spans: np.ndarray) -> np.ndarray:
-    """Spans [start, windows, source row, source start, head] of one text in order, those that follow each other as one."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    same = (spans[1:, 0] == spans[:-1, 0] + spans[:-1, 1]) & (spans[1:, 2] == spans[:-1, 2]) & (spans[1:, 3] == spans[:-1, 3] + spans[:-1, 1])
-    first = np.flatnonzero(np.concatenate([[True], ~same | (spans[1:, 4] > 0)]))
-    out = spans[first].copy()
-    out[:, 1] = np.add.reduceat(spans[:, 1], first)
-    return out
+_PATH_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("windows", pa.int32()), ("s_row", pa.int64()), ("s_first", pa.int32())]))
 
 
-def _cleaned(words: list[bytes], spans: np.ndarray, length: int) -> tuple[int, str, list[list[int]]]:
+def _paths(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and columns (first, windows, source row, source first) of each list's spans in order, those that follow each other as one."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    first, windows, s_row, s_first, head = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists.flatten().flatten())
+    order = np.lexsort((first, owner))
+    owner, first, windows, s_row, s_first, head = (c[order] for c in (owner, first, windows, s_row, s_first, head))
+    same = (owner[1:] == owner[:-1]) & (s_row[1:] == s_row[:-1]) & (head[1:] == 0)
+    same &= (first[1:] == first[:-1] + windows[:-1]) & (s_first[1:] == s_first[:-1] + windows[:-1])
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), ~same]))
+    windows = np.add.reduceat(windows, new) if len(new) else windows
+    return np.searchsorted(owner[new], np.arange(len(lists) + 1)), [first[new], windows, s_row[new], s_first[new]]
+
+
+def _cleaned(words: list[bytes], begin: np.ndarray, end: np.ndarray) -> tuple[int, str, list[list[int]]]:
     """Removed words, hash of the rest and the maximal removed spans."""
-    begin, end = spans[:, 0], spans[:, 0] + spans[:, 1] + length - 1
     breaks = np.flatnonzero(begin[1:] > end[:-1])
     begin, end = begin[np.concatenate([[0], breaks + 1])], end[np.concatenate([breaks, [len(end) - 1]])]
     rest, last = [], 0
@@ -196,22 +201,21 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int
     ends = again.select(F.col("u").alias("node"), F.lit(1).alias("leave"), F.lit(0).alias("enter")).union(again.select(F.col("v"), F.lit(0), F.lit(1)))
     forks = kept(ends.groupBy("node").agg(F.sum("leave").alias("leave"), F.sum("enter").alias("enter")).filter((F.col("leave") > 1) | (F.col("enter") > 1)).select(F.col("node").alias("u"), F.lit(1).alias("head")), "forks")
     flagged = kept(again.join(forks, "u", "left").select("u", "v", "source", F.coalesce("head", F.lit(0)).alias("head")), "flagged-edges")
-    back = edges.select("own", "j", "u", "v").join(flagged, ["u", "v"]).groupBy("own").agg(F.collect_list(F.struct("j", F.col("source.row").alias("s_row"), F.col("source.first").alias("s_first"), "head")).alias("edges"))
+    back = edges.select("own", "j", "u", "v").join(flagged, ["u", "v"]).groupBy("own").agg(F.collect_list(F.struct(F.col("j").alias("first"), F.lit(1).alias("windows"), F.col("source.row").alias("s_row"), F.col("source.first").alias("s_first"), "head")).alias("edges"))
 
-    @F.pandas_udf("array<struct<j:int,windows:int,s_row:long,s_first:int,head:int>>")
-    def path(found: pd.Series) -> pd.Series:
-        out = []
-        for e in found:
-            spans = _paths(np.array([(x["j"], 1, x["s_row"], x["s_first"], x["head"]) for x in e], np.int64))
-            out.append([dict(zip(("j", "windows", "s_row", "s_first", "head"), s)) for s in spans.tolist()])
-        return pd.Series(out)
+    def path(batches):
+        for batch in batches:
+            offsets, columns = _paths(batch.column("edges"))
+            structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PATH_TYPE.value_type)], fields=list(_PATH_TYPE.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)], ["own", "paths"])
 
-    compact = kept(back.select("own", path("edges").alias("paths")), "paths")
+    compact = kept(back.mapInArrow(path, "own long, paths array<struct<first:int,windows:int,s_row:long,s_first:int>>"), "paths")
     dropped(again, forks, flagged, distinct)
     loose = mixed.select("row", "first", "own").join(compact, "own").select("row", "first", F.explode("paths").alias("p"))
-    loose = loose.select("row", (F.col("first") + F.col("p.j")).alias("first"), "p.windows", "p.s_row", "p.s_first", "p.head")
-    spans = told.filter(~F.col("mixed")).select("row", "first", "windows", "s_row", "s_first", F.lit(0).alias("head")).union(loose)
-    listed = spans.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "s_row", "s_first", "head")).alias("spans"))
+    # Between stretches a path goes on wherever the sources do.
+    loose = loose.select("row", (F.col("first") + F.col("p.first")).alias("first"), "p.windows", "p.s_row", "p.s_first")
+    spans = told.filter(~F.col("mixed")).select("row", "first", "windows", "s_row", "s_first").union(loose)
+    listed = spans.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "s_row", "s_first", F.lit(0).alias("head"))).alias("spans"))
     bodies = stored.filter(F.col("packed").isNotNull()).select("row", "packed")
 
     def remove(batches):
@@ -219,13 +223,13 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
         for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
             out = []
-            for row, packed, found in zip(batch.column("row").to_pylist(), batch.column("packed").to_pylist(), batch.column("spans")):
-                words = zlib.decompress(packed).split()
-                held = found.values
-                paths = _paths(np.stack([held.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], 1))
-                ask = paths[(paths[:, 2] != row) | (paths[:, 3] != paths[:, 0])]
-                digests = [_joined(words, a, a + c + length - 1) for a, c in ask[:, :2].tolist()]
-                out.append((row, *_cleaned(words, paths, length), ask[:, 2], ask[:, 3], ask[:, 1], digests))
+            offsets, (first, windows, s_row, s_first) = _paths(batch.column("spans"))
+            end = first + windows + length - 1
+            for row, packed, a, b in zip(batch.column("row").to_pylist(), batch.column("packed"), offsets[:-1], offsets[1:]):
+                words = zlib.decompress(packed.as_py()).split()
+                ask = a + np.flatnonzero((s_row[a:b] != row) | (s_first[a:b] != first[a:b]))
+                digests = [_joined(words, x, y) for x, y in zip(first[ask].tolist(), end[ask].tolist())]
+                out.append((row, *_cleaned(words, first[a:b], end[a:b]), s_row[ask], s_first[ask], windows[ask], digests))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 8, types)], names)
 
     cleaned = bodies.join(listed, "row").mapInArrow(remove, "row long, n_removed long, kept string, spans array<array<int>>, s_row array<long>, s_first array<int>, windows array<int>, digest array<binary>")
