@@ -148,3 +148,31 @@ def op12_periodic_runs(spark, sf_dir):
     from stampmill.llm.periods import digest, periodic_runs
 
     return digest(periodic_runs(table(spark, sf_dir, "documents"), plant=True)).withColumnRenamed("id", "doc_id")
+
+
+_OP11 = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS s FROM t GROUP BY c),
+hashed AS (SELECT c, s, c - c % 20 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::BIGINT, 1))::BIGINT),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h FROM own),
+built AS (SELECT a.c, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s FROM hashed a LEFT JOIN own b ON b.c = a.base),
+beg AS (SELECT c, d, s[1:d] AS p, d = len(s) AS last FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN last THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256,
+                CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len([w FOR w IN regexp_split_to_array(p[d].text, '[\x20\x09-\x0D]+') IF w <> '']) END AS own FROM beg GROUP BY p, d),
+child AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT p, d, own, NOT EXISTS (SELECT 1 FROM child k WHERE k.p = node.p) AS leaf, unnest(range(0, d + 1)) AS e FROM node),
+sub AS (SELECT p[1:e] AS p, sum(own)::BIGINT AS saved_tokens, sum(leaf::BIGINT)::BIGINT AS n_leaves FROM up GROUP BY 1)
+SELECT n.conv_id::BIGINT AS conv_id, n.d::BIGINT AS depth, q.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM node n JOIN sub s ON s.p = n.p LEFT JOIN child k ON k.p = n.p LEFT JOIN node q ON n.d > 0 AND q.p = n.p[1:n.d - 1]
+"""
+
+
+@query("op11_prefix_trie", _OP11)
+def op11_prefix_trie(spark, sf_dir):
+    """Every shared beginning of the rebuilt conversations: members, children, leaves and words saved."""
+    from stampmill.llm.tries import shared_beginnings
+
+    return shared_beginnings(table(spark, sf_dir, "conversations"))
