@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampmill.llm.tables import kept
+from stampmill.llm.tables import dropped, kept
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: every node on an edge (u, v of longs) with the smallest node it is linked to.
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest of them, so
@@ -21,7 +21,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = kept(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         ways = _both_ways(now)
         least = kept(ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = ways.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,10 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = kept(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large-star")
         floor = kept(low.groupBy("u").agg(F.min("v").alias("m")), "floor")
         small = low.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = kept(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        last, now = now, kept(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        dropped(last, least, low, floor)
         # A fixed point has the same number of edges and the same sum over them.
         state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -23,12 +23,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables that `kept` wrote and that nothing reads any more, so that a long job holds few of them."""
+    """Delete tables that `kept` wrote and that nothing reads any more, so that a long job holds few of them.
+
+    Spark deletes the shuffle files of finished jobs when the driver collects its garbage, so it is asked to.
+    """
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
         for file in df.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def whole(column: str) -> Column:
