@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -37,6 +38,48 @@ def test_layouts(page, text):
     assert main_text(page) == text
 
 
+def test_given_pages_without_article_elements(spark, sf):
+    """The ratios find the article where no element names it."""
+    right = total = 0
+    for r in table(spark, sf, "pages").collect():
+        want = main_text(r["html"])
+        bare = r["html"].replace("<article>", "<div class='x1'>").replace("</article>", "</div>")
+        right, total = right + (main_text(bare) == want), total + 1
+        loose = r["html"].replace("<article>", "").replace("</article>", "")
+        assert set(main_text(loose).split()) <= set(want.split()) | set(re.findall("[^<>\\s]+", re.sub("<footer>.*|<div.*?</div>", "", loose)))
+    assert right >= 0.95 * total
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><div class=content><section id=a><p>{LONG} {LONG}</p></section><section id=b><h2>Two</h2><p>{LONG}</p></section></div><div class=x><a href=y>link</a></div>', f"{LONG} {LONG} Two {LONG}"),
+        (f'<div class=content>Lead. {LONG}<div><p>{LONG}</p><p>{LONG}</p></div></div>', f"Lead. {LONG} {LONG} {LONG}"),
+        (f'<div class="content has-sidebar"><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>{LONG}</div>', f"{LONG} {LONG}"),
+        (f'<div class="sidebar-wrap"><article><p>{LONG}</p></article></div><div class=sidebar>{LONG}</div>', LONG),
+        (f'<article class=one><p>{LONG}</p></article><article class=two><h2>Next</h2><p>{LONG}</p></article>', f"{LONG} Next {LONG}"),
+        (f'<div class=widget><p>{LONG}</p><p>{LONG}</p></div><p>foot</p>', f"{LONG} {LONG} foot"),
+        (f'<div class=post><p>{LONG}</p></div><div class=comments><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p></div>', LONG),
+    ],
+)
+def test_without_one_article(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script " * 125_000, "<script " * 125_000 + ">", "<a '" * 250_000, "<a \"x>" * 150_000, "<div>" * 200_000 + LONG, "</b></x>" * 125_000, "<div class=sidebar>" * 50_000 + LONG,
+        "<![CDATA[" * 110_000, "<!--" * 250_000, "<!" * 500_000, "<li><dd><td>" * 80_000, "<p>x" * 250_000, "<textarea>" * 100_000,
+    ],
+)
+def test_long_pages_take_linear_time(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 15
+    main_text(f"<article>{page}")
+
+
 def test_long_and_broken_pages():
     assert len(main_text("<p>" + "word " * 200_000)) == 999_999
     assert main_text("<" * 5000 + "x") == "<" * 5000 + "x"
