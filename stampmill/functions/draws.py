@@ -30,9 +30,3 @@ def draw_int(low, high, seed, *keys) -> Column:
 def draw_unit(seed, *keys) -> Column:
     """Uniform double strictly inside (0, 1)."""
     return (draw(seed, *keys).cast("double") + F.lit(0.5)) / F.lit(_SPAN)
-
-
-def draw_normal(seed, *keys) -> Column:
-    """Standard normal by the Box-Muller transform of two draws."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(draw_unit(f"{seed}a", *keys)))
-    return radius * F.cos(F.lit(6.283185307179586) * draw_unit(f"{seed}b", *keys))

@@ -8,12 +8,14 @@ spot: no row per pair is ever made.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stampmill.functions.draws import draw
+from stampmill.functions.mix import mix, seed_of
 from stampmill.functions.types import DOUBLE, DOUBLES, LONG, LONGS, arrow_function, struct
 from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_row_number, half_splits, sample_n
@@ -156,32 +158,95 @@ def pair_distances(df: DataFrame, key: str, n: int | None = 512, seed=0) -> Data
 
 
 # -- two-sample test --------------------------------------------------------
-# A labelling marks each row 1 (first sample), 0 (second) or -1 (in neither). All labellings are
-# carried together, so the distances are formed once for the statistic and its whole null.
+# A labelling marks each row 1 (first sample), 0 (second) or -1 (in neither). Rows carry one label for each
+# run; the reshuffled ones are made where a block pair is, from counters, and all share its distances.
 
 
-def _label_sums(blocks: DataFrame) -> DataFrame:
+@dataclass
+class _Shuffles:
+    """Reshuffled labels of R runs of P permutations: a row's counter, mixed, is labelled 1 up to a limit.
+
+    Limits are one number for each run, permutation and side of the landmarks, so that every reshuffle keeps
+    the counts in and out of the landmarks. The mix maps no two rows to one number, so the counts are exact.
+    """
+
+    seed: int
+    runs: int
+    permutations: int
+    limits: np.ndarray  # [run, permutation, landmark]
+
+    def _bases(self, run: int) -> np.ndarray:
+        return mix(mix(np.uint64(self.seed ^ run)) ^ np.arange(1, self.permutations + 1, dtype=np.uint64))
+
+    def draws(self, run: int, rows: np.ndarray, only: slice = slice(None)) -> np.ndarray:
+        """[row, permutation] mixed counters."""
+        return mix(self._bases(run)[only][None, :] ^ mix(rows)[:, None])
+
+    def labels(self, run: int, rows: np.ndarray, given: np.ndarray, landmark: np.ndarray) -> np.ndarray:
+        """[row, labelling] 1, 0 or -1; the given label first."""
+        out = np.empty((len(rows), self.permutations + 1), np.int8)
+        out[:, 0] = given
+        if self.permutations:
+            ones = self.draws(run, rows).astype(np.int64) <= self.limits[run][:, landmark].T
+            out[:, 1:] = np.where(given[:, None] >= 0, ones, -1)
+        return out
+
+
+def _shuffles(blocks: DataFrame, runs: int, permutations: int, seed) -> _Shuffles:
+    """Limits of all reshuffles, worked out in parallel; the sample's labels, a byte a row and run, go along."""
+    plan = _Shuffles(seed_of(f"{seed}p"), runs, permutations, np.zeros((runs, permutations, 2), np.int64))
+    if not permutations:
+        return plan
+    rows = blocks.select(F.explode("rows").alias("r")).select("r._rn", "r.landmark", "r.labels").collect()
+    numbers, marks = (np.array([r[c] for r in rows], np.int64) for c in ("_rn", "landmark"))
+    labels = np.array([r["labels"] for r in rows], np.int8)
+
+    @arrow_function(struct(outside=LONG, inside=LONG))
+    def limit(index: pd.Series) -> pd.DataFrame:
+        out = []
+        for run, p in zip(index // permutations, index % permutations):
+            found = []
+            for side in (0, 1):
+                group = (marks == side) & (labels[:, run] >= 0)
+                first = int((labels[group, run] == 1).sum())
+                found.append(int(np.partition(plan.draws(run, numbers[group], slice(p, p + 1))[:, 0], first - 1)[first - 1]) if first else -1)
+            out.append(found)
+        return pd.DataFrame(out, columns=["outside", "inside"])
+
+    counted = blocks.sparkSession.range(runs * permutations).select("id", limit("id").alias("l")).select("id", "l.*").collect()
+    for r in counted:
+        plan.limits[r["id"] // permutations, r["id"] % permutations] = r["outside"], r["inside"]
+    return plan
+
+
+def _label_sums(blocks: DataFrame, plan: _Shuffles) -> DataFrame:
     """Energy distance of every labelling: (labelling, statistic).
 
     Rows meet landmark columns only; without landmarks every row is one.
     """
 
     @arrow_function(struct(xx=DOUBLES, xy=DOUBLES, yx=DOUBLES, yy=DOUBLES))
-    def sums(x: pd.Series, y: pd.Series, lx: pd.Series, ly: pd.Series, mx: pd.Series, my: pd.Series, same: pd.Series) -> pd.DataFrame:
+    def sums(x: pd.Series, y: pd.Series, lx: pd.Series, ly: pd.Series, mx: pd.Series, my: pd.Series, nx: pd.Series, ny: pd.Series, same: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b, la, lb, ma, mb, s in zip(x, y, lx, ly, mx, my, same):
+        for a, b, la, lb, ma, mb, na, nb, s in zip(x, y, lx, ly, mx, my, nx, ny, same):
             d = _distances(a, b)
             if s:
                 np.fill_diagonal(d, 0.0)
-            la, lb = np.stack(la), np.stack(lb)
-            ma, mb = np.asarray(ma, dtype=float)[:, None], np.asarray(mb, dtype=float)[:, None]
-            total = [0.0, 0.0, 0.0, 0.0]
-            for rows, cols, marks, matrix in ((la, lb, mb, d),) if s else ((la, lb, mb, d), (lb, la, ma, d.T)):
-                to_x, to_y = matrix @ ((cols == 1) * marks), matrix @ ((cols == 0) * marks)
-                one, two = rows == 1, rows == 0
-                for i, (side, reach) in enumerate(((one, to_x), (one, to_y), (two, to_x), (two, to_y))):
-                    total[i] = total[i] + (side * reach).sum(0)
-            out.append(tuple(total))
+            la, lb, ma, mb = np.stack(la).astype(np.int8), np.stack(lb).astype(np.int8), np.asarray(ma, np.int64), np.asarray(mb, np.int64)
+            na, nb = np.asarray(na, np.uint64), np.asarray(nb, np.uint64)
+            parts = []
+            for run in range(plan.runs):
+                left = plan.labels(run, na, la[:, run], ma)
+                right = left if s else plan.labels(run, nb, lb[:, run], mb)
+                total = np.zeros((4, plan.permutations + 1))
+                for rows, cols, marks, matrix in ((left, right, mb, d),) if s else ((left, right, mb, d), (right, left, ma, d.T)):
+                    # Members that are not in the first sample are in the second.
+                    to_x = matrix @ ((cols == 1) * marks[:, None]).astype(float)
+                    to_y = (matrix @ ((cols[:, 0] >= 0) * marks).astype(float))[:, None] - to_x
+                    for i, (side, reach) in enumerate(((1, to_x), (1, to_y), (0, to_x), (0, to_y))):
+                        total[i] += np.einsum("ij,ij->j", rows == side, reach)
+                parts.append(total)
+            out.append(tuple(np.concatenate(parts, axis=1)))
         return pd.DataFrame(out, columns=["xx", "xy", "yx", "yy"])
 
     pairs = block_pairs(blocks, _n_blocks(blocks))
@@ -190,34 +255,19 @@ def _label_sums(blocks: DataFrame) -> DataFrame:
         return F.transform(side, lambda r: r[name])
 
     summed = pairs.select(sums(_vectors(F.col("left")), _vectors(F.col("right")), of("left", "labels"), of("right", "labels"),
-                               of("left", "landmark"), of("right", "landmark"), F.col("a") == F.col("b")).alias("s"))
+                               of("left", "landmark"), of("right", "landmark"), of("left", "_rn"), of("right", "_rn"), F.col("a") == F.col("b")).alias("s"))
     zipped = F.posexplode(F.arrays_zip("s.xx", "s.xy", "s.yx", "s.yy")).alias("labelling", "z")
     totals = summed.select(zipped).groupBy("labelling").agg(*[F.sum(f"z.{c}").alias(c) for c in ("xx", "xy", "yx", "yy")])
-    members = blocks.select(F.explode("rows").alias("r")).select("r.landmark", F.posexplode("r.labels").alias("labelling", "label"))
-    counts = members.groupBy("labelling").agg(
+    # Every labelling of a run has the run's counts.
+    members = blocks.select(F.explode("rows").alias("r")).select("r.landmark", F.posexplode("r.labels").alias("run", "label"))
+    counts = members.groupBy("run").agg(
         *[F.sum((cond & mark).cast("bigint")).alias(name) for name, cond, mark in (
             ("nx", F.col("label") == 1, F.lit(True)), ("ny", F.col("label") == 0, F.lit(True)),
             ("lx", F.col("label") == 1, F.col("landmark") == 1), ("ly", F.col("label") == 0, F.col("landmark") == 1))])
     stat = (F.try_divide("xy", F.col("nx") * F.col("ly")) + F.try_divide("yx", F.col("ny") * F.col("lx"))
             - F.try_divide("xx", F.col("nx") * F.col("lx")) - F.try_divide("yy", F.col("ny") * F.col("ly")))
-    return totals.join(counts, "labelling").select("labelling", stat.alias("statistic"), "nx", "ny")
-
-
-def _permutations(labelled: DataFrame, key: str, n: int, seed) -> DataFrame:
-    """(key, labels): the given label, then n reshuffles that keep the counts in and out of the landmarks.
-
-    Ranked per labelling and landmark group; a group is at most the sample.
-    """
-    spread = labelled.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("p"))
-    spread = spread.withColumn("_h", draw(f"{seed}p", "run", "p", key))
-    group = Window.partitionBy("p", "landmark", "run")
-    order = group.orderBy("_h", key)
-    sized = spread.where("label >= 0").withColumn("_first", F.sum((F.col("label") == 1).cast("int")).over(group))
-    shuffled = sized.select(key, "run", "p", F.when(F.row_number().over(order) <= F.col("_first"), 1).otherwise(0).alias("label"))
-    out = spread.where("label < 0").select(key, "run", "p", "label").unionByName(shuffled).unionByName(
-        labelled.select(key, "run", F.lit(0).alias("p"), "label"))
-    ordered = F.sort_array(F.collect_list(F.struct("run", "p", "label")))
-    return out.groupBy(key).agg(F.transform(ordered, lambda s: s["label"].cast("double")).alias("labels"))
+    run = F.floor(F.col("labelling") / (plan.permutations + 1)).cast("int")
+    return totals.withColumn("run", run).join(counts, "run").select("labelling", stat.alias("statistic"), "nx", "ny")
 
 
 def _with_landmarks(df: DataFrame, key: str, landmarks: int | None, seed) -> DataFrame:
@@ -232,7 +282,7 @@ def energy_distance(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
     both = x.select(key, "image").withColumn("label", F.lit(1.0)).unionByName(y.select(key, "image").withColumn("label", F.lit(0.0)))
     both = both.withColumn("landmark", F.lit(1)).withColumn("labels", F.array("label"))
     blocks, _, dim = blocks_of(both, key, ("labels", "landmark"))
-    return _label_sums(blocks).select("statistic", F.col("nx").alias("n_x"), F.col("ny").alias("n_y"), F.lit(dim).alias("dim"))
+    return _label_sums(blocks, _shuffles(blocks, 1, 0, 0)).select("statistic", F.col("nx").alias("n_x"), F.col("ny").alias("n_y"), F.lit(dim).alias("dim"))
 
 
 def _judge(stats: DataFrame, per_run: int) -> DataFrame:
@@ -253,21 +303,21 @@ def permutation_test(x: DataFrame, y: DataFrame, key: str, permutations: int = 1
     if x.select(F.max(F.size("image"))).first()[0] != y.select(F.max(F.size("image"))).first()[0]:
         raise ValueError("the two samples are images of different size")
     both = x.select(key, "image").withColumn("label", F.lit(1)).unionByName(y.select(key, "image").withColumn("label", F.lit(0)))
-    both = _with_landmarks(both, key, landmarks, seed)
-    labels = _permutations(both.select(key, "label", "landmark", F.lit(0).alias("run")), key, permutations, seed)
-    blocks, _, dim = blocks_of(both.join(labels, key), key, ("labels", "landmark"))
-    return _judge(_label_sums(blocks), permutations + 1).drop("run").withColumn("dim", F.lit(dim)).withColumn("n_landmarks", F.lit(landmarks).cast("int"))
+    both = _with_landmarks(both, key, landmarks, seed).withColumn("labels", F.array("label"))
+    blocks, _, dim = blocks_of(both, key, ("labels", "landmark"))
+    return _judge(_label_sums(blocks, _shuffles(blocks, 1, permutations, seed)), permutations + 1).drop("run").withColumn("dim", F.lit(dim)).withColumn("n_landmarks", F.lit(landmarks).cast("int"))
 
 
 def control(x: DataFrame, key: str, repeats: int = 5, permutations: int = 1000, seed=0, landmarks: int | None = None) -> DataFrame:
     """One row per repeat: the same test between two halves of one sample."""
     sample = _with_landmarks(x.select(key, "image"), key, landmarks, seed)
     halves = half_splits(sample.select(key), repeats, seed, key).select(key, F.col("repeat_index").alias("run"), (1 - F.col("half")).alias("label"))
-    grid = sample.select(key, "landmark", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("run"))
-    labelled = grid.join(halves, [key, "run"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    labels = _permutations(labelled, key, permutations, seed)
-    blocks, _, _ = blocks_of(sample.join(labels, key), key, ("labels", "landmark"))
-    return _judge(_label_sums(blocks), permutations + 1).withColumnRenamed("run", "repeat_index")
+    # A label for each run; the odd row that a split leaves out is in neither half.
+    held = halves.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("run", "label"))).alias("_held"))
+    label = lambda r: F.coalesce(F.try_element_at("_held", r), F.lit(-1))
+    labelled = sample.join(held, key, "left").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), label)).drop("_held")
+    blocks, _, _ = blocks_of(labelled, key, ("labels", "landmark"))
+    return _judge(_label_sums(blocks, _shuffles(blocks, repeats, permutations, seed)), permutations + 1).withColumnRenamed("run", "repeat_index")
 
 
 def control_summary(runs: DataFrame, alpha: float = 0.01) -> DataFrame:

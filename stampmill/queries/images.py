@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stampmill.cuts import PatchSettings, TransformSettings
 from stampmill.functions import arrays as A
+from stampmill.functions.mix import mix_sql
 from stampmill.operators import images as im
 from stampmill.queries import query
 from stampmill.queries.flux import CFG, FLOOR, PATCH, POOLED_SQL, S, log_sql, pixels, pooled
@@ -159,11 +160,16 @@ def i16_augmented(spark, sf):
     return pixels(im.make_batch(stamps8(spark, sf), CFG, CROP, "stamp_id", seed=9, augment=True))
 
 
-_EPS = (f"sqrt(-2e0 * ln(({hash_sql(chr(39) + '11a' + chr(39), 'stamp_id', 'i')} + 5e-1) / 1152921504606846976e0)) * "
-        f"cos(6283185307179586e-15 * (({hash_sql(chr(39) + '11b' + chr(39), 'stamp_id', 'i')} + 5e-1) / 1152921504606846976e0))")
+def _unit_sql(name):
+    """The draw of a pixel's counter in one of the stamp's two streams."""
+    return f"(({mix_sql(f'xor({name}, {mix_sql(chr(105))})')} + 5e-1) / 4294967296e0)"
 
 
-@query("i17_forward_expand", ctes("px8") + f"""SELECT stamp_id, rung, i, round(v + sigma * eps, 6) AS v FROM (SELECT stamp_id, i, v, {_EPS} AS eps FROM px8),
+_EPS = f"sqrt(-2e0 * ln({_unit_sql('one')})) * cos(6283185307179586e-15 * {_unit_sql('two')})"
+
+
+@query("i17_forward_expand", ctes("px8") + f"""SELECT stamp_id, rung, i, round(v + sigma * eps, 6) AS v FROM (SELECT stamp_id, i, v, {_EPS} AS eps FROM
+  (SELECT *, {hash_sql("'11a'", 'stamp_id')} % 4294967296 AS one, {hash_sql("'11b'", 'stamp_id')} % 4294967296 AS two FROM px8)),
   (SELECT r AS rung, 1e-1 * (50e0 / 1e-1) ** (1 - r / 3e0) AS sigma FROM (SELECT unnest([0, 1, 2, 3]) AS r))""")
 def i17(spark, sf):
     out = im.forward_expand(stamps8(spark, sf), F.lit(0.1), F.lit(50.0), 4, "stamp_id", seed=11)

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stampmill.cuts import TransformSettings
-from stampmill.operators import measure as me, pairs as pr, spectra as sp
+from stampmill.functions.mix import mix, seed_of
+from stampmill.operators import measure as me, pairs as pr, runlog as rl, spectra as sp
 
 
 def frame(spark, images, **extra):
@@ -161,6 +162,61 @@ def test_verdict(spark, p, rejected, want):
     assert row["verdict"] == want and bool(row["control_note"]) == (rejected == 1)
 
 
+def shuffled_energies(x, y, permutations, seed):
+    """The test by hand: the same counters, all labels of a permutation at once."""
+    both = np.concatenate([x, y]).reshape(len(x) + len(y), -1)
+    d = np.sqrt(((both[:, None] - both[None]) ** 2).sum(-1))
+    base = mix(mix(np.uint64(seed_of(f"{seed}p"))) ^ np.arange(permutations + 1, dtype=np.uint64))
+    out = [energy(d, np.arange(len(x)), np.arange(len(x), len(both)))]
+    for p in range(1, permutations + 1):
+        order = np.argsort(mix(base[p] ^ mix(np.arange(len(both)))))
+        out.append(energy(d, order[: len(x)], order[len(x) :]))
+    return np.array(out)
+
+
+def test_every_verdict_is_reached(spark, small_blocks):
+    rng = np.random.default_rng(9)
+    same = rng.normal(size=(60, 3, 3))
+    near, far = same[:30], same[30:] + 2.0
+    x = frame(spark, near)
+    test = lambda y: pr.permutation_test(x, frame(spark, y).withColumn("k", F.col("k") + 100), "k", permutations=999, seed=3)
+    null = shuffled_energies(near, far, 999, 3)
+    got = test(far)
+    row = got.first()
+    assert row["p_value"] == pytest.approx((1 + (null[1:] >= null[0] - 1e-12).sum()) / 1000) and row["null_std"] == pytest.approx(null[1:].std(), rel=1e-6)
+    controls = pr.control(frame(spark, same), "k", permutations=999, seed=3)
+    p = sorted(r["p_value"] for r in controls.collect())
+    assert len(p) == 5
+    said = lambda result, alpha: tuple(pr.verdict(result, pr.control_summary(controls, alpha), alpha).select("verdict", "control_note").first())
+    assert p[0] > 0.01 and said(got, 0.01) == ("rejected", "")
+    assert said(test(same[30:]), 0.01) == ("not rejected", "")
+    # Levels between the controls' own p-values: one of them rejects, then two.
+    assert said(got, (p[0] + p[1]) / 2) == ("rejected", "one control rejected")
+    assert said(got, (p[1] + p[2]) / 2) == ("withheld", "")
+
+
+def test_permutations_are_not_shuffled(spark):
+    x = frame(spark, np.random.default_rng(1).normal(size=(20, 2, 2)))
+    blocks, _, _ = pr.blocks_of(x.withColumn("labels", F.array(F.lit(1))).withColumn("landmark", F.lit(1)), "k", ("labels", "landmark"))
+    sums = pr._label_sums(blocks, pr._shuffles(blocks, 1, 999, 1))
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "md5" not in plan
+
+
+@pytest.mark.parametrize("alpha, segment", [(0.02, 4096), (0.02, 7), (0.9, 4), (1e-6, 16), (1e-4, 5)])
+def test_running_mean_by_scan(spark, alpha, segment):
+    rng = np.random.default_rng(2)
+    sizes = {1: 3000, 2: 1, 3: 64, 4: 65}
+    data = [(k, i, float(v)) for k, n in sizes.items() for i, v in enumerate(rng.normal(5, 1, n))]
+    out = rl.ewma(spark.createDataFrame(data, "k int, i int, v double"), "k", "i", "v", alpha=alpha, segment_rows=segment)
+    got = {(r["k"], r["i"]): r["loss_ema"] for r in out.collect()}
+    mean = None
+    for k, i, v in data:
+        mean = v if i == 0 else (1 - alpha) * mean + alpha * v
+        assert got[k, i] == pytest.approx(mean, rel=1e-9)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_input_offset_without_a_softening(spark):
     df = spark.createDataFrame([(None, 1.0, 1.0), (2.0, 1.0, 0.0)], "s double, k double, f double")
     got = [r[0] for r in df.select(me.input_offset(F.col("s"), F.col("k"), F.col("f"))).collect()]
