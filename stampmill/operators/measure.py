@@ -12,6 +12,7 @@ from stampmill.cuts import TransformSettings
 from stampmill.functions import arrays as A
 from stampmill.functions.flux import QUARTILE_SPREAD, SKY_SLOPE, as_column, finite, sky_level, soften
 from stampmill.functions.types import DOUBLE, LONG, arrow_function, struct
+from stampmill.operators.histograms import Stream, Summary, summarise
 from stampmill.operators.quantiles import exact_quantiles
 
 STAT_PERCENTILES = (0.1, 1, 16, 50, 84, 99, 99.9)
@@ -76,55 +77,47 @@ def scatter_check(stats: DataFrame, cfg: TransformSettings) -> DataFrame:
         "verdict", F.when(plausible, "plausible").otherwise("far from the prediction"))
 
 
-def _grouped(df: DataFrame, by):
-    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+def _told(df: DataFrame, by: tuple[str, ...], rows: dict[tuple, list], columns: str) -> DataFrame:
+    """Rows by group as a frame; a set without groups always has one row."""
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    return df.sparkSession.createDataFrame([(*key, *values) for key, values in rows.items()], keys + columns)
 
 
 def set_stats(df: DataFrame, pool_factor: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row (per group) of statistics of log-space pixels.
+    """One row (per group) of statistics of log-space pixels, from one scan of the images and what it leaves open.
 
     `image` is x. With `flux` (pooled flux) and `sky_noise` the deepest flux in sky sigma is added.
-    Pixels are unrolled inside each task and only partial sums leave it.
     """
-    df, keys = _grouped(df, by)
-    pixels = df.select(*keys, F.explode("image").alias("v"))
-    sums = pixels.groupBy(*keys).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.skewness("v").alias("skew"),
-    ).withColumn("skew", F.when(finite(F.col("skew")), F.col("skew")).otherwise(F.lit(0.0)))
-    quantiles = exact_quantiles(pixels, "v", [p / 100 for p in STAT_PERCENTILES], by=keys)
-    quantiles = quantiles.select(*keys, *[F.element_at("q", i + 1).alias(percent_name(p)) for i, p in enumerate(STAT_PERCENTILES)])
-    ranges = df.select(*keys, (F.array_max("image") - F.array_min("image")).alias("r"))
-    ranges = exact_quantiles(ranges, "r", (0.99,), by=keys, keep=True).select(*keys, F.col("n").alias("n_stamps"), F.element_at("q", 1).alias("per_patch_range_p99"))
-    out = sums.join(quantiles, keys).join(ranges, keys).withColumn("sky_scatter", (F.col("p84") - F.col("p16")) / 2)
-    if {"flux", "sky_noise"} <= set(df.columns):
-        noise = F.col("sky_noise").cast("double") / pool_factor
-        usable = finite(noise) & (noise > 0)
-        deepest = df.groupBy(*keys).agg(F.min(F.when(usable, F.array_min("flux") / F.when(usable, noise))).alias("deepest_flux_sigma"))
-        out = out.join(deepest, keys)
-    return out.drop("_all")
+    streams = [Stream("pixels", tuple(p / 100 for p in STAT_PERCENTILES)), Stream("ranges", (0.99,))]
+    deep = {"flux", "sky_noise"} <= set(df.columns)
+    if deep:
+        df = df.withColumn("noise", F.col("sky_noise").cast("double") / pool_factor)
+        streams.append(Stream("deepest"))
+    found = summarise(df.select(*by, "image", *(["flux", "noise"] if deep else [])), streams, by)
+    names = ["mean", "std", "min", "max", "skew", *[percent_name(p) for p in STAT_PERCENTILES], "per_patch_range_p99", "sky_scatter"]
+    rows = {}
+    for key, (x, r, *rest) in found.items():
+        q = x.quantiles or [None] * len(STAT_PERCENTILES)
+        scatter = (q[4] - q[2]) / 2 if x.quantiles else None
+        rows[key] = [r.n, x.mean, x.std, x.least, x.most, x.skew, *q, *(r.quantiles or [None]), scatter, *[d.least for d in rest]]
+    return _told(df, by, rows, "n_stamps bigint, " + ", ".join(f"{n} double" for n in names) + (", deepest_flux_sigma double" if deep else ""))
 
 
 def sample_report(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """x: mean, std, range and non-finite count; flux: median and maximum."""
-    df, keys = _grouped(df, by)
-    pixels = df.select(*keys, F.explode(F.transform("image", lambda v: v.cast("double"))).alias("v"))
-    good = F.when(finite(F.col("v")), F.col("v"))
-    sums = pixels.groupBy(*keys).agg(
-        F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), F.min(good).alias("min"), F.max(good).alias("max"),
-        F.count_if(~finite(F.col("v"))).alias("n_nonfinite"), F.exp(F.max(good)).alias("flux_max"),
-    )
-    flux = pixels.select(*keys, F.exp("v").alias("flux"))
-    middle = exact_quantiles(flux, "flux", (0.5,), by=keys).select(*keys, F.element_at("q", 1).alias("flux_median"))
-    return sums.join(middle, keys, "left").drop("_all")
+    found = summarise(df.select(*by, "image"), [Stream("finite"), Stream("exponentials", (0.5,))], by)
+    rows = {}
+    for key, (x, flux) in found.items():
+        most = None if x.most is None else math.exp(x.most) if x.most < 709 else math.inf
+        rows[key] = [x.mean, x.std, x.least, x.most, x.skipped, most, flux.quantiles[0] if flux.quantiles else None]
+    return _told(df, by, rows, "mean double, std double, min double, max double, n_nonfinite bigint, flux_max double, flux_median double")
 
 
 def shared_range(df: DataFrame, column: str = "image", by: tuple[str, ...] = ()) -> DataFrame:
     """0.5 and 99.5 percentiles of all finite pixels together; (0, 1) when there are none."""
-    df, keys = _grouped(df, by)
-    found = exact_quantiles(df.select(*keys, F.explode(column).alias("v")), "v", (0.005, 0.995), by=keys)
-    groups = df.select(*keys).distinct().join(found, keys, "left")
-    return groups.select(*by, F.coalesce(F.element_at("q", 1), F.lit(0.0)).alias("low"), F.coalesce(F.element_at("q", 2), F.lit(1.0)).alias("high"))
+    found = summarise(df.select(*by, F.col(column).alias("image")), [Stream("pixels", (0.005, 0.995))], by)
+    found = found or ({} if by else {(): [Summary()]})
+    return _told(df, by, {key: x.quantiles or [0.0, 1.0] for key, (x,) in found.items()}, "low double, high double")
 
 
 def sigma_range(df: DataFrame, rule: str = "pairs") -> DataFrame:

@@ -93,15 +93,26 @@ def bin_of(v, lo, hi):
     return F.least(F.floor((v - lo) / width * F.lit(float(BINS))), F.lit(BINS - 1)).cast("int")
 
 
+def _bin_of_rank(rank: int, below: int, bins) -> tuple[int, float, float]:
+    """(values below it, least, greatest) of the bin that holds a rank; `below` values come before the first bin."""
+    for _, n, first, last in bins:
+        if rank < below + n:
+            return below, first, last
+        below += n
+    raise ValueError("the bins do not reach the rank")
+
+
 def refine(
     groups: dict[tuple, tuple[int, float, float]],
     probs: Sequence[float],
     count_bins: Callable[[list[tuple[tuple, float, float]]], list[tuple[int, int, int, float, float]]],
+    counted: dict[tuple, list[tuple[int, int, float, float]]] | None = None,
 ) -> dict[tuple, list[float]]:
     """Quantiles per group from repeated bin counts.
 
     `groups` maps a key to (n, min, max). `count_bins` gets open brackets (key, lo, hi) and
-    returns (bracket, bin, n, min, max) rows for the values inside them.
+    returns (bracket, bin, n, min, max) rows for the values inside them. `counted` has the bins
+    (bin, n, min, max) of each whole group, in order, where they are known already.
     """
     wanted = {}
     for key, (n, lo, hi) in groups.items():
@@ -109,6 +120,8 @@ def refine(
             at = p * (n - 1)
             wanted[(key, math.floor(at))] = (0, lo, hi)
             wanted[(key, min(math.floor(at) + 1, n - 1))] = (0, lo, hi)
+    for key, rank in wanted if counted else ():
+        wanted[(key, rank)] = _bin_of_rank(rank, 0, counted[key])
     while True:
         still = {w: b for w, b in wanted.items() if b[1] < b[2]}
         if not still:
@@ -119,11 +132,7 @@ def refine(
         for bracket, bin_index, n, lo, hi in count_bins(brackets):
             by_bracket.setdefault(bracket, []).append((bin_index, n, lo, hi))
         for (key, rank), (below, lo, hi) in still.items():
-            for _, n, first, last in sorted(by_bracket[place[(key, lo, hi)]]):
-                if rank < below + n:
-                    wanted[(key, rank)] = (below, first, last)
-                    break
-                below += n
+            wanted[(key, rank)] = _bin_of_rank(rank, below, sorted(by_bracket[place[(key, lo, hi)]]))
     out = {}
     for key, (n, _, _) in groups.items():
         out[key] = []
