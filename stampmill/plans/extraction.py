@@ -21,6 +21,7 @@ from stampmill.operators.keyed import BROADCAST_KEYS, fetch
 from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_prefix_sum
 from stampmill.operators import walk as w
+from stampmill.sources.pixels import LAYOUT, from_patches
 
 FIRST_ACCEPTANCE, MARGIN = 0.25, 1.2
 
@@ -49,12 +50,9 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
     outside = tried.where("n_cells_missing > 0").withColumns(
         {"reasons": F.lit("off_the_grid:cells"),
          "message": F.concat(F.col("n_cells_missing").cast("string"), F.lit(" cells were never built"))})
-    lost = fits.join(pixels.select("host_id", "band_idx"), ["host_id", "band_idx"], "left_anti").withColumns(
-        {"reasons": F.lit("off_the_grid:read"), "message": F.lit("no pixels")})
 
-    # A pixel table laid out by patch is also pruned by it.
-    on = ["host_id", "band_idx"] + [c for c in ("tract", "patch") if c in pixels.columns]
-    found = fetch(pixels, fits.select(*on, "n_visits_min", "cell_depth_ratio"), on)
+    on = [c for c in (*LAYOUT, "host_id", "band_idx") if c in pixels.columns]
+    found = from_patches(pixels, fits.select(*on, "n_visits_min", "cell_depth_ratio"))
     whole = (F.col("native_size") == size) & (F.size("image") == size * size)
     for column in ("image", "variance", "mask"):
         found = found.withColumn(column, F.when(whole, F.col(column)))
@@ -66,15 +64,19 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
         F.to_json(F.map_from_entries(F.array_sort(F.map_entries("planes")))).alias("plane_map"),
         *[c for c in judged.columns if c.startswith("diag_")],
     )
-    rows = fits.join(judged, ["host_id", "band_idx"])
-    for other in (none.withColumnRenamed("objectId", "host_id"), outside, lost):
+    # What the pixel table did not have shows in the same join.
+    rows = fits.join(judged, ["host_id", "band_idx"], "left").withColumns(
+        {"message": F.when(F.col("was_read").isNull(), F.lit("no pixels")),
+         "reasons": F.when(F.col("was_read").isNull(), F.lit("off_the_grid:read")).otherwise(F.col("reasons")),
+         "was_read": F.coalesce("was_read", F.lit(False))})
+    for other in (none.withColumnRenamed("objectId", "host_id"), outside):
         rows = rows.unionByName(other.withColumn("was_read", F.lit(False)), allowMissingColumns=True)
     return rows.withColumn("status", F.when(F.col("reasons") == "", "accepted").otherwise("rejected"))
 
 
 def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts | None = None, bands: Sequence[str] = BANDS,
             seed=0, n_stamps: int | None = None, part: tuple[int, int] | None = None) -> Extraction:
-    """`pixels` has host_id, band_idx, native_size, image, variance, mask and planes."""
+    """`pixels` has host_id, band_idx, native_size, image, variance, mask and planes, and tract and patch if `write_pixels` laid it out."""
     cuts = cuts or PatchCuts()
     walk = w.walk_order(hosts, seed)
     target = n_stamps
@@ -154,6 +156,6 @@ def accepted_stamps(manifest: DataFrame, pixels: DataFrame, size: int) -> DataFr
         F.col("diag_frac_INEXACT_PSF").cast("float").alias("frac_inexact_psf"),
         F.col("diag_frac_REJECTED").cast("float").alias("frac_rejected"),
     )
-    # A pixel table laid out by patch is pruned by it.
-    on = ["host_id", "band_idx"] + [c for c in ("tract", "patch") if c in pixels.columns]
+    # A pixel table laid out by patch is pruned by it as long as the keys can be sent.
+    on = [c for c in (*LAYOUT, "host_id", "band_idx") if c in pixels.columns]
     return fetch(pixels.select(*on, "image", "native_size"), meta, on)

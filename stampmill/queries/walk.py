@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from stampmill.cuts import BANDS, PatchCuts
 from stampmill.operators import hosts as h, manifest as m, walk as w
+from stampmill.operators.lineage import scratch_path, settle
 from stampmill.operators.ordering import global_row_number
 from stampmill.plans.extraction import extract
 from stampmill.queries import query
 from stampmill.queries.catalogue import CUTS, HOSTS_CTES, DEDUPE_CTES
 from stampmill.queries.gate import MEASURES_SQL, rounded
 from stampmill.queries.views import coadds, contributions, ctes, hash_sql, objects, stamps32
+from stampmill.sources.pixels import by_patch, read_pixels, write_pixels
 
 SEED, SIZE, TARGET = 7, 32, 300
 USED_BANDS = ("g", "r", "i", "z")
@@ -147,18 +149,26 @@ def u2(spark, sf):
 PATCH_CUTS = PatchCuts(min_centre_sigma=None, max_variance_step=8.0)
 
 
+#: Stamps that go to every task whole, 16 kB each; more of them are joined by key.
+SENT_STAMPS = 4096
+
+
 def pixels(spark, sf, hosts):
-    """An image for each selected host and band, from the 32 px stamps; some numbers have none."""
-    stamps = stamps32(spark, sf).drop("band_idx").withColumnRenamed("host_id", "s")
-    n = stamps.select("s").count() + 4
+    """An image for each selected host and band, from the 32 px stamps, laid out by patch; some numbers have none."""
+    stamps = settle(stamps32(spark, sf).drop("band_idx").withColumnRenamed("host_id", "s"))
+    n = stamps.count()
     hosts = hosts.select("objectId", "tract", "patch")
     keys = w.host_coadds(hosts, coadds(spark, sf), USED_BANDS).select(
-        F.col("objectId").alias("host_id"), "band_idx", ((F.col("objectId") * 6 + F.col("band_idx")) % n).alias("s"))
-    return keys.join(stamps, "s").drop("s")
+        F.col("objectId").alias("host_id"), "band_idx", "tract", "patch", ((F.col("objectId") * 6 + F.col("band_idx")) % (n + 4)).alias("s"))
+    # Many hosts share a stamp here, so the table laid out by patch holds stamp numbers, and the stamps are kept once.
+    path = scratch_path(spark, "pixels")
+    write_pixels(by_patch(keys), path)
+    table = read_pixels(spark, path, keys)
+    return table.join(F.broadcast(stamps) if n <= SENT_STAMPS else stamps, "s").drop("s")
 
 
 def run(spark, sf):
-    hosts = h.select_hosts(objects(spark, sf), CUTS)
+    hosts = settle(h.select_hosts(objects(spark, sf), CUTS))
     return extract(hosts, coadds(spark, sf), contributions(spark, sf), pixels(spark, sf, hosts), size=SIZE, cuts=PATCH_CUTS,
                    bands=USED_BANDS, seed=SEED, n_stamps=TARGET)
 

@@ -8,6 +8,7 @@ from stampmill.plans.preparation import prepare
 from stampmill.queries import gate as qg, walk as qw
 from stampmill.queries.flux import CFG, PATCH
 from stampmill.queries.views import coadds, contributions, objects, stamps8
+from stampmill.sources import pixels as px
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,32 @@ def test_gate_partitioning_does_not_matter(spark):
     stamps = qg.with_depth(qg.stamps32(spark, SF))
     one, seven = (g.gate(stamps.repartition(n), qg.CUTS).select("host_id", F.concat_ws(";", "reasons"), "diag_variance_step") for n in (1, 7))
     assert rows(one) == rows(seven)
+
+
+def test_pixels_are_read_by_patch(spark, inputs, tmp_path):
+    """A range opens its own patches' folders, images stay where they are read, and what is missing shows in the same join."""
+    hosts, found, contributed, pixels = inputs
+    stored = pixels.select("host_id", "band_idx", "native_size", "image", "variance", "mask", "planes", "tract", "patch")
+    px.write_pixels(px.by_patch(stored), str(tmp_path / "pixels"))
+    table = px.read_pixels(spark, str(tmp_path / "pixels"), stored)
+    one = hosts.where("tract = 5063 AND patch = 3")
+    wanted = qw.w.host_coadds(one, found, qw.USED_BANDS).select("tract", "patch", F.col("objectId").alias("host_id"), "band_idx")
+    read = px.from_patches(table, wanted)
+    n = read.count()
+    assert n == pixels.join(wanted, ["tract", "patch", "host_id", "band_idx"], "left_semi").count() > 0
+    filters = lambda df: df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters", 1)[1]
+    assert "patch" in filters(read)[:80]  # told by the keys' own filter, or found as the keys are sent
+    few = px.from_patches(table, qw.w.host_coadds(hosts.where("objectId < 40"), found, qw.USED_BANDS).select("tract", "patch", F.col("objectId").alias("host_id"), "band_idx"))
+    assert "dynamicpruning" in filters(few).split("ReadSchema")[0] and few.count() > 0
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert not any("image" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line)
+    assert {tuple(r) for r in read.select("tract", "patch").distinct().collect()} == {(5063, 3)}
+    assert (tmp_path / "pixels" / "tract=5063" / "patch=3").is_dir()
+    args = dict(size=qw.SIZE, cuts=qw.PATCH_CUTS, bands=qw.USED_BANDS, seed=3)
+    gone = table.where("host_id % 3 <> 0")
+    run = ex.extract(hosts, found, contributed, gone, **args)
+    lost = {(r["host_id"], r["band"]) for r in run.manifest.where("reasons = 'off_the_grid:read'").collect()}
+    attempted = {(r["host_id"], r["band"]): r["reasons"] for r in run.manifest.where("was_read OR reasons = 'off_the_grid:read'").collect()}
+    assert {k for k in attempted if k[0] % 3 == 0} <= lost and lost
+    plain = ex.extract(hosts, found, contributed, pixels.drop("tract", "patch"), **args)
+    assert manifest(plain) == manifest(ex.extract(hosts, found, contributed, table, **args))
