@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses, fitted on labelled rows.
 
-Five small transducers read a clause word by word: insults and threats put out weight, a target or a
-threat raises it, negation damps the next words and reported speech the rest of the clause. Their
-composition is one table of states and weights. Words reach it as classes: insults come from a lexicon
-of words and stems learned from labels, the rest from short fixed lists. A text's score is a logistic
-function of what its matched clauses put out.
+Small transducers read a clause word by word. One reads insults, words and whole phrases, and puts out their
+weight; one reads threats and puts out one for each threat that a target joins, before it or after it, more if
+somebody means to do it. Targets and threats raise the insults that follow, negation damps the next words and
+reported speech the rest of the clause. The modifiers are composed into one table of states and weights, the
+phrases into one automaton of words, and both run side by side. Words reach the table as classes: insults
+come from a lexicon of words and stems learned from labels, the rest from fixed lists. A text's score is a
+logistic function of what its matched clauses put out; the factors of the modifiers are fitted with it.
 """
 
 from __future__ import annotations
@@ -27,48 +29,94 @@ TARGETS = "you your yours yourself he she they them him her ihr du dich dir euch
 NEGATIONS = "not never no none neither nobody cannot isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says wrote writes called calls quoted quote reported claims claimed sagte sagt schrieb dit écrit appelle dijo dice escribió".split()
 THREATS = "kill hurt destroy beat burn punish töten schlagen tuer frapper matar golpear".split()
+INTENTS = "will gonna going i'll we'll want wanna must werde werden will wollen vais allons veux voy vamos quiero".split()
 INSULTS = "idiot moron stupid pathetic worthless disgusting loser scum trash".split()
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+PHRASES = [
+    "piece of trash", "waste of space", "good for nothing", "shut your mouth", "shut the hell up", "go to hell", "get out of my sight", "nobody likes you",
+    "halt die klappe", "halt dein maul", "geh zur hölle", "ferme ta gueule", "va en enfer", "bon à rien", "cállate la boca", "vete al infierno",
+]
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = range(7)
+#: What negation, reported speech, a target and a threat do to what follows, and the other values that fitting tries.
+FACTORS = (0.5, 0.6, 1.25, 1.25)
+TRIED = ((0.25, 1.0), (0.3, 1.0), (1.0, 2.0), (1.0, 2.0))
 _WORD = re.compile(r"[\w']+")
 _ENDS = ".!?;\n|"
 _STEMS = range(3, 9)
 
 
-def _negation(state: int, word: int) -> tuple[int, float]:
-    """Damps the three words after a negation."""
-    return (3 if word == NEGATION else max(0, state - 1)), (0.5 if state else 1.0)
+def _negation(state: int, word: int) -> tuple[int, bool]:
+    """Marks the three words after a negation."""
+    return (3 if word == NEGATION else max(0, state - 1)), state > 0
+
+
+def _report(state: int, word: int) -> tuple[int, bool]:
+    """Marks what follows a word of saying, to the end of the clause."""
+    return (1 if word == REPORT else state), state > 0
 
 
-def _report(state: int, word: int) -> tuple[int, float]:
-    """Damps what follows a word of saying, to the end of the clause."""
-    return (1 if word == REPORT else state), (0.6 if state else 1.0)
+def _target(state: int, word: int) -> tuple[int, bool]:
+    """Marks what follows a word for the person meant."""
+    return (1 if word == TARGET else state), state > 0
 
 
-def _target(state: int, word: int) -> tuple[int, float]:
-    """Raises what follows a word for the person meant."""
-    return (1 if word == TARGET else state), (1.25 if state else 1.0)
+def _threat(state: int, word: int) -> tuple[int, bool]:
+    """Marks what follows a threat."""
+    return (1 if word == THREAT else state), state > 0
 
 
-def _threat(state: int, word: int) -> tuple[int, float]:
-    """Raises insults after a threat."""
-    return (1 if word == THREAT else state), (1.25 if state else 1.0)
+def _aim(state: int, word: int, damped: bool) -> tuple[int, float]:
+    """Joins threats with targets. States: intent seen (1), target seen (2), a threat that waits for one (4, damped 8)."""
+    intent, target, waits = state & 1, state & 2, state & 12
+    weight = 1.5 if intent else 1.0
+    if word == INTENT:
+        return state | 1, 0.0
+    if word == THREAT:
+        return (state, weight * (0.5 if damped else 1.0)) if target else (intent | (8 if damped else 4), 0.0)
+    if word == TARGET:
+        return intent | 2, weight * {0: 0.0, 4: 1.0, 8: 0.5}[waits]
+    return state, 0.0
 
 
-def compose() -> tuple[np.ndarray, np.ndarray]:
-    """next[state, class] and factor[state, class] of the four modifiers run side by side."""
-    states = list(product(range(4), range(2), range(2), range(2)))
+_AIMS = [s for s in range(16) if s & 12 != 12 and not (s & 2 and s & 12)]
+
+
+def compose(factors: tuple[float, ...] = FACTORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """next[state, class], factor[state, class] and threats put out[state, class] of all modifiers run side by side."""
+    states = list(product(range(4), range(2), range(2), range(2), _AIMS))
     index = {s: i for i, s in enumerate(states)}
-    to, factor = np.zeros((len(states), 6), int), np.ones((len(states), 6))
+    shape = len(states), 7
+    to, factor, threats = np.zeros(shape, int), np.ones(shape), np.zeros(shape)
     for s in states:
-        for word in range(6):
+        for word in range(7):
             moves = [f(x, word) for f, x in zip((_negation, _report, _target, _threat), s)]
-            to[index[s], word] = index[tuple(m[0] for m in moves)]
-            factor[index[s], word] = math.prod(m[1] for m in moves)
-    return to, factor
-
-
-_CLASSES = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+            aim, threats[index[s], word] = _aim(s[4], word, moves[0][1])
+            to[index[s], word] = index[(*(m[0] for m in moves), aim)]
+            factor[index[s], word] = math.prod(f for f, (_, on) in zip(factors, moves) if on)
+    return to, factor, threats
+
+
+def phrase_table(phrases: list[str]) -> tuple[list[dict[str, int]], set[int]]:
+    """next[state][word] of an automaton that reads words, and the states at which a phrase ends; a missing word leads to state 0."""
+    split = [tuple(_WORD.findall(p)) for p in phrases]
+    heads = sorted({p[:k] for p in split for k in range(len(p) + 1)}, key=lambda h: (len(h), h))
+    index = {h: i for i, h in enumerate(heads)}
+    words = {w for p in split for w in p}
+    table = []
+    for h in heads:
+        row = {}
+        for w in words:
+            tail = (*h, w)
+            while tail and tail not in index:
+                tail = tail[1:]
+            if tail:
+                row[w] = index[tail]
+        table.append(row)
+    return table, {index[p] for p in split if p}
+
+
+_CLASSES = {w: c for c, ws in ((INTENT, INTENTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+_NEXT, _ENDED = phrase_table(PHRASES)
 
 
 @dataclass
@@ -77,13 +125,15 @@ class Grammar:
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 4.0))
     stems: dict[str, float] = field(default_factory=dict)
-    coefficients: list[float] = field(default_factory=lambda: [-3.0, 0.5, 0.5, 1.0, 0.5])
+    coefficients: list[float] = field(default_factory=lambda: [-4.0, 1.5, 1.0, 1.0, 5.5])
+    factors: tuple[float, ...] = FACTORS
+    phrase: float = 6.0
 
     def __post_init__(self):
         self._built = None
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "coefficients": self.coefficients}
+        return {k: v for k, v in self.__dict__.items() if k != "_built"}
 
     def __setstate__(self, state):
         self.__dict__.update(state, _built=None)
@@ -91,39 +141,38 @@ class Grammar:
     def _machines(self):
         if self._built is None:
             scan = ahocorasick.Automaton()
-            for w in {*self.words, *self.stems, *THREATS}:
+            for w in {*self.words, *self.stems, *THREATS, *(max(_WORD.findall(p), key=len) for p in PHRASES)}:
                 scan.add_word(w, w)
             if len(scan):
                 scan.make_automaton()
-            to, factor = compose()
-            self._built = scan, to.tolist(), factor.tolist()
+            self._built = scan, *(t.tolist() for t in compose(self.factors))
         return self._built
 
     def weight(self, word: str) -> float:
-        """The heaviest entry that accepts the word: itself, or a stem it begins with."""
+        """The heaviest entry that accepts the word: itself, or a stem it begins with or is."""
         best = self.words.get(word, 0.0)
         for k in _STEMS:
-            if k < len(word):
+            if k <= len(word):
                 best = max(best, self.stems.get(word[:k], 0.0))
         return best
 
     def _clause(self, clause: str) -> tuple[float, int, float]:
-        """Weight put out, insults matched, and threats aimed at a target."""
-        _, to, factor = self._machines()
-        state, out, hits, threats, aimed = 0, 0.0, 0, 0.0, False
+        """Weight put out, insults matched, and threats joined with a target."""
+        _, to, factor, aimed = self._machines()
+        state, place, out, hits, threats = 0, 0, 0.0, 0, 0.0
         for m in _WORD.finditer(clause):
             word = m.group()
             kind = _CLASSES.get(word, OTHER)
             heavy = 0.0 if kind else self.weight(word)
-            kind = INSULT if heavy else kind
-            if kind == INSULT:
+            place = _NEXT[place].get(word, 0)
+            if place in _ENDED:  # all of a phrase is one insult, as heavy as its heaviest part
+                heavy = max(heavy, self.phrase)
+            if heavy:
                 out += heavy * factor[state][INSULT]
                 hits += 1
-            elif kind == THREAT:
-                threats += factor[state][THREAT]
-            aimed |= kind == TARGET
-            state = to[state][kind]
-        return out, hits, threats if aimed else 0.0
+            threats += aimed[state][kind]
+            state = to[state][INSULT if heavy and not kind else kind]
+        return out, hits, threats
 
     def features(self, text: str | None) -> list[float]:
         """What the matched clauses of a whole text put out: strongest, sum, insults, aimed threats; zeros without any."""
@@ -157,7 +206,7 @@ def held_out(id_col: str) -> Column:
 def _marks(text: str) -> set[str]:
     """A text's words, and stems marked by a trailing star."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:k] + "*" for w in words for k in _STEMS if k < len(w)}
+    return words | {w[:k] + "*" for w in words for k in _STEMS if k <= len(w)}
 
 
 def _tally(rows: DataFrame, toxic: int, only: set[str] | None) -> Counter:
@@ -190,8 +239,8 @@ def _lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least_w
     return words, stems
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> list[float]:
-    """Newton's method with a small ridge on all but the intercept; classes weigh by their counts."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> tuple[list[float], float]:
+    """Coefficients and log likelihood by Newton's method, with a small ridge on all but the intercept; classes weigh by their counts."""
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[0] = 1e-6
@@ -201,7 +250,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 6
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return w.tolist()
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return w.tolist(), float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, least_weight: float = 3.0) -> Grammar:
@@ -221,18 +271,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = _tally(rows, 1, None)
     clean = _tally(rows, 0, set(toxic))
     words, stems = _lexicon(toxic, clean, sizes[1], sizes[0], least_weight)
-    grammar = Grammar({**dict.fromkeys(INSULTS, least_weight), **words}, stems)
+    words = {**dict.fromkeys(INSULTS, least_weight), **words}
+    variants = [FACTORS] + [(*FACTORS[:k], f, *FACTORS[k + 1 :]) for k, tried in enumerate(TRIED) for f in tried]
+    fitted = _fitted(rows, [Grammar(words, stems, factors=f, phrase=least_weight) for f in variants])
+    # A factor moves only where the labels bear it out by themselves.
+    best = list(FACTORS)
+    for k in range(len(FACTORS)):
+        of = [(fit[1], v[k]) for v, fit in zip(variants, fitted) if v[:k] + v[k + 1 :] == FACTORS[:k] + FACTORS[k + 1 :]]
+        likelihood, value = max(of)
+        if likelihood > fitted[0][1] + 2:
+            best[k] = value
+    grammar = Grammar(words, stems, factors=tuple(best), phrase=least_weight)
+    found = dict(zip(variants, fitted))
+    grammar.coefficients = (found[tuple(best)] if tuple(best) in found else _fitted(rows, [grammar])[0])[0]
+    return grammar
+
+
+def _fitted(rows: DataFrame, grammars: list[Grammar]) -> list[tuple[list[float], float]]:
+    """Coefficients and log likelihood of each grammar on the bounded sample, from one reading of its texts."""
 
     def read(batches):
         for batch in batches:
-            found = [grammar.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__label_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["id", "toxic", "x"])
-
-    id_type = dict(rows.dtypes)["__label_id"]
-    seen = sorted((tuple(r["x"]), r["toxic"]) for r in rows.mapInArrow(read, f"id {id_type}, toxic int, x array<double>").select("toxic", "x").collect())
-    x = np.array([[1.0, *f] for f, _ in seen])
-    grammar.coefficients = _logistic(x, np.array([float(t) for _, t in seen]))
-    return grammar
+            first = [grammars[0].features(t) for t in batch.column("text").to_pylist()]
+            rest = [[g.features(t) for t in batch.column("text").to_pylist()] if any(map(any, first)) else first for g in grammars[1:]]
+            found = [sum(x, []) for x in zip(first, *rest)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    # Texts without a match are alike in every grammar, so rows go to the driver as counts of equal ones.
+    counted = rows.select("toxic", "text").mapInArrow(read, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
+    seen = sorted((tuple(r["x"]), r["toxic"], r["count"]) for r in counted)
+    n = np.array([c for *_, c in seen])
+    x = np.repeat(np.array([f for f, *_ in seen]).reshape(len(seen), len(grammars), -1), n, axis=0)
+    y = np.repeat(np.array([float(t) for _, t, _ in seen]), n)
+    return [_logistic(np.concatenate([np.ones((len(y), 1)), x[:, k]], axis=1), y) for k in range(len(grammars))]
 
 
 def score_column(grammar: Grammar, text_col: str) -> Column:

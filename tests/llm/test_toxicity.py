@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from stampmill.llm import toxicity as T
 from stampmill.llm.tables import table
 
@@ -39,14 +41,44 @@ def test_given_tables(spark):
 
 
 def test_transducers():
-    to, factor = T.compose()
-    assert to.shape == factor.shape == (32, 6)
-    g = T.Grammar(words={"idiot": 2.0}, stems={"zork": 1.0})
+    to, factor, threats = T.compose()
+    assert to.shape == factor.shape == threats.shape == (32 * len(T._AIMS), 7)
+    g = T.Grammar(words={"idiot": 2.0}, stems={"zork": 1.0}, phrase=3.0)
     out = lambda text: g._clause(text)[0]
-    assert out("what an idiot") == 2.0 and out("zorkling") == 1.0 and out("zork") == 0.0
+    assert out("what an idiot") == 2.0 and out("zorkling") == out("zork") == 1.0 and out("zor") == 0.0
     assert out("not an idiot") == 1.0 and out("not a b c idiot") == 2.0
     assert out("he said idiot") == 2.0 * 0.6 * 1.25 and out("you idiot") == 2.5
-    assert g._clause("i will hurt you")[2] > 0 and g._clause("it will hurt")[2] == 0
+    assert out("a waste of space") == 3.0 and out("a waste of time and space") == 0.0 and out("waste of waste of space") == 3.0
+    assert out("you are not a waste of space") == 3.0 * 1.25 and out("you not waste of space") == 3.0 * 1.25 * 0.5
+    assert T.Grammar(words={"idiot": 2.0}, factors=(0.1, 1.0, 1.0, 1.0))._clause("you said not idiot")[0] == pytest.approx(0.2)
+
+
+def test_threats_are_joined_with_targets():
+    threats = lambda text: T.Grammar()._clause(text)[2]
+    assert threats("hurt you") == threats("you they hurt") == 1.0 and threats("i will hurt you") == 1.5
+    assert threats("it may hurt") == 0.0 and threats("never hurt anybody at all you") == 0.5
+    assert threats("kill you and burn them") == 2.0
+
+
+def test_default_grammar(spark):
+    g = T.Grammar()
+    toxic, clean = ["you idiot", "what a pathetic loser you are", "I will kill you", "go to hell"], ["", None, "a fine day", "he said it was stupid", "the fire may burn", "you are not stupid"]
+    assert (g.score(toxic) >= 0.7).all() and (g.score(clean) < 0.7).all()
+
+
+def test_factors_are_fitted(spark):
+    """A heavy insult that is negated is clean, a light one plain is not: only a stronger factor tells them apart."""
+    rows = spark.createDataFrame([(1, "an idiot"), (0, "not grumpkin")] * 60, "toxic int, text string")
+    words = {"idiot": 3.0, "grumpkin": 6.0}
+    (_, half), (w, quarter) = T._fitted(rows, [T.Grammar(words), T.Grammar(words, factors=(0.25, *T.FACTORS[1:]))])
+    assert half < -80 and quarter > -20 and w[1] > 0
+    g = T.Grammar(words, coefficients=w, factors=(0.25, *T.FACTORS[1:]))
+    assert g.score(["an idiot"])[0] > 0.7 > g.score(["not grumpkin"])[0]
+
+
+def test_a_factor_moves_only_on_evidence(spark, docs_of):
+    rows, labels = corpus()
+    assert T.fit(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).factors == T.FACTORS
 
 
 def test_clauses_are_apart():
