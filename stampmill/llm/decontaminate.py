@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,27 +235,29 @@ class Index:
         return best
 
 
-def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, repeats: int = 24, samples: int = 2, max_items: int = 200_000) -> list[Index]:
-    """LSH indexes over the items in blocks of at most 2,000, so that what goes out at once is bounded.
+def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, repeats: int = 24, samples: int = 2, block: int = 20_000) -> list[Index]:
+    """LSH indexes over the items, in blocks of at most `block` items that share a vocabulary.
 
-    Null and empty items have no words and match nothing; items of equal text are all reported. More
-    items than `max_items` are refused rather than sent out.
+    Null and empty items have no words and match nothing; items of equal text are all reported.
     """
     rows = benchmark.select(id_col, F.col(text_col).cast("string").alias("text"))
-    if rows.count() > max_items:
-        raise ValueError(f"more than {max_items} benchmark items: split the benchmark")
     found = sorted(((r[0], words_of(r[1])) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     found = [(i, w) for i, w in found if w]
     blocks = []
-    for k in range(0, len(found), 2000):
-        part = found[k : k + 2000]
+    for k in range(0, len(found), block):
+        part = found[k : k + block]
         vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in part for w in ws}), 1)}
         items = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws in part]
         blocks.append(Index([i for i, _ in part], vocabulary, items, similarity, repeats, samples))
     return blocks
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8) -> DataFrame:
+def _passes(blocks: list[Index]) -> list[list[Index]]:
+    """Blocks that go out together, so that tasks hold a bounded number of items: one reading of the corpus for each ten blocks."""
+    return [blocks[k : k + 10] for k in range(0, len(blocks), 10)]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, block: int = 20_000) -> DataFrame:
     """id, item, first_word, end_word, edits, item_words: each item found in each row, at its closest window.
 
     Found means at most (1 - similarity) of the item's words edited. Null and empty texts hold nothing,
@@ -266,32 +269,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("item_words", T.LongType()),
     ])
     found = None
-    for block in index(benchmark, item_col, similarity=similarity):
+    for together in _passes(index(benchmark, item_col, similarity=similarity, block=block)):
 
-        def search(batches, block=block):
+        def search(batches, together=together):
             for batch in batches:
-                hits = list(block.search(batch.column("text").to_pylist()))
-                at, items, *rest = list(zip(*hits)) or [[]] * 5
-                sizes = [len(block.items[m]) for m in items]
-                columns = [batch.column("id").take(pa.array(at, pa.int64())), pa.array([block.item_ids[m] for m in items], None if hits else pa.int64())]
-                columns += [pa.array(c, pa.int64()) for c in (*rest, sizes)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                texts = batch.column("text").to_pylist()
+                for one in together:
+                    hits = list(one.search(texts))
+                    at, items, *rest = list(zip(*hits)) or [[]] * 5
+                    sizes = [len(one.items[m]) for m in items]
+                    columns = [batch.column("id").take(pa.array(at, pa.int64())), pa.array([one.item_ids[m] for m in items], None if hits else pa.int64())]
+                    columns += [pa.array(c, pa.int64()) for c in (*rest, sizes)]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
 
         part = rows.mapInArrow(search, schema)
         found = part if found is None else found.union(part)
     return found if found is not None else rows.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, block: int = 20_000) -> DataFrame:
     """The rows that hold no item, with their columns as they are."""
-    for block in index(benchmark, item_col, similarity=similarity):
+    for together in _passes(index(benchmark, item_col, similarity=similarity, block=block)):
 
         @F.pandas_udf("boolean")
-        def clean(text, block=block):
-            import pandas as pd
-
-            hold = {hit[0] for hit in block.search(text.tolist())}
-            return pd.Series([n not in hold for n in range(len(text))], dtype=bool)
+        def clean(text, together=together):
+            texts = text.tolist()
+            hold = {hit[0] for one in together for hit in one.search(texts)}
+            return pd.Series([n not in hold for n in range(len(texts))], dtype=bool)
 
         docs = docs.filter(clean(F.col(text_col).cast("string")))
     return docs

@@ -89,3 +89,16 @@ def test_empty_tables(empty_docs, items, docs_of):
     assert D.leaks(empty_docs, items).count() == 0
     assert D.leaks(docs_of([(1, "x")]), items.limit(0)).count() == 0
     assert D.drop_leaks(docs_of([(1, "x")]), items.limit(0)).count() == 1
+
+
+def test_blocks_share_one_reading(spark, sf, items):
+    """Ten thousand items in many blocks give what one block gives, and the corpus is read once."""
+    docs = table(spark, sf, "documents")
+    rows = [(10_000 + k, " ".join(f"v{(k * 31 + j * 7) % 9973}" for j in range(20))) for k in range(10_000)]
+    many = items.select("item_id", "text").union(spark.createDataFrame(rows, "item_id long, text string"))
+    hits = lambda df: sorted(map(tuple, df.collect()))
+    found = D.leaks(docs, many, block=1500)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert hits(found) == hits(D.leaks(docs, items)) != []
+    left = D.drop_leaks(docs, many, block=1500)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in D.drop_leaks(docs, items).collect())
