@@ -11,30 +11,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stampmill.llm import licence_texts as texts
 from stampmill.llm.tables import kept, whole
 
-#: Fixed: short notices by which common licences are stated.
-NOTICES = {
-    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: What a scan looks for unless told otherwise.
+TEMPLATES = texts.NOTICES | texts.BODIES
+#: Places of the filter that goes out to the tasks for each of its three probes; shingles of templates that go out whole.
+_PLACES, _SENT = 1 << 18, 1 << 20
 
 _BREAK = "[^\\p{L}\\p{N}]+"
 
@@ -74,13 +61,29 @@ def _band_keys(shingles: str, bands: int, rows: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
 
 
-def templates(spark: SparkSession, notices: dict[str, str] = NOTICES, size: int = 5) -> DataFrame:
+def _filter(shingles: set[int]):
+    """A test that every given shingle passes and nearly no other: three probes of tables of fixed size."""
+    held = np.array(sorted(shingles), np.int64).view(np.uint64)
+    flags = []
+    for k in range(3):
+        table = np.zeros(_PLACES, np.uint8)
+        table[(held >> np.uint64(20 * k)) & np.uint64(_PLACES - 1)] = 1
+        flags.append(F.lit(table.tobytes()))
+
+    def test(h: Column) -> Column:
+        probe = lambda k: F.substring(flags[k], F.shiftrightunsigned(h, 20 * k).bitwiseAND(_PLACES - 1).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        return probe(0) & probe(1) & probe(2)
+
+    return test
+
+
+def templates(spark: SparkSession, notices: dict[str, str] = TEMPLATES, size: int = 5) -> DataFrame:
     """licence, n_words, shingles of every notice."""
     rows = _with_shingles(spark.createDataFrame(sorted(notices.items()), "licence string, notice string"), "notice", size)
     return rows.select("licence", F.size("w").alias("n_words"), F.array_distinct("s").alias("shingles"))
 
 
-def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text", size: int = 5, containment: float = 0.8, rows: int = 1) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", size: int = 5, containment: float = 0.8, rows: int = 1) -> DataFrame:
     """id, row, licence, containment, first_word: every template found in every row, at its best window.
 
     `notices` is a bounded list that the caller hands over. Null and empty texts hold nothing; repeated
@@ -89,7 +92,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, id_col: str = "doc_
     """
     spark = docs.sparkSession
     known = sorted((r["licence"], list(r["shingles"])) for r in templates(spark, notices, size).collect())
-    every = F.array(*[F.lit(h) for h in sorted({h for _, shingles in known for h in shingles})])
+    may_be = _filter({h for _, shingles in known for h in shingles})
     # Templates of similar size share windows, a little wider than the widest and at a grid of a quarter of it.
     classes: dict[int, list] = {}
     for licence, shingles in known:
@@ -103,12 +106,12 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, id_col: str = "doc_
         starts = [last - k * grid for k in range(-(-(width - grid) // grid) + 1)]
         return F.array(*[F.struct(F.lit(power).alias("power"), F.greatest(x, F.lit(0)).cast("int").alias("start")) for x in starts])
 
-    texts = _with_shingles(docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")), "text", size)
-    # Only windows with some template's shingle can match; the texts without any are told at once.
-    places = F.transform(F.filter(F.transform("s", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: F.array_contains(every, x["h"])), lambda x: x["i"])
-    texts = texts.withColumn("places", F.when(F.arrays_overlap("s", every), places).otherwise(F.array().cast("array<int>")))
+    found_at = _with_shingles(docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")), "text", size)
+    # Only windows with some template's shingle can match; a filter of fixed size passes all of them and hardly another.
+    places = F.transform(F.filter(F.transform("s", lambda h, i: F.struct(i.alias("i"), may_be(h).alias("on"))), lambda x: x["on"]), lambda x: x["i"])
+    found_at = found_at.withColumn("places", F.when(F.exists("s", may_be), places).otherwise(F.array().cast("array<int>")))
     near = F.array_distinct(F.flatten(F.transform("places", lambda p: F.flatten(F.array(*[windows_of(p, power) for power in sorted(classes)])))))
-    marked = texts.select("id", "s", near.alias("near"), F.monotonically_increasing_id().alias("row"))
+    marked = found_at.select("id", "s", near.alias("near"), F.monotonically_increasing_id().alias("row"))
     width = F.create_map(*[F.lit(x) for power in sorted(layout) for x in (power, layout[power][1])])
     windows = marked.select("id", "row", "s", F.explode("near").alias("x")).select("id", "row", "x.power", "x.start", F.array_distinct(F.slice("s", F.col("x.start") + 1, F.element_at(width, F.col("x.power")))).alias("held"))
     windows = kept(windows, "licence-windows")
@@ -119,8 +122,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, id_col: str = "doc_
         probes = windows.filter(F.col("power") == power).select("id", "row", "start", "held", F.explode(F.array_distinct(_band_keys("held", bands, rows))).alias("key"))
         names = spark.createDataFrame(members, "licence string, shingles array<bigint>")
         keyed = names.select("licence", "shingles", F.explode(F.array_distinct(_band_keys("shingles", bands, rows))).alias("key"))
-        # The templates are the caller's bounded list.
-        pairs = probes.join(F.broadcast(keyed), "key")
+        sent = sum(len(shingles) for _, shingles in members) * bands <= _SENT
+        pairs = probes.join(F.broadcast(keyed) if sent else keyed, "key")
         share = F.size(F.array_intersect("shingles", "held")) / F.size("shingles")
         hits = pairs.select("id", "row", "licence", "start", share.alias("containment")).filter(F.col("containment") >= containment)
         found = hits if found is None else found.unionByName(hits)

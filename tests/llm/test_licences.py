@@ -13,10 +13,10 @@ def shingles(w, k=5):
     return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([tuple(w)] if w else [])
 
 
-MIT, APACHE = L.NOTICES["MIT-text"], L.NOTICES["Apache-2.0"]
+MIT, APACHE = L.TEMPLATES["MIT-text"], L.TEMPLATES["Apache-2.0"]
 PAIRS = [
     (1, f"Some words first. {APACHE}\nAnd more words after the notice."), (2, MIT.upper()), (3, MIT.replace("without restriction, including", "with no limit and also")), (4, " ".join(words(MIT)[: len(words(MIT)) // 2])),
-    (5, None), (6, ""), (7, "nothing of the kind " * 500 + L.NOTICES["GPL-3.0-header"] + " tail" * 300), (7, "nothing of the kind " * 500 + L.NOTICES["GPL-3.0-header"] + " tail" * 300), (None, L.NOTICES["MIT"]), (9, "Released under the"), (10, f"{APACHE} {APACHE}"),
+    (5, None), (6, ""), (7, "nothing of the kind " * 500 + L.TEMPLATES["GPL-3.0-header"] + " tail" * 300), (7, "nothing of the kind " * 500 + L.TEMPLATES["GPL-3.0-header"] + " tail" * 300), (None, L.TEMPLATES["MIT"]), (9, "Released under the"), (10, f"{APACHE} {APACHE}"),
 ]
 
 
@@ -24,7 +24,7 @@ def expected():
     out = []
     for i, text in PAIRS:
         s = shingles(words(text))
-        for name, notice in L.NOTICES.items():
+        for name, notice in L.TEMPLATES.items():
             t = set(shingles(words(notice)))
             width = len(t) + max(1, len(t) // 4)
             if any(len(t & set(s[k : k + width])) >= 0.8 * len(t) for k in range(len(s))):
@@ -52,3 +52,25 @@ def test_no_python_on_the_way(docs_of):
 
 def test_empty_table(empty_docs):
     assert L.scan(empty_docs).count() == 0
+
+
+def test_every_template_is_found(docs_of):
+    """Bodies and notices among other words, with a name put in and line ends moved."""
+    names = sorted(L.TEMPLATES)
+    assert {"LGPL-2.1", "BSD-2-Clause-body", "EPL-2.0", "BSL-1.0-body", "Zlib-body", "MIT-body"} <= set(names)
+    filler = " ".join(f"other{k}" for k in range(300))
+    rows = [(k, f"{filler} Copyright 2020 Somebody\n" + L.TEMPLATES[n].replace(". ", ".\n   ") + f" {filler}") for k, n in enumerate(names)]
+    rows += [(1000, filler), (1001, "Distributed under the MIT License"), (1002, "licensed under cc by 4.0 and more")]
+    found = {}
+    for r in L.scan(docs_of(rows)).collect():
+        found.setdefault(r["id"], set()).add(r["licence"])
+    assert all(n in found[k] for k, n in enumerate(names)) and 1000 not in found
+    assert found[1001] == {"MIT-distributed"} and "CC-BY-4.0-short" in found[1002]
+
+
+def test_filter_passes_every_shingle(spark):
+    held = {h * 0x9E3779B97F4A7C15 % (1 << 63) - (1 << 62) for h in range(1, 3000)}
+    test = L._filter(held)
+    df = spark.createDataFrame([(h,) for h in held], "h long")
+    assert df.filter(test(L.F.col("h"))).count() == len(held)
+    assert spark.range(200_000).filter(test(L.F.xxhash64("id"))).count() < 20
