@@ -74,7 +74,7 @@ def _soft(f, s, c):
     return c + s * np.logaddexp(0.0, (f - c) / s)
 
 
-def _log_flux(f, s, c):
+def log_flux_of(f, s, c):
     """Flux image to log space, with the linear limit far below a zero floor."""
     u, value = (f - c) / s, _soft(f, s, c)
     limit = (value <= 0) | ((c == 0) & (u < LINEAR_BELOW))
@@ -95,7 +95,7 @@ def _exact(x, s, c):
 
 
 soften_image = _pixelwise(_soft)
-to_x = _pixelwise(_log_flux)
+to_x = _pixelwise(log_flux_of)
 to_flux = _pixelwise(_flux)
 to_flux_exact = _pixelwise(_exact)
 
@@ -132,15 +132,17 @@ def centre_crop(image: Column, size: int) -> Column:
     return crop(image, size, start, start)
 
 
+def turned(a: np.ndarray, element: int) -> np.ndarray:
+    """An image under one of the square's eight symmetries."""
+    if not 0 <= element < 8:
+        raise ValueError(f"k must lie in 0..7, got {element}")
+    a = np.rot90(a, element % 4)
+    return a[:, ::-1] if element >= 4 else a
+
+
 @arrow_function(DOUBLES)
 def _turned(image: pd.Series, k: pd.Series) -> pd.Series:
-    def one(pixels, element):
-        if not 0 <= element < 8:
-            raise ValueError(f"k must lie in 0..7, got {element}")
-        a = np.rot90(square(pixels), element % 4)
-        return (a[:, ::-1] if element >= 4 else a).ravel()
-
-    return pd.Series(each(one, image, k))
+    return pd.Series(each(lambda pixels, element: turned(square(pixels), element).ravel(), image, k))
 
 
 def dihedral(image: Column, k) -> Column:

@@ -33,16 +33,11 @@ def batch_plan(df: DataFrame, batch_size: int, seed, epochs: int, sizes: Sequenc
 
 
 def batches(df: DataFrame, plan: DataFrame, cfg: TransformSettings, patch: PatchSettings, key: str, seed=0, manifest: DataFrame | None = None) -> DataFrame:
-    """The planned batches as rows (batch_id, slot, key, out_size, image), one size at a time.
+    """The planned batches as rows (batch_id, slot, key, out_size, image), whatever their sizes, from one join of the stamps.
 
     With a manifest a plan that holds a stamp not usable under `patch` loses it; plan from `usable` stamps.
     """
-    out = None
     df = df if manifest is None else usable(df, patch, manifest)
-    drawn = plan.withColumn("_draw", F.concat_ws(":", "batch_id", "slot"))
-    for size in patch.training_sizes:
-        rows = df.join(drawn.where(F.col("out_size") == size), key)
-        made = make_batch(rows, cfg, patch, "_draw", seed, augment=True, out_size=size)
-        made = made.select("batch_id", "slot", key, "out_size", "image")
-        out = made if out is None else out.unionByName(made)
-    return out
+    drawn = plan.where(F.col("out_size").isin([int(s) for s in patch.training_sizes])).withColumn("_draw", F.concat_ws(":", "batch_id", "slot"))
+    made = make_batch(df.join(drawn, key), cfg, patch, "_draw", seed, augment=True, out_size=F.col("out_size"))
+    return made.select("batch_id", "slot", key, "out_size", "image")

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stampmill.cuts import TransformSettings
-from stampmill.operators import gate as g, images as im, manifest as m, pairs as pr, spectra as sp
+from stampmill.cuts import PatchSettings, TransformSettings
+from stampmill.operators import batches as bt, gate as g, images as im, manifest as m, pairs as pr, spectra as sp
 from stampmill.plans import extraction as ex
 from stampmill.plans.preparation import prepare
 from stampmill.queries import gate as qg, walk as qw
@@ -112,3 +112,26 @@ def test_pixels_are_read_by_patch(spark, inputs, tmp_path):
     assert {k for k in attempted if k[0] % 3 == 0} <= lost and lost
     plain = ex.extract(hosts, found, contributed, pixels.drop("tract", "patch"), **args)
     assert manifest(plain) == manifest(ex.extract(hosts, found, contributed, table, **args))
+
+
+def test_a_stamp_goes_to_python_once(spark):
+    """Filling, pooling, blending, the log map, despeckling and turning are one kernel, and mixed sizes are one join."""
+    cfg = TransformSettings(softening=30.0, pooled_noise_ratio=1.1, fill_no_data=True, despeckle_max_pixels=2)
+    stamps = stamps8(spark, SF).where("stamp_id < 40")
+    made = im.make_batch(stamps, cfg, PATCH, "stamp_id", seed=1, augment=True)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    assert plan.count("ArrowEvalPython") == 1 and {"n_filled", "n_blobs_removed"} <= set(made.columns)
+    # The same steps one by one.
+    steps = im.to_log_space(im.to_grid(im.fill_no_data(stamps), PATCH, "stamp_id", 1, True), cfg, PATCH)
+    steps = im.random_dihedral(steps, "stamp_id", 1) if PATCH.dihedral else steps
+    assert rows(made.select("stamp_id", "n_blobs", F.posexplode("image"))) == rows(steps.select("stamp_id", "n_blobs", F.posexplode("image")))
+    sizes = PatchSettings(native_size=8, out_size=4, out_sizes=(4, 2), pool_factor=2)
+    planned = bt.batch_plan(stamps, 8, 3, 2, sizes.training_sizes, "stamp_id")
+    mixed = bt.batches(stamps, planned, CFG, sizes, "stamp_id", seed=3)
+    assert {(r["out_size"], r["n"]) for r in mixed.select("out_size", F.size("image").alias("n")).distinct().collect()} == {(4, 16), (2, 4)}
+    text = mixed._jdf.queryExecution().executedPlan().toString()
+    assert text.count("embeddings.parquet") == 1 or text.count("FileScan") <= 2
+    for size in sizes.training_sizes:
+        alone = im.make_batch(stamps.join(planned.where(F.col("out_size") == size).withColumn("_d", F.concat_ws(":", "batch_id", "slot")), "stamp_id"), CFG, sizes, "_d", 3, True, size)
+        pick = lambda df: rows(df.select("batch_id", "slot", F.posexplode("image")))
+        assert pick(mixed.where(F.col("out_size") == size)) == pick(alone)
