@@ -99,10 +99,26 @@ def pair_table(df: DataFrame, key: str, n: int | None = None, seed=0) -> DataFra
         F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("least").alias("min"), F.max("most").alias("max")).where("n_pairs > 0")
 
 
+def _bin_edges(pairs: DataFrame, most: int = 1 << 14) -> np.ndarray:
+    """Distinct distances within one block, thinned."""
+
+    @arrow_function(DOUBLES)
+    def some(x: pd.Series, y: pd.Series, same: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(x, y, same):
+            d = np.unique(_once(*row))
+            out.append(d if d.size <= most else d[np.linspace(0, d.size - 1, most).astype(int)])
+        return pd.Series(out, dtype=object)
+
+    held = pairs.where("x IS NOT NULL").limit(1).select(some("x", "y", "same").alias("d")).first()
+    return np.array(held["d"] if held else [], dtype=float)
+
+
 def pair_distances(df: DataFrame, key: str, n: int | None = 512, seed=0) -> DataFrame:
     """One row on the distances of all pairs of a sample: moments, range, exact percentiles.
 
-    Percentiles come from repeated bin counts over the block pairs (see `quantiles.refine`).
+    Moments and the counts of all bins come from forming the distances once; percentiles whose bins hold several
+    values are looked for within those by forming them again (see `quantiles.refine`).
     """
     if n is not None:
         df = df.join(sample_n(df.select(key), n, seed, key), key, "left_semi")
@@ -113,16 +129,27 @@ def pair_distances(df: DataFrame, key: str, n: int | None = 512, seed=0) -> Data
     pairs = block_pairs(blocks, _n_blocks(blocks)).select(
         _vectors(F.col("left")).alias("x"), _vectors(F.col("right")).alias("y"), (F.col("a") == F.col("b")).alias("same"))
 
-    @arrow_function(struct(n=LONG, total=DOUBLE, squares=DOUBLE, least=DOUBLE, most=DOUBLE))
+    # One block's own distances place the bins; whichever they are, the counts add up to ranks.
+    edges = _bin_edges(pairs.where("same"))
+
+    @arrow_function(struct(n=LONG, total=DOUBLE, squares=DOUBLE, least=DOUBLE, most=DOUBLE, bin=LONGS, held=LONGS, lo=DOUBLES, hi=DOUBLES))
     def moments(x: pd.Series, y: pd.Series, same: pd.Series) -> pd.DataFrame:
         out = []
         for row in zip(x, y, same):
-            d = _once(*row)
-            out.append((d.size, d.sum(), (d * d).sum(), d.min(), d.max()) if d.size else (0, 0.0, 0.0, None, None))
-        return pd.DataFrame(out, columns=["n", "total", "squares", "least", "most"])
-
-    m = pairs.select(moments("x", "y", "same").alias("m")).select("m.*").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most")).first()
+            d = np.sort(_once(*row))
+            if not d.size:
+                out.append((0, 0.0, 0.0, None, None, [], [], [], []))
+                continue
+            # An edge has a bin of its own, between those of the distances below and above it.
+            names, first, held = np.unique(np.searchsorted(edges, d, "left") + np.searchsorted(edges, d, "right"), return_index=True, return_counts=True)
+            out.append((d.size, d.sum(), (d * d).sum(), d[0], d[-1], names, held, d[first], d[first + held - 1]))
+        return pd.DataFrame(out, columns=["n", "total", "squares", "least", "most", "bin", "held", "lo", "hi"])
+
+    # Kept, so that moments and bins come from forming the distances once.
+    once = settle(pairs.select(moments("x", "y", "same").alias("m")).select("m.*"))
+    m = once.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most")).first()
+    told = once.select(F.explode(F.arrays_zip("bin", "held", "lo", "hi")).alias("e")).select("e.*").groupBy("bin")
+    bins = sorted((r["bin"], r["n"], r["lo"], r["hi"]) for r in told.agg(F.sum("held").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())
 
     def count_bins(brackets):
         limits = [(lo, hi) for _, lo, hi in brackets]
@@ -148,7 +175,7 @@ def pair_distances(df: DataFrame, key: str, n: int | None = 512, seed=0) -> Data
         counted = long.groupBy("id", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         return [(r["id"], r["bin"], r["n"], r["lo"], r["hi"]) for r in counted.collect()]
 
-    p50, p90, p99 = refine({(): (m["n"], m["least"], m["most"])}, (0.5, 0.9, 0.99), count_bins)[()]
+    p50, p90, p99 = refine({(): (m["n"], m["least"], m["most"])}, (0.5, 0.9, 0.99), count_bins, {(): bins})[()]
     x = df.agg(F.min(F.array_min("image").cast("double")).alias("lo"), F.max(F.array_max("image").cast("double")).alias("hi")).first()
     mean = m["total"] / m["n"]
     std = math.sqrt(max(m["squares"] / m["n"] - mean * mean, 0.0))

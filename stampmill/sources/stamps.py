@@ -83,7 +83,8 @@ def repack(df: DataFrame, path: str, rows_per_file: int, order: tuple[str, ...],
     placed = file_map(df, rows_per_file, order)
     n_files = (placed.agg(F.max("file_id")).first()[0] or 0) + 1
     tasks = min(int(n_files), tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    whole = df.join(placed, list(order)).repartition(tasks, "file_id").sortWithinPartitions("file_id", "row_index").drop("row_index")
+    # By range of files, so that every task gets its share of them.
+    whole = df.join(placed, list(order)).repartitionByRange(tasks, "file_id").sortWithinPartitions("file_id", "row_index").drop("row_index")
     whole.write.option("maxRecordsPerFile", rows_per_file).mode(mode).parquet(path)
 
 

@@ -41,15 +41,28 @@ def tallies(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/tallies").groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def add_to_total(batch: DataFrame, batch_id: int, out: str, size: int) -> None:
+    """Add a batch's summed spectrum to the total of all batches before it.
+
+    Two places take turns: a batch reads the one that it does not write, so it can be run again after a failure
+    and adds once, and the disk holds two totals however many batches there are.
+    """
+    total = power_state(batch, size)
+    if batch_id > 0:
+        total = merge_states(total, batch.sparkSession.read.parquet(_turn(out, batch_id - 1)).drop("batch"))
+    total.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(_turn(out, batch_id))
+
+
+def _turn(out: str, batch_id: int) -> str:
+    return f"{out}/total/turn={batch_id % 2}"
+
+
 def stream_acf(spark: SparkSession, source: str, out: str, schema, size: int, files_per_batch: int = 64):
-    """Keep the summed spectrum of all stamps seen so far; each batch adds its own to the last total."""
+    """Keep the summed spectrum of all stamps seen so far."""
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        total = power_state(batch, size)
-        if batch_id > 0:
-            total = merge_states(total, batch.sparkSession.read.parquet(f"{out}/total/batch={batch_id - 1}"))
-        total.write.mode("overwrite").parquet(f"{out}/total/batch={batch_id}")
+        add_to_total(batch, batch_id, out, size)
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/_progress").trigger(availableNow=True).start()
 
@@ -58,4 +71,4 @@ def running_state(spark: SparkSession, out: str) -> DataFrame:
     """The newest total."""
     totals = spark.read.parquet(f"{out}/total")
     last = totals.agg(F.max("batch")).first()[0]
-    return totals.where(F.col("batch") == last).drop("batch")
+    return totals.where(F.col("batch") == last).drop("batch", "turn")

@@ -7,6 +7,8 @@ from stampmill.operators import walk as w
 from stampmill.queries import gate as qg
 from stampmill.queries.views import stamps32
 from stampmill.sources import catalogue as sc, stamps as ss, tables as st
+from stampmill.operators import spectra as sp
+from stampmill.queries.views import stamps8
 from stampmill.streaming import stamp_streams
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +150,15 @@ def test_a_stream_run_again_changes_nothing(spark, tmp_path):
     stamp_streams.stream_extract(spark, source, out, first.schema, qg.CUTS).awaitTermination()
     assert stamp_streams.manifest(spark, out).count() == first.count()
     assert stamp_streams.tallies(spark, out).collect() == __import__("stampmill.operators.manifest", fromlist=["x"]).rejection_counts(qg.manifest32(spark, SF)).collect()
+
+
+def test_a_batch_run_twice_adds_once(spark, tmp_path):
+    """Totals take turns in two places, so the disk stays as it is and a failed batch starts over."""
+    out, stamps = str(tmp_path), stamps8(spark, SF)
+    parts = [stamps.where(F.col("stamp_id") % 5 == k) for k in range(5)]
+    values = lambda df: {r["lag"]: r["value"] for r in sp.autocorrelation(df).collect()}
+    for k in (0, 1, 1, 2, 3, 3, 4):
+        stamp_streams.add_to_total(parts[k], k, out, 8)
+        assert len(list((tmp_path / "total").iterdir())) == min(k + 1, 2)
+    whole, running = values(sp.power_state(stamps, 8)), values(stamp_streams.running_state(spark, out))
+    assert whole.keys() == running.keys() and all(running[k] == pytest.approx(whole[k]) for k in whole)
