@@ -134,7 +134,17 @@ def op1_suffix_dedup(spark, sf_dir):
     return repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("id", "doc_id").drop("spans")
 
 
-@query("op13_debruijn_dedup")
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) > 34)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY t) AS c FROM windows) WHERE c > 1),
+gone AS (SELECT DISTINCT r, i + unnest(range(35)) AS p FROM again),
+rest AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS k FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone g WHERE g.r = d.r)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN rest USING (r)
+"""
+
+
+@query("op13_debruijn_dedup", _OP13)
 def op13_debruijn_dedup(spark, sf_dir):
     """Words of every document that lie in a window of 35 words met elsewhere."""
     from stampmill.llm.debruijn import repeats
