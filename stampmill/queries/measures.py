@@ -224,10 +224,25 @@ def m13_pairs(spark, sf):
     return rounded_all(me.sigma_range(me.set_stats(x).withColumn("pair_max", F.lit(widest))).select("sigma_min", "sigma_max"), 5)
 
 
-@query("m14_n_steps")
+# The overlap of two shells is a piece of the normal curve, summed by Simpson's rule; halving finds the ratio at which it is a half.
+_DIM, _PIECES = 16, 2000
+_EDGE = lambda side: f"({_DIM ** 0.5}e0 * (g - 1) {side} 3e0 * g)"
+_OVERLAP = (f"list_sum(list_transform(range({_PIECES + 1}), lambda j: (CASE WHEN j = 0 OR j = {_PIECES} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* exp(-((low + j * (high - low) / {_PIECES}e0) ** 2) / 2))) * (high - low) / {_PIECES}e0 / 3 / sqrt(2 * pi())")
+_GAMMA = f"""halved AS (SELECT 0 AS k, 1e0 + 1e-9 AS a, {me.WIDEST_RATIO}e0 AS b UNION ALL
+  SELECT k + 1, CASE WHEN {_OVERLAP} > {me.SHELL_OVERLAP} THEN g ELSE a END, CASE WHEN {_OVERLAP} > {me.SHELL_OVERLAP} THEN b ELSE g END FROM (
+    SELECT *, greatest({_EDGE('-')}, -9e0) AS low, least({_EDGE('+')}, 9e0) AS high FROM (SELECT *, (a + b) / 2 AS g FROM halved WHERE k < 80)))"""
+
+
+@query("m14_n_steps", XPX_CTES + "," + _GAMMA + """, per AS (SELECT band_idx, stamp_id, max(v) - min(v) AS r FROM xpx GROUP BY band_idx, stamp_id),
+  range99 AS (SELECT band_idx, quantile_cont(r, 0.99) AS r99 FROM per GROUP BY band_idx),
+  levels AS (SELECT xpx.band_idx, greatest(1e-3, 5e-2 * (quantile_cont(v, 0.84) - quantile_cont(v, 0.16)) / 2) AS lo, greatest(2 * stddev_pop(v), any_value(r99)) AS hi
+    FROM xpx JOIN range99 USING (band_idx) GROUP BY xpx.band_idx)
+  SELECT band_idx, round(lo, 6) AS sigma_min, round(hi, 6) AS sigma_max, round(a, 6) AS gamma, CAST(ceil(greatest(ln(hi / lo) / ln(a), 1)) AS BIGINT) AS n_steps
+  FROM levels, (SELECT a FROM halved WHERE k = 80)""")
 def m14(spark, sf):
-    stats = me.sigma_range(me.set_stats(xstamps(spark, sf), by=("band_idx",)), "per-pixel").withColumn("dim", F.lit(16))
-    return me.n_steps(stats).select("band_idx", "sigma_min", "sigma_max", "gamma", "n_steps")
+    stats = me.sigma_range(me.set_stats(xstamps(spark, sf), by=("band_idx",)), "per-pixel").withColumn("dim", F.lit(_DIM))
+    return rounded_all(me.n_steps(stats).select("band_idx", "sigma_min", "sigma_max", "gamma", "n_steps"))
 
 
 @query("m20_prepare")
