@@ -84,7 +84,8 @@ def i12(spark, sf):
 
 
 # Connected blobs as closed sets: a lit pixel's label is the smallest index it can reach.
-_BLOB_SQL = """lit AS (SELECT stamp_id, i, y, x, v FROM px8 WHERE v > sky_noise),
+def _blob_sql(lit):
+    return f"""lit AS ({lit}),
 reach AS (
   SELECT stamp_id, i AS root, i, y, x FROM lit
   UNION
@@ -93,6 +94,9 @@ blob AS (SELECT stamp_id, i, min(root) AS blob FROM reach GROUP BY stamp_id, i),
 sized AS (SELECT *, count(*) OVER (PARTITION BY stamp_id, blob) AS n FROM blob)"""
 
 
+_BLOB_SQL = _blob_sql("SELECT stamp_id, i, y, x, v FROM px8 WHERE v > sky_noise")
+
+
 def _despeckled(spark, sf):
     return im.despeckle(stamps8(spark, sf), F.col("sky_noise"), F.lit(0.0), 3)
 
@@ -136,7 +140,9 @@ def i15(spark, sf):
     return pixels(im.to_log_space(pooled(spark, sf), CFG, PATCH))
 
 
-@query("i15_to_log_space_despeckled")
+@query("i15_to_log_space_despeckled", BLEND_CTES + f""", logged AS (SELECT stamp_id, py * 4 + px AS i, py AS y, px AS x, {log_sql('f', FLOOR)} AS v,
+  {log_sql(f'(2e0 * {FLOOR})', FLOOR)} AS least, {log_sql('0e0', FLOOR)} AS level FROM blended),""" + _blob_sql("SELECT stamp_id, i, y, x, v FROM logged WHERE v > least")
+       + " SELECT p.stamp_id, p.i, round(CASE WHEN s.n <= 2 THEN level ELSE v END, 6) AS v FROM logged p LEFT JOIN sized s ON s.stamp_id = p.stamp_id AND s.i = p.i")
 def i15_despeckled(spark, sf):
     cfg = TransformSettings(softening=S, pooled_noise_ratio=1.1, despeckle_max_pixels=2)
     return pixels(im.to_log_space(pooled(spark, sf), cfg, PATCH))
@@ -200,10 +206,22 @@ def holed(spark, sf):
         cast(0 as float), if(host_id % 5 = 1 and i = 700, cast('NaN' as float), v)))"""))
 
 
-@query("i7_fill_no_data")
+# All sweeps at once: the stamp as a list, hole pixels inside the frame take the mean of their neighbours.
+_FILLED = f"""holed AS (SELECT s, i, y, x, v, v = 0 OR (s % 3 <> 0 AND y BETWEEN 5 AND 7 AND x BETWEEN 9 AND 11) OR (s % 5 = 1 AND i = 700) AS hole FROM stamp_px),
+frame AS (SELECT s, greatest(min(y) - {im.FILL_PAD}, 0) AS y0, least(max(y) + {im.FILL_PAD}, 31) AS y1, greatest(min(x) - {im.FILL_PAD}, 0) AS x0, least(max(x) + {im.FILL_PAD}, 31) AS x1,
+  count(*) AS n FROM holed WHERE hole GROUP BY s),
+rim AS (SELECT s, avg(v) AS start FROM holed JOIN frame USING (s) WHERE NOT hole AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY s),
+laid AS (SELECT s, n, list(CASE WHEN hole THEN start ELSE v END ORDER BY i) AS a, list(hole AND y > y0 AND y < y1 AND x > x0 AND x < x1 ORDER BY i) AS moving
+  FROM holed JOIN frame USING (s) JOIN rim USING (s) GROUP BY s, n),
+swept AS (SELECT 0 AS k, s, n, a, moving FROM laid UNION ALL
+  SELECT k + 1, s, n, list_transform(range(1, 1025), lambda j: CASE WHEN moving[j] THEN (a[j - 32] + a[j + 32] + a[j - 1] + a[j + 1]) / 4 ELSE a[j] END), moving FROM swept WHERE k < {im.FILL_SWEEPS}),
+done AS (SELECT s, n, unnest(range(1024)) AS i, unnest(a) AS v FROM swept WHERE k = {im.FILL_SWEEPS} UNION ALL SELECT s, 0, i, v FROM stamp_px WHERE s NOT IN (SELECT s FROM frame))"""
+
+
+@query("i7_fill_no_data", ctes("px32") + "," + _FILLED + " SELECT s AS host_id, n AS n_filled, CAST(i AS INT) AS i, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 3) AS v FROM done")
 def i7(spark, sf):
     out = im.fill_no_data(holed(spark, sf))
-    return out.select("host_id", "n_filled", F.posexplode("image").alias("i", "v"))
+    return out.select("host_id", "n_filled", F.posexplode("image").alias("i", "v")).withColumn("v", rounded(F.col("v").cast("double"), 3))
 
 
 @query("a15_fill_report", ctes("px32") + """SELECT count(*) AS n_stamps, count(*) FILTER (n > 0) AS n_stamps_filled, CAST(sum(n) AS BIGINT) AS n_pixels_filled, max(n) AS largest_hole_px
