@@ -128,10 +128,10 @@ def op7_licence_scan(spark, sf_dir):
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
-    """Bytes of every document that lie in a 400-byte string met elsewhere."""
+    """Bytes of every document that lie in a 400-byte string met elsewhere, and places of shorter passages shared with others."""
     from stampmill.llm.suffixes import repeats
 
-    return repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("id", "doc_id").drop("spans")
+    return repeats(table(spark, sf_dir, "documents"), length=400, short=256).withColumnRenamed("id", "doc_id").drop("spans")
 
 
 _OP13 = rf"""

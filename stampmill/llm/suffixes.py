@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampmill.llm.tables import kept, whole
+from stampmill.llm.tables import dropped, kept, whole
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bytes of text that one step of a task holds as arrays; strings in one run and in one stored segment.
@@ -392,17 +392,44 @@ def _splitters(runs: DataFrame, piece: int, length: int, window: int) -> list[by
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, piece: int = 1 << 14, segment: int = _SEGMENT) -> DataFrame:
+def _shared_places(texts: DataFrame, short: int) -> DataFrame:
+    """i, d, n_shared: for ids and digests that have any, the anchors of strings of `short` bytes whose context begins in another row too.
+
+    Every string of `short` bytes that is met in another row holds such an anchor; the context is about half as long.
+    """
+    id_type = dict(texts.dtypes)["id"]
+
+    def anchor(batches):
+        find = Anchors(short)
+        for batch in batches:
+            found = pa.array([h.view(np.int64) for h, _ in find([t.encode() for t in batch.column("text").to_pylist()])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), found], ["id", "digest", "hashes"])
+
+    found = texts.select("id", "digest", "text").mapInArrow(anchor, f"id {id_type}, digest long, hashes array<long>")
+    found = kept(found.withColumn("row", F.monotonically_increasing_id()), "short-anchors")
+    each = found.select("row", F.explode("hashes").alias("h"))
+    apart = kept(each.groupBy("h").agg(F.min("row").alias("x"), F.max("row").alias("y")).filter(F.col("x") != F.col("y")).select("h"), "shared-contexts")
+    counted = each.join(apart, "h").groupBy("row").agg(F.count("*").alias("n"))
+    out = found.select("row", F.col("id").alias("i"), F.col("digest").alias("d")).join(counted, "row").groupBy("i", "d").agg(F.max("n").alias("n_shared"))
+    out = kept(out, "shared-places")
+    dropped(found, apart)
+    return out
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, piece: int = 1 << 14, segment: int = _SEGMENT, short: int | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans: the repeated bytes of every row.
 
     A byte is removed when a string of `length` bytes that covers it also begins anywhere else in the
     rows, the same text included; strings never reach over two rows. Texts count as UTF-8 bytes; null is
     empty. Rows that repeat in id and text repeat each other, so their long texts go whole. Empty
-    table: empty. `spans` are the maximal removed runs as [start, end) in bytes.
+    table: empty. `spans` are the maximal removed runs as [start, end) in bytes. With `short` a column
+    n_shared follows: places that a passage too short to be removed shares with other rows, at least one in
+    every string of `short` bytes that is met in another row.
     """
     window = length // 2
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     id_type = dict(texts.dtypes)["id"]
+    shared = _shared_places(texts, short) if short else None
 
     def anchor(batches):
         find = Anchors(length)
@@ -518,9 +545,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     cleaned = bodies.join(strings, "row").mapInArrow(remove, "row long, n_removed long, n_spans long, kept string, spans array<array<int>>")
     known = rows.select("i", "d", "row").join(cleaned, "row").drop("row")
     every = anchors.select("id", "digest", "n_bytes", "sha")
-    return every.join(known, every["id"].eqNullSafe(known["i"]) & (every["digest"] == known["d"]), "left").select(
+    told = every.join(known, every["id"].eqNullSafe(known["i"]) & (every["digest"] == known["d"]), "left").drop("i", "d")
+    more = []
+    if shared is not None:
+        told = told.join(shared, told["id"].eqNullSafe(shared["i"]) & (told["digest"] == shared["d"]), "left")
+        more = [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared")]
+    return told.select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
+        F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"), *more,
     )
 
 

@@ -94,3 +94,32 @@ def test_kept_bytes(docs_of):
     docs = docs_of(pairs, extra=False)
     got = {r["id"]: bytes(r["kept"]) for r in S.remove_spans(docs, S.repeats(docs, length=40)).collect()}
     assert got == {1: b"x" * 10, 2: b"y", 3: b""}
+
+
+def test_passages_too_short_to_be_removed(docs_of):
+    """Passages of 50 to 120 words in pairs of documents: removed from 400 bytes on, told as shared below that; other documents are left alone."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, size = [], {}
+    for k, n in enumerate(range(50, 121, 5)):
+        passage = words(n)
+        for _ in range(2):
+            size[len(rows)] = len(passage)
+            rows.append((len(rows), f"{words(rng.randint(0, 80))} {passage} {words(rng.randint(0, 80))}"))
+    clean = [(1000 + k, words(150)) for k in range(20)]
+    line = words(40)
+    clean.append((1100, f"{line}\n{words(20)}\n{line}"))  # repeats itself, shares nothing
+    found = {r["id"]: r for r in S.repeats(docs_of(rows + clean), short=256).collect()}
+    for key, length in size.items():
+        assert found[key]["n_shared"] > 0 and (found[key]["n_removed"] >= length - 2 if length >= 400 else True)
+    assert any(found[k]["n_removed"] == 0 for k in size) and all(found[k]["n_shared"] == 0 and found[k]["n_removed"] == 0 for k, _ in clean)
+    assert "n_shared" not in S.repeats(docs_of(clean)).columns
+
+
+def test_shared_places_of_odd_rows(docs_of, empty_docs):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, None), (2, ""), (None, long), (3, long), (3, long), (4, "short")]
+    got = {(r["id"], r["n_bytes"]): r["n_shared"] for r in S.repeats(docs_of(rows), short=256).collect()}
+    assert got[1, 0] == got[2, 0] == got[4, 5] == 0 and got[None, len(long)] > 0 and got[3, len(long)] > 0
+    assert S.repeats(empty_docs, short=256).collect() == []
