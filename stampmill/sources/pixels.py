@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from stampmill.operators.keyed import fetch
 
 LAYOUT = ("tract", "patch")
 
@@ -32,8 +34,8 @@ def read_pixels(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def from_patches(pixels: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the wanted hosts and bands, with the other columns of `wanted`.
 
-    The wanted keys, a handful of numbers each, go to the pixels; where the table is laid out by patch only the
-    folders of wanted patches are opened. Images stay where they are read.
+    The wanted keys, a handful of numbers each, go to the pixels while a count shows them to be few; where the table is
+    laid out by patch only the folders of wanted patches are opened then. Images stay where they are read.
     """
     on = [c for c in (*LAYOUT, "host_id", "band_idx") if c in pixels.columns]
-    return pixels.join(F.broadcast(wanted), on)
+    return fetch(pixels, wanted, on)
