@@ -11,7 +11,7 @@ from stampmill.queries import query
 from stampmill.queries.catalogue import CUTS, CUT_SQL, FLAG_SQL, HOSTS_CTES, MAG_SQL
 from stampmill.queries.gate import MANIFEST_CTES, MEASURES_SQL, manifest32, rounded, with_depth
 from stampmill.queries.measures import rounded_all
-from stampmill.queries.views import ctes, hash_sql, objects, run_log, stamps32
+from stampmill.queries.views import ctes, hash_sql, objects, run_log, stamps8, stamps32
 from stampmill.sources import catalogue as sc, stamps as ss, tables as st
 
 
@@ -132,6 +132,17 @@ def s9(spark, sf):
     return ss.gather(rows, asked)
 
 
+@query("s9_gather_images", ctes("px8") + f"""SELECT a.stamp_id AS ord, a.r AS row_index, round(sum(p.v * (p.i + 1)), 3) AS weighed
+  FROM (SELECT stamp_id, {hash_sql(13, 'stamp_id')} % (SELECT count(*) FROM px8 WHERE i = 0) AS r FROM px8 WHERE i = 0) a JOIN px8 p ON p.stamp_id = a.r GROUP BY a.stamp_id, a.r""")
+def s9_images(spark, sf):
+    from stampmill.functions.draws import draw
+
+    stamps = stamps8(spark, sf).select(F.col("stamp_id").alias("row_index"), "image")
+    asked = stamps.select(F.col("row_index").alias("ord"), F.pmod(draw(13, "row_index"), F.lit(stamps.count())).alias("row_index"))
+    weighed = F.aggregate(F.transform("image", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda t, v: t + v)
+    return ss.gather(stamps, asked).select("ord", "row_index", rounded(weighed, 3).alias("weighed"))
+
+
 # -- host population --------------------------------------------------------
 _PANELS = {
     "host size": ("sersic_reff_major", 40), "host distortion": ("(1 - q * q) / (1 + q * q)", 40), "host magnitude": (MAG_SQL, 40),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from stampmill.operators.keyed import fetch
+from stampmill.operators.lineage import settle
 from stampmill.operators.ordering import global_row_number
 
 SCHEMA_VERSION = 3
@@ -83,11 +85,21 @@ def repack(df: DataFrame, path: str, rows_per_file: int, order: tuple[str, ...],
     placed = file_map(df, rows_per_file, order)
     n_files = (placed.agg(F.max("file_id")).first()[0] or 0) + 1
     tasks = min(int(n_files), tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # By range of files, so that every task gets its share of them.
-    whole = df.join(placed, list(order)).repartitionByRange(tasks, "file_id").sortWithinPartitions("file_id", "row_index").drop("row_index")
+    # Each task gets its share of the files, told by number, so no pass over the images looks for bounds.
+    share = F.floor(F.col("file_id") * tasks / int(n_files)).cast("int")
+    whole = df.join(placed.withColumn("_task", share), list(order)).repartitionById(tasks, "_task").sortWithinPartitions("file_id", "row_index").drop("row_index", "_task")
     whole.write.option("maxRecordsPerFile", rows_per_file).mode(mode).parquet(path)
 
 
 def gather(df: DataFrame, indices: DataFrame) -> DataFrame:
-    """Rows by `row_index` in the asked order; an index asked twice comes twice. `indices` is (ord, row_index)."""
-    return indices.join(df, "row_index").orderBy("ord")
+    """Rows by `row_index` in the asked order; an index asked twice comes twice. `indices` is (ord, row_index).
+
+    Only the narrow asked table is sorted as a whole. Its places tell each row's task, images meet them where they
+    are read while the asked keys are few, and move once.
+    """
+    placed = settle(global_row_number(indices.select("ord", "row_index"), "ord", "row_index", name="_place"))
+    n = max(placed.count(), 1)
+    tasks = min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = placed.withColumn("_task", F.floor(F.col("_place") * tasks / n).cast("int"))
+    found = fetch(df, asked, ["row_index"]).repartitionById(tasks, "_task").sortWithinPartitions("_place")
+    return found.select("ord", "row_index", *[c for c in df.columns if c != "row_index"])

@@ -59,6 +59,11 @@ def test_gather_keeps_order_and_repeats(spark):
     df = stamps(spark).withColumn("row_index", F.col("host_id"))
     asked = spark.createDataFrame([(0, 9), (1, 2), (2, 9)], "ord int, row_index long")
     assert [r["host_id"] for r in ss.gather(df, asked).collect()] == [9, 2, 9]
+    many = spark.range(500).select((F.lit(499) - F.col("id")).cast("int").alias("ord"), (F.col("id") * 7 % 23).alias("row_index")).repartition(5)
+    out = ss.gather(df, many)
+    assert [r["host_id"] for r in out.collect()] == [(499 - k) * 7 % 23 for k in range(500)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and ss.gather(df, many.limit(0)).count() == 0
 
 
 def test_cached_selection(spark, tmp_path):
