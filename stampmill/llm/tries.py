@@ -62,8 +62,6 @@ def rebuilt(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return lent.unionByName(rest), plan.select("conv", "n")
 
 
-
-
 def _powers(first: int, count: int) -> np.ndarray:
     out = np.full(count, _MULTIPLIER, np.uint64)
     out[:1] = pow(_MULTIPLIER, first, 1 << 64)
