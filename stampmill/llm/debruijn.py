@@ -169,9 +169,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int
     kinds = some.groupBy("anchor").agg((F.min("own") != F.max("own")).alias("mixed"), F.min(F.struct("row", "first")).alias("source"))
     some_kinds = kept(kinds, "anchor-kinds")
     told = kept(some.join(some_kinds, "anchor").select("row", "first", "windows", "own", "mixed", F.col("source.row").alias("s_row"), F.col("source.first").alias("s_first")), "told-stretches")
-    dropped(some, some_kinds)
+    named = kept(filed.select("row", "id", "digest", "n_words", "sha"), "filed-rows")
+    dropped(some, some_kinds, filed)
     places = F.collect_list(F.when(F.col("mixed"), F.struct("first", "windows", "own")))
-    rows = filed.select("row", "id", "digest").join(told.groupBy("row").agg(places.alias("mixed")), "row")
+    rows = named.select("row", "id", "digest").join(told.groupBy("row").agg(places.alias("mixed")), "row")
     rows = rows.select(F.col("id").alias("i"), F.col("digest").alias("d"), "row", "mixed")
     # Rows that repeat in id and text would meet each other's places, so each pair of them is read once.
     first = kept(rows.groupBy("i", "d").agg(F.collect_list(F.struct("row", "mixed")).alias("rows")), "rows-of-texts")
@@ -255,7 +256,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int
     if refuted.agg(F.sum("wrong")).first()[0]:
         return None
     dropped(stored, counted, shares)
-    result = filed.select("row", "id", "n_words", "sha").join(cleaned.select("row", "n_removed", "kept", "spans"), "row", "left")
+    result = named.select("row", "id", "n_words", "sha").join(cleaned.select("row", "n_removed", "kept", "spans"), "row", "left")
     return result.select(
         "id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
