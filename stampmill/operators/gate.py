@@ -202,10 +202,18 @@ def pack_mask(df: DataFrame, planes: Iterable[str], out: str = "mask") -> DataFr
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text, ties to even on the exact value, `inf` for infinity."""
-    return F.when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(
-        F.format_string(f"%.{digits}f", F.bround(value, digits))
-    )
+    """Fixed-point text as printf writes it: ties to even on the exact value, the sign kept at zero, `inf` for infinity."""
+    scale, size = 10.0**digits, F.abs(value)
+    scaled = size * scale
+    # What rounding the product lost; below 2^16 each part has few enough bits to be exact.
+    high = F.floor(size * 2.0**20) / 2.0**20
+    lost = (high * scale - scaled) + (size - high) * scale
+    low = F.floor(scaled)
+    seeming_tie = (size < 2.0**16) & (scaled - low == 0.5) & (lost != 0)
+    nearest = F.when(seeming_tie, low + (lost > 0).cast("double")).otherwise(F.rint(scaled)) / scale
+    shown = F.when(scaled < 2.0**52, nearest).otherwise(size)
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    return F.concat(sign, F.when(size == float("inf"), "inf").otherwise(F.format_string(f"%.{digits}f", shown)))
 
 
 def _reason(test: Column, *text) -> Column:

@@ -87,6 +87,22 @@ def test_ties_are_rounded_to_even(spark):
     assert [r[0] for r in df.select(g.fixed(F.col("v"), 4)).collect()] == ["0.0312", "0.0938", "inf", "2.0000"]
 
 
+def test_a_small_negative_keeps_its_sign(spark):
+    image, variance, mask = scene(peak=0.0)
+    image[:] = -0.002745
+    assert run(spark, image, variance, mask, PatchCuts(min_centre_sigma=2.0))["reasons"] == ["empty_centre:-0.00<2.0"]
+
+
+@pytest.mark.parametrize("digits", [2, 4])
+def test_fixed_text_is_that_of_printf(spark, digits):
+    rng = np.random.default_rng(1)
+    seeming = [(2 * k + 1) / 10 ** (digits + 1) * 5 for k in range(3000)]  # 3.675 is a little under its own text
+    values = [-0.0, 0.0, -1e-9, -0.002745, 147 / 40, 3.625, 0.125, 5e-5, 99.995, 1e15 + 0.5, *seeming, *rng.normal(0, 50, 2000), *rng.integers(1, 400, 2000) / 40]
+    df = spark.createDataFrame([(i, float(s * v)) for i, v in enumerate(values) for s in (1, -1)], "i long, v double")
+    wrong = [(r["v"], r["t"]) for r in df.withColumn("t", g.fixed(F.col("v"), digits)).collect() if r["t"] != f"{r['v']:.{digits}f}"]
+    assert wrong == []
+
+
 def test_stale_plane_names_fail(spark):
     with pytest.raises(Exception, match="none of the gated planes"):
         run(spark, *scene(), planes={"SAT": 0})
