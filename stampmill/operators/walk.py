@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stampmill.functions.draws import draw
+from stampmill.operators.keyed import sendable
 from stampmill.operators.ordering import global_prefix_sum, global_row_number
 
 CELL_PX = 150
@@ -101,7 +103,8 @@ def walk_order(hosts: DataFrame, seed) -> DataFrame:
     shuffled = hosts.withColumn("shuffle", draw(seed, "objectId"))
     patches = shuffled.groupBy("tract", "patch").agg(F.min(F.struct("shuffle", "objectId")).alias("first"))
     ranked = global_row_number(patches.select("tract", "patch", "first.*"), "shuffle", "objectId", name="patch_rank")
-    return shuffled.join(ranked.select("tract", "patch", "patch_rank"), ["tract", "patch"])
+    # A patch holds most of what a task would read, so the ranks go to the hosts.
+    return shuffled.join(sendable(ranked.select("tract", "patch", "patch_rank")), ["tract", "patch"])
 
 
 WALK = ("patch_rank", "shuffle", "objectId")
@@ -152,11 +155,9 @@ def check_walk(walk: DataFrame, read: DataFrame, first: int = GUARD_HOSTS) -> Da
 
 def check_parts(parts: Sequence[DataFrame], walk: DataFrame) -> DataFrame:
     """(problem, tract, patch): patches in two parts, or in none. Empty when the parts are sound."""
-    listed = None
-    for p in parts:
-        patches = p.select("tract", "patch").distinct()
-        listed = patches if listed is None else listed.unionAll(patches)
-    twice = listed.exceptAll(listed.distinct()).distinct().withColumn("problem", F.lit("in two parts"))
-    lost = walk.select("tract", "patch").exceptAll(listed.distinct()).distinct()
-    lost = lost.join(listed, ["tract", "patch"], "left_anti").withColumn("problem", F.lit("in no part"))
-    return twice.unionByName(lost)
+    # A few rows a task and part: repeats go where they are read, no host is moved.
+    listed = [p.select("tract", "patch").distinct().withColumn("_n", F.lit(1)) for p in parts]
+    walked = walk.select("tract", "patch").distinct().withColumn("_n", F.lit(0))
+    told = reduce(DataFrame.unionAll, listed, walked).groupBy("tract", "patch").agg(F.sum("_n").alias("_parts"))
+    problem = F.when(F.col("_parts") > 1, "in two parts").when(F.col("_parts") == 0, "in no part")
+    return told.select("tract", "patch", problem.alias("problem")).where("problem IS NOT NULL")
