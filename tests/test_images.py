@@ -178,3 +178,10 @@ def test_one_noise_field_for_the_whole_ladder(spark):
     assert [r["sigma"] for r in rows] == pytest.approx([8, 4, 2, 1, 0.5])
     eps = [(np.array(r["image"]) - a.ravel()) / r["sigma"] for r in rows]
     assert eps[0] == pytest.approx(eps[4]) and abs(eps[0].mean()) < 0.2 and eps[0].std() == pytest.approx(1, abs=0.15)
+
+
+def test_the_log_chain_goes_to_python_once(spark):
+    cfg, patch = TransformSettings(softening=50.0, pooled_noise_ratio=1.1, despeckle_max_pixels=2), PatchSettings(native_size=8, out_size=4)
+    df = frame(spark, [np.arange(16.0).reshape(4, 4)]).withColumn("sky_noise", F.lit(10.0))
+    plan = im.to_log_space(df, cfg, patch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
