@@ -35,8 +35,8 @@ class Extraction:
     short: bool  # the catalogue ran out before the target
 
 
-def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Sequence[str], size: int) -> DataFrame:
-    """A manifest row for each host and band of a piece of the walk, without the images."""
+def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Sequence[str], size: int, whole: DataFrame | None = None) -> DataFrame:
+    """A manifest row for each host and band of a piece of the walk (`whole`), without the images."""
     none = w.hosts_without_coadd(walk, coadds, bands).withColumn("reasons", F.lit("no_coadd"))
     tried = w.with_depth(w.host_coadds(walk, coadds, bands), visits, size)
     if {"got_ra", "got_dec"} <= set(tried.columns):
@@ -44,7 +44,8 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
     tried = data_id_json(tried, ("tract", "patch", "band"))
     tried = settle(stamp_box(tried, size).withColumnRenamed("objectId", "host_id"))
     if not tried.isEmpty() and tried.where("n_cells_missing < n_cells_spanned").isEmpty():
-        raise RuntimeError("no cell any stamp covers is in the contributions; the cell indices are transposed")
+        # One piece may lie outside; that all do is for the whole walk to tell.
+        w.check_cell_convention(w.host_coadds(walk if whole is None else whole, coadds, bands), visits, size)
     # Rows that do not fit are settled before any pixel is fetched.
     fits = tried.where("n_cells_missing = 0")
     outside = tried.where("n_cells_missing > 0").withColumns(
@@ -74,6 +75,13 @@ def attempt(walk: DataFrame, coadds, visits, pixels, cuts: PatchCuts, bands: Seq
     return rows.withColumn("status", F.when(F.col("reasons") == "", "accepted").otherwise("rejected"))
 
 
+def readable(walk: DataFrame, coadds, visits, pixels, bands: Sequence[str], size: int) -> DataFrame:
+    """objectId of the hosts with a stamp on the grid that the pixel table has. Reads keys only."""
+    tried = w.with_depth(w.host_coadds(walk, coadds, bands), visits, size).where("n_cells_missing = 0").withColumnRenamed("objectId", "host_id")
+    on = [c for c in (*LAYOUT, "host_id", "band_idx") if c in pixels.columns]
+    return tried.join(pixels.select(*on), on, "left_semi").select(F.col("host_id").alias("objectId"))
+
+
 def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts | None = None, bands: Sequence[str] = BANDS,
             seed=0, n_stamps: int | None = None, part: tuple[int, int] | None = None) -> Extraction:
     """`pixels` has host_id, band_idx, native_size, image, variance, mask and planes, and tract and patch if `write_pixels` laid it out."""
@@ -103,9 +111,9 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
         edge = sizes.where(F.col("before") + F.col("n") >= walked_hosts + step).agg(F.min("patch_rank")).first()[0]
         high = last + 1 if edge is None else max(edge, low) + 1
         piece = walk.where(F.col("patch_rank").between(low, high - 1))
-        done = settle(attempt(piece, coadds, visits, pixels, cuts, bands, size).withColumnRenamed("host_id", "objectId"))
+        done = settle(attempt(piece, coadds, visits, pixels, cuts, bands, size, walk).withColumnRenamed("host_id", "objectId"))
         seen = done.agg(
-            F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h"),
+            F.count_if(F.col("status") == "accepted").alias("a"), F.countDistinct("objectId").alias("h"), F.count_if("was_read").alias("r"),
             F.min("plane_map").alias("first"), F.max("plane_map").alias("last")).first()
         accepted, walked_hosts = accepted + seen["a"], walked_hosts + seen["h"]
         for found in (seen["first"], seen["last"]):
@@ -113,9 +121,9 @@ def extract(hosts, coadds, contributions, pixels, *, size: int, cuts: PatchCuts
                 raise RuntimeError(f"the mask plane map changed between stamps: {plane_map} and {found}")
             plane_map = plane_map or found
         rows = done if rows is None else rows.unionByName(done, allowMissingColumns=True)
-        if not guarded:
-            w.check_walk(walk.where(F.col("patch_rank") < high), rows.where("was_read"))
-            guarded = walked_hosts > w.GUARD_HOSTS
+        if not guarded and not seen["r"] and walked_hosts > w.GUARD_HOSTS:
+            w.check_walk(walk, readable(walk, coadds, visits, pixels, bands, size))
+        guarded = guarded or bool(seen["r"]) or walked_hosts > w.GUARD_HOSTS
         low = high
 
     # One running count of accepted stamps in walk order gives each its number, and each host the

@@ -54,6 +54,35 @@ def test_an_empty_catalogue_fails(spark, inputs):
         ex.extract(hosts.limit(0), *rest, size=qw.SIZE)
 
 
+@pytest.mark.parametrize("fault", ["no_coadd", "off_the_grid:cells"])
+def test_a_first_patch_that_is_not_covered_is_walked_past(spark, inputs, monkeypatch, fault):
+    """Many hosts share a patch, so the first 20 may all lie in one without coadds, or outside its cells."""
+    monkeypatch.setattr(ex, "FIRST_ACCEPTANCE", 1000.0)
+    hosts, found, contributed, pixels = inputs
+    walk = qw.w.walk_order(hosts, 3)
+    last = walk.orderBy(*qw.w.WALK).limit(40).agg(F.max("patch_rank")).first()[0]
+    early = walk.where(F.col("patch_rank") <= last)
+    gone = early.select("tract", "patch").distinct()
+    if fault == "no_coadd":
+        found = found.join(gone, ["tract", "patch"], "left_anti")
+    else:
+        contributed = contributed.join(gone.withColumn("_gone", F.lit(100)), ["tract", "patch"], "left").withColumn("cell_i", F.col("cell_i") + F.coalesce("_gone", F.lit(0))).drop("_gone")
+    args = dict(size=qw.SIZE, cuts=qw.PATCH_CUTS, bands=qw.USED_BANDS, seed=3, n_stamps=5)
+    run = ex.extract(hosts, found, contributed, pixels, **args)
+    ids = {r["objectId"] for r in early.select("objectId").collect()}
+    seen = {row[3] for row in manifest(run) if row[0] in ids}
+    assert fault in seen <= {"no_coadd", "off_the_grid:cells"} and len(ids) > 20 and not run.short
+    assert ids < {r["objectId"] for r in run.hosts.select("objectId").collect()}
+    early_read = qw.w.check_walk(walk, ex.readable(walk, found, qw.w.cell_visit_counts(contributed), pixels, qw.USED_BANDS, qw.SIZE))
+    assert early_read.isEmpty()
+    with pytest.raises(RuntimeError, match="numberings"):
+        ex.extract(hosts, found, contributed, pixels.limit(0), **args)
+    with pytest.raises(RuntimeError, match="numberings"):
+        ex.extract(hosts, found.limit(0), contributed, pixels, **args)
+    with pytest.raises(RuntimeError, match="transposed"):
+        ex.extract(hosts, inputs[1], inputs[2].withColumn("cell_i", F.lit(100)), pixels, **args)
+
+
 def test_settings_are_measured_or_kept(spark):
     stamps = stamps8(spark, SF)
     row = prepare(stamps, TransformSettings(), PATCH, "stamp_id", n=200).first()
