@@ -25,7 +25,7 @@ from stampmill.llm.tables import kept, whole
 _STEP = 1 << 20
 
 
-def _fingerprint(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def fingerprint(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """One fingerprint per document from all shingle hashes, concatenated; documents begin at `starts`."""
     counts = np.diff(np.append(starts, len(hashes)))
     out = np.zeros(len(starts), np.uint64)
@@ -56,10 +56,10 @@ def fingerprints_of(texts: list[str | None], size: int = 3) -> np.ndarray:
         hashes += [xxh64_intdigest(s, 42) for s in shingles]
         held += len(words)
         if held > _STEP // 4:
-            out.append(_fingerprint(np.array(hashes, np.uint64), np.array(starts)))
+            out.append(fingerprint(np.array(hashes, np.uint64), np.array(starts)))
             hashes, starts, held = [], [], 0
     if starts:
-        out.append(_fingerprint(np.array(hashes, np.uint64), np.array(starts)))
+        out.append(fingerprint(np.array(hashes, np.uint64), np.array(starts)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -67,12 +67,12 @@ def with_fingerprint(docs: DataFrame, text_col: str, to: str, size: int = 3) ->
     """The same rows with their fingerprint as a signed long in column `to`."""
 
     @F.pandas_udf("long")
-    def fingerprint(text):
+    def marks(text):
         import pandas as pd
 
         return pd.Series(fingerprints_of(text.tolist(), size).view(np.int64))
 
-    return docs.withColumn(to, fingerprint(F.col(text_col).cast("string")))
+    return docs.withColumn(to, marks(F.col(text_col).cast("string")))
 
 
 def _byte(column: Column, place: int) -> Column:

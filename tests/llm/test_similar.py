@@ -77,3 +77,18 @@ def test_given_documents(spark, sf):
     docs = table(spark, sf, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, sf).collect()) == left(rows)
+
+
+def test_byte_lists_and_sketches(spark):
+    """Sets a shingle apart meet by their fingerprints; sketches let every similar pair pass and few others."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(20)]
+    read = S._read([*texts, *(f"{t} end" for t in texts)], 5, 2, 4)
+    rows = [(int(a), int(n), int(f), [int(x) for x in k]) for a, n, f, k in zip(read["node"], read["n"], read["fp"], read["sketch"])]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp long, sketch array<long>")
+    pair = {frozenset((rows[i][0], rows[i + 20][0])) for i in range(20)}
+    both = lambda df: {frozenset((r["u"], r["v"])) for r in df.collect()}
+    close = {p for p in pair if len({r[2] for r in rows if r[0] in p}) == 1 or bin((lambda a, b: a ^ b)(*(r[2] & (2**64 - 1) for r in rows if r[0] in p))).count("1") <= 2}
+    assert close and close <= both(S._fingerprint_pairs(nodes)) <= pair
+    every = nodes.selectExpr("node AS u").crossJoin(nodes.selectExpr("node AS v")).where("u < v")
+    assert both(S._near(every, nodes, 0.8)) == pair
